@@ -24,6 +24,7 @@ def local_session(name: str = "crawlscope", cores: int | str = "*", shuffle_part
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CRAWLSCOPE_DRIVER_MEMORY", "8g"))
     )
     for key, value in RUNTIME_SETTINGS.items():
