@@ -73,7 +73,7 @@ def csv_safe(text: Column) -> Column:
 
 
 def x_robots_directives(header: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(header, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(header, F.lit("")), ","), lambda p: F.trim(p))
 
     def directive(part: Column) -> Column:
         prefix = F.lower(F.trim(F.substring_index(part, ":", 1)))

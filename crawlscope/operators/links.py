@@ -144,8 +144,12 @@ def orphans(pages: DataFrame, homes: DataFrame, edges: DataFrame | None = None)
     ).select(*SITE, "url")
 
 
-def click_depth(edges: DataFrame, homes: DataFrame) -> DataFrame:
-    """project_id, node and the fewest clicks from home, level by level; unreachable pages have no row."""
+def click_depth(edges: DataFrame, homes: DataFrame, written: bool = False) -> DataFrame:
+    """project_id, node and the fewest clicks from home, level by level; unreachable pages have no row.
+
+    Every level reads the edges again, so they are written once first, unless the caller has done so.
+    """
+    edges = edges if written else cut_lineage(edges)
     out = edges.select(*SITE, F.col("source").alias("node"), "target")
     frontier = reached = _home_nodes(homes).withColumn("click_depth", F.lit(0))
     level = 0
@@ -167,7 +171,7 @@ def click_depth(edges: DataFrame, homes: DataFrame) -> DataFrame:
 def link_table(pages: DataFrame, homes: DataFrame) -> DataFrame:
     """Per page answered with 200: links in, clicks from home, and whether it is weak or deep."""
     edges = cut_lineage(link_edges(pages))
-    inbound, depth = inbound_counts(pages, edges), click_depth(edges, homes)
+    inbound, depth = inbound_counts(pages, edges), click_depth(edges, homes, written=True)
     home = _home_nodes(homes).withColumn("_home", F.lit(True))
     keys = [*SITE, "node"]
     rows = pages.filter(F.col("status_code") == 200).select(*SITE, "url", canonical_url(F.col("url")).alias("node"))

@@ -150,14 +150,17 @@ def lights(pages: DataFrame) -> dict[str, Column]:
     }
 
 
+def _with_lights(pages: DataFrame) -> DataFrame:
+    """Lights as _cell structs of their own projection, so no rule sees another cell's output name."""
+    return pages.withColumns({f"_{name}": light for name, light in lights(pages).items()})
+
+
 def technical_audit(pages: DataFrame, keep: tuple[str, ...] = ("project_id", "url")) -> DataFrame:
     """The kept columns and for every cell its light and its reason."""
     cells = [
-        c
-        for name, light in lights(pages).items()
-        for c in (light["light"].alias(name), light["reason"].alias(f"{name}_reason"))
+        c for name in CELLS for c in (F.col(f"_{name}.light").alias(name), F.col(f"_{name}.reason").alias(f"{name}_reason"))
     ]
-    return pages.select(*keep, *cells)
+    return _with_lights(pages).select(*keep, *cells)
 
 
 def zombie_page(pages: DataFrame) -> Column:
@@ -205,8 +208,7 @@ def technical_issues(pages: DataFrame) -> DataFrame:
             issue("critical", "zombie", titled(F.lit("zombie page (no H1, no structured data, noindex)")), "1h", 3, url),
         ),
     ]
-    with_lights = pages.withColumns({f"_{name}": light for name, light in lights(pages).items()})
-    return explode_issues(with_lights, findings, ["project_id"])
+    return explode_issues(_with_lights(pages), findings, ["project_id"])
 
 
 def eeat_score() -> Column:
