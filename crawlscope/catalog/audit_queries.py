@@ -229,8 +229,11 @@ def technical_score(spark, sf):
     return P.technical_score(crawl(spark, sf))
 
 
-@query("technical_score_stored", f"""SELECT project_id, CAST(round_even(100.0::DOUBLE * sum({_SUM('green')} + CASE WHEN schema_has_errors AND len({_RELEVANT}) > 0 THEN 1 ELSE 0 END) / (count(*) * 8), 0) AS INT) AS technical_score
-    FROM {AUDIT} a GROUP BY 1""")
+STORED_SCORE = f"""SELECT project_id, CAST(round_even(100.0::DOUBLE * sum({_SUM('green')} + CASE WHEN schema_has_errors AND len({_RELEVANT}) > 0 THEN 1 ELSE 0 END) / (count(*) * 8), 0) AS INT) AS technical_score
+    FROM {AUDIT} a GROUP BY 1"""
+
+
+@query("technical_score_stored", STORED_SCORE)
 def technical_score_stored(spark, sf):
     return P.technical_score(P.from_stored(crawl(spark, sf)))
 

@@ -19,8 +19,8 @@ def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
 def sitemap_ingest(sitemaps: DataFrame) -> DataFrame:
     """project_id and url of every <loc> of url sets in `xml`, each once; index files name sitemaps, not pages."""
     bodies = sitemaps.filter(~F.col("xml").rlike(r"(?i)<sitemapindex"))
-    locations = F.explode(F.regexp_extract_all("xml", F.lit(_LOC), F.lit(1)))
-    found = bodies.select(*SITE, F.trim(locations).alias("url"))
+    locations = bodies.select(*SITE, F.explode(F.regexp_extract_all("xml", F.lit(_LOC), F.lit(1))).alias("loc"))
+    found = locations.select(*SITE, F.regexp_replace("loc", r"^\s+|\s+$", "").alias("url"))
     plain = F.replace(F.replace("url", F.lit("&amp;"), F.lit("&")), F.lit("&apos;"), F.lit("'"))
     return found.filter("url <> ''").select(*SITE, plain.alias("url")).distinct()
 
@@ -28,4 +28,5 @@ def sitemap_ingest(sitemaps: DataFrame) -> DataFrame:
 def sub_sitemaps(sitemaps: DataFrame) -> DataFrame:
     """The sitemaps that index files point to."""
     index = sitemaps.filter(F.col("xml").rlike(r"(?i)<sitemapindex"))
-    return index.select(*SITE, F.trim(F.explode(F.regexp_extract_all("xml", F.lit(_LOC), F.lit(1)))).alias("sitemap_url")).distinct()
+    found = index.select(*SITE, F.explode(F.regexp_extract_all("xml", F.lit(_LOC), F.lit(1))).alias("loc"))
+    return found.select(*SITE, F.regexp_replace("loc", r"^\s+|\s+$", "").alias("sitemap_url")).distinct()
