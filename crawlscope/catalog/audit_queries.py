@@ -494,7 +494,8 @@ def nap(spark, sf):
 
 @query("nap_consistency", f"SELECT project_id, count(*) AS phones, count(*) <= 1 AS is_consistent, arg_max(phone, (pages_count, phone)) AS primary_phone FROM {PHONES} p GROUP BY 1")
 def nap_summary(spark, sf):
-    return nap_consistency(nap_phones(phone_pages(spark, sf)))
+    pages = phone_pages(spark, sf)
+    return nap_consistency(pages, nap_phones(pages))
 
 
 LOCAL = f"""(SELECT c.project_id, coalesce(n, 0) AS phones, with_schema AS pages_with_schema, round_even(with_schema::DOUBLE / pages, 2) AS coverage_ratio,

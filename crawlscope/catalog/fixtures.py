@@ -117,7 +117,8 @@ PROJECTIONS: dict[str, str] = {
         GROUP BY 1, 2, 3, 4""",
     "daily_rows": """
         SELECT o_custkey % 5 AS project_id, CAST(o_orderdate AS DATE) AS date,
-               count(*) FILTER (WHERE o_orderstatus = 'F') AS clicks, 10 * count(*) AS impressions,
+               count(*) FILTER (WHERE o_orderstatus = 'F' AND (o_custkey % 5 <> 1 OR o_orderdate < CAST('1998-01-01' AS TIMESTAMP))) AS clicks,
+               10 * count(*) AS impressions,
                1 + (min(o_orderkey) % 400) / 10e0 AS position
         FROM {orders} GROUP BY 1, 2""",
     "keyword_rows": """

@@ -12,7 +12,7 @@ from crawlscope.catalog import graph_queries as N
 from crawlscope.catalog import market_queries as M
 from crawlscope.catalog import search_queries as Q
 from crawlscope.catalog.fixtures import crawl, linked_crawl, load
-from crawlscope.catalog.registry import query
+from crawlscope.catalog.registry import ORACLES, query
 from crawlscope.operators import ledger as E
 from crawlscope.operators import links as L
 from crawlscope.operators import page_rules as P
@@ -366,7 +366,11 @@ def decay_issues(spark, sf):
     return search.decay_issues(load(spark, sf, "daily_rows"))
 
 
-@query("opportunity_findings")
+_TEXTS = "project_id, severity, category, title, page_url, current_text, suggested_text, effort, impact"
+
+
+@query("opportunity_findings", " UNION ALL ".join(f"SELECT {_TEXTS} FROM ({ORACLES[n]}) q" for n in (
+    "cannibalization", "top10_zero_ctr", "zero_impression_pages", "decay_issues", "never_clicked_issue")))
 def opportunity_findings(spark, sf):
     return opportunities.opportunity_findings(Q.rows(spark, sf), load(spark, sf, "daily_rows"), crawl(spark, sf), Q.closure(spark, sf))
 
@@ -408,7 +412,16 @@ def disavow(spark, sf):
     return files.disavow_lines(toxic_backlinks(M.backlinks(spark, sf)))
 
 
-@query("report_tables")
+_TABLES = {"scorecards": "scorecards", "action_plan": "action_plan", "top_keywords": "top_queries", "near_top10": "near_top10", "keywords": "keywords_view",
+           "ctr_curve": "ctr_curve", "ctr_summary": "ctr_summary", "score_deltas": "score_delta", "rank_standing": "keyword_standing", "vitals": "cwv_groups", "coverage": "coverage_counts"}
+
+
+@query("report_tables", " UNION ALL ".join(
+    [f"SELECT '{name}' AS table_name, project_id, count(*) AS rows FROM ({ORACLES[of]}) q GROUP BY 2" for name, of in _TABLES.items()] + [
+        "SELECT DISTINCT 'local', project_id, 1 FROM {crawl_flat} c",
+        "SELECT 'index_verdicts', project_id, count(DISTINCT coalesce(verdict, '')) FROM {inspections} i GROUP BY 2",
+        f"""SELECT 'competitors', d.project_id, count(*) FROM (SELECT project_id, domain, count(DISTINCT keyword) AS n FROM {M.NOW} l WHERE domain <> {M.OWN_DOMAIN} GROUP BY 1, 2) d
+            JOIN (SELECT project_id, count(DISTINCT keyword) AS total FROM {M.NOW} l GROUP BY 1) t ON t.project_id = d.project_id WHERE n >= CASE WHEN total <= 3 THEN 1 ELSE 2 END GROUP BY 2"""]))
 def report_rows(spark, sf):
     """Rows and sites of every report table."""
     tables = report.report_tables(

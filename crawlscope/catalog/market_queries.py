@@ -29,11 +29,11 @@ def registered(spark, sf):
 
 _PLATFORM = f"len(list_filter({sql_list(C.PLATFORM_DOMAINS)}, lambda p: domain = p OR ends_with(domain, '.' || p))) > 0"
 _OWN = "('www.site' || CAST(project_id AS STRING) || '.example')"
-_OWN_DOMAIN = "('site' || CAST(project_id AS STRING) || '.example')"
+OWN_DOMAIN = "('site' || CAST(project_id AS STRING) || '.example')"
 DISCOVERED = f"""(SELECT d.project_id, d.domain, appearances, best_position, avg_position, g.domain IS NOT NULL AS is_registered, {_PLATFORM.replace('domain', 'd.domain')} AS is_platform,
     round_even(appearances::DOUBLE / total, 2) AS share_of_keywords
   FROM (SELECT project_id, domain, count(DISTINCT keyword) AS appearances, min(position) AS best_position, round_even(sum(position)::DOUBLE / count(*), 1) AS avg_position
-        FROM {{listing_rows}} l WHERE domain <> {_OWN_DOMAIN} GROUP BY 1, 2) d
+        FROM {{listing_rows}} l WHERE domain <> {OWN_DOMAIN} GROUP BY 1, 2) d
   JOIN (SELECT project_id, count(DISTINCT keyword) AS total FROM {{listing_rows}} l GROUP BY 1) t ON t.project_id = d.project_id
   LEFT JOIN (SELECT DISTINCT project_id, replace(domain, 'www.', '') AS domain FROM {{registered_rivals}} r) g ON g.project_id = d.project_id AND g.domain = d.domain
   WHERE appearances >= CASE WHEN total <= 3 THEN 1 ELSE 2 END)"""
@@ -44,24 +44,24 @@ def discover(spark, sf):
     return P.discover_competitors(listings(spark, sf), sites(spark, sf), registered(spark, sf))
 
 
-@query("domain_keywords", f"SELECT project_id, domain, keyword, min(position) AS best_position FROM {{listing_rows}} l WHERE domain <> {_OWN_DOMAIN} GROUP BY 1, 2, 3")
+@query("domain_keywords", f"SELECT project_id, domain, keyword, min(position) AS best_position FROM {{listing_rows}} l WHERE domain <> {OWN_DOMAIN} GROUP BY 1, 2, 3")
 def domain_keywords(spark, sf):
     return P.domain_keywords(listings(spark, sf), sites(spark, sf))
 
 
 NOW = """(SELECT l.* FROM {listing_rows} l JOIN (SELECT project_id, max(date) AS newest FROM {listing_rows} m GROUP BY 1) n ON n.project_id = l.project_id AND l.date = n.newest)"""
-_OURS = f"(is_ours OR domain = {_OWN_DOMAIN})"
+_OURS = f"(is_ours OR domain = {OWN_DOMAIN})"
 _BEATEN = f"""(SELECT *, min(position) FILTER (WHERE {_OURS}) OVER (PARTITION BY project_id, keyword) AS our_position,
     first_value(CASE WHEN {_OURS} THEN url END) OVER (PARTITION BY project_id, keyword ORDER BY CASE WHEN {_OURS} THEN position END NULLS LAST) AS our_url FROM {NOW} n)"""
 
 
 @query("who_beats_us", f"""SELECT project_id, keyword, our_position, our_url, position, domain, url, {_PLATFORM} AS is_platform FROM {_BEATEN} b
-    WHERE (our_position IS NULL OR position < our_position) AND domain <> {_OWN_DOMAIN}""")
+    WHERE (our_position IS NULL OR position < our_position) AND domain <> {OWN_DOMAIN}""")
 def beaten(spark, sf):
     return P.who_beats_us(P.current(listings(spark, sf)), sites(spark, sf))
 
 
-STANDING = f"""(SELECT project_id, keyword, max(our_position) AS our_position, count(*) FILTER (WHERE (our_position IS NULL OR position < our_position) AND domain <> {_OWN_DOMAIN}) AS beaten_by
+STANDING = f"""(SELECT project_id, keyword, max(our_position) AS our_position, count(*) FILTER (WHERE (our_position IS NULL OR position < our_position) AND domain <> {OWN_DOMAIN}) AS beaten_by
     FROM {_BEATEN} b GROUP BY 1, 2)"""
 
 

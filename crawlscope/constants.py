@@ -9,6 +9,8 @@ BRAND_TOKENS = ["iPhone", "iPad", "iPadOS", "iPod", "iMac", "MacBook", "iOS", "m
                 "PayPal", "TikTok"]
 QUESTION_MARKERS = ["por que", "que hacer", "como", "cuanto", "cuando", "donde", "cual es", "quien"]
 QUESTIONS_PER_SEED = 15
+# what text trimming removes: every character Unicode calls white space
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTER_RUN = "[a-záéíóúñ]+"
 READING_WORD = "[a-zA-ZáéíóúñÁÉÍÓÚÑüÜ]+"
 READING_SENTENCE_END = "[.!?¡¿]+"

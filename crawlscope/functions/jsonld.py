@@ -11,7 +11,7 @@ _IS_OBJECT = "schema_of_variant({0}) LIKE 'OBJECT%'"
 _NODES = f"""
 flatten(transform(
   filter(
-    flatten(transform(filter(transform({{bodies}}, b -> try_parse_json(coalesce(nullif(trim(b), ''), '{{{{}}}}'))), v -> v IS NOT NULL),
+    flatten(transform(filter(transform({{bodies}}, b -> try_parse_json(coalesce(nullif(b, ''), '{{{{}}}}'))), v -> v IS NOT NULL),
                       v -> coalesce(try_variant_get(v, '$', 'array<variant>'), array(v)))),
     c -> {_IS_OBJECT.format('c')}),
   c -> coalesce(try_variant_get(c, '$[\\'@graph\\']', 'array<variant>'), array(c))))
@@ -26,7 +26,7 @@ def node_texts(bodies: str) -> Column:
 
 def has_errors(bodies: str) -> Column:
     """True when any script body is not valid JSON."""
-    return F.expr(f"exists({bodies}, b -> try_parse_json(coalesce(nullif(trim(b), ''), '{{}}')) IS NULL)")
+    return F.expr(f"exists({bodies}, b -> try_parse_json(coalesce(nullif(b, ''), '{{}}')) IS NULL)")
 
 
 def node_types(node: Column) -> Column:

@@ -29,6 +29,10 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _BARE = _accent_table()
 
 
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(C.WHITESPACE))
+
+
 def strip_vowel_accents(text: Column) -> Column:
     return F.translate(text, "áéíóú", "aeiou")
 
@@ -73,11 +77,11 @@ def csv_safe(text: Column) -> Column:
 
 
 def x_robots_directives(header: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(header, F.lit("")), ","), lambda p: F.trim(p))
+    parts = F.transform(F.split(F.coalesce(header, F.lit("")), ","), strip)
 
     def directive(part: Column) -> Column:
-        prefix = F.lower(F.trim(F.substring_index(part, ":", 1)))
-        rest = F.lower(F.trim(F.regexp_replace(part, r"^[^:]*:", "")))
+        prefix = F.lower(strip(F.substring_index(part, ":", 1)))
+        rest = F.lower(strip(F.regexp_replace(part, r"^[^:]*:", "")))
         named_bot = part.contains(":") & prefix.isin(C.BOT_PREFIXES)
         return F.when(named_bot, rest).otherwise(prefix)
 
@@ -130,7 +134,7 @@ def stuck_words(text: Column) -> Column:
 
 
 def duplicate_brand_suffix(title: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(title, "(?iu)" + C.REPEATED_SUFFIX, 1)), F.lit(""))
+    return F.nullif(strip(F.regexp_extract(title, "(?iu)" + C.REPEATED_SUFFIX, 1)), F.lit(""))
 
 
 def position_bucket(position: Column) -> Column:

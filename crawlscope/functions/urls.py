@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crawlscope.constants import WHITESPACE
+
 # The generic URI syntax: scheme, authority, path, query, fragment.
 URL_PATTERN = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _SCHEME, _AUTHORITY, _PATH, _QUERY = 1, 2, 3, 4
 
 
 def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(F.trim(url), URL_PATTERN, group)
+    return F.regexp_extract(F.btrim(url, F.lit(WHITESPACE)), URL_PATTERN, group)
 
 
 def authority(url: Column) -> Column:
@@ -27,7 +29,8 @@ def canonical_url(url: Column) -> Column:
     path = F.regexp_replace(_part(url, _PATH), r";[^/]*$", "")
     path = F.regexp_replace(path, r"/+$", "")
     joined = F.concat(without_www(authority(url)), F.when(path == "", F.lit("/")).otherwise(path))
-    return F.when(F.coalesce(F.trim(url), F.lit("")) == "", F.lit("")).otherwise(joined)
+    blank = F.coalesce(F.btrim(url, F.lit(WHITESPACE)), F.lit("")) == ""
+    return F.when(blank, F.lit("")).otherwise(joined)
 
 
 def normalize_url(url: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope import constants as C
-from crawlscope.functions.text import is_spam_domain
+from crawlscope.functions.text import is_spam_domain, strip
 from crawlscope.functions.urls import canonical_url, top_level_domain
 from crawlscope.operators.links import resolve
 from crawlscope.skew import lookup_join
@@ -16,7 +16,7 @@ SITE = ["project_id"]
 
 def anchor_distribution(backlinks: DataFrame) -> DataFrame:
     """How often each anchor occurs, its share, and whether it is suspiciously dominant. Brands are not exempt."""
-    anchor = F.trim(F.coalesce(F.nullif("anchor_text", F.lit("")), F.lit(C.EMPTY_ANCHOR)))
+    anchor = strip(F.coalesce(F.nullif("anchor_text", F.lit("")), F.lit(C.EMPTY_ANCHOR)))
     counts = backlinks.groupBy(*SITE, anchor.alias("anchor_text")).agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy(*SITE).agg(F.sum("count").alias("_total"))
     share = F.col("count") / F.col("_total")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope import constants as C
-from crawlscope.functions.text import significant_words, strip_accents
+from crawlscope.functions.text import significant_words, strip, strip_accents
 from crawlscope.functions.urls import authority
 from crawlscope.operators.pages import content_insights, schema_coverage
 from crawlscope.skew import lookup_join
@@ -19,7 +19,7 @@ def competitor_topics(pages: DataFrame) -> DataFrame:
     """Titles and headings of competitor pages answered with 200: project_id, competitor, topic."""
     topics = F.concat(F.array("title"), F.col("h1_tags"))
     return pages.filter(F.col("status_code") == 200).select(*RIVAL, F.explode(topics).alias("topic")).filter(
-        F.coalesce(F.trim("topic"), F.lit("")) != ""
+        F.coalesce(strip(F.col("topic")), F.lit("")) != ""
     )
 
 
@@ -28,7 +28,7 @@ def keyword_gap(queries: DataFrame, topics: DataFrame, overlap: float = C.GAP_OV
     own = queries.select(*SITE, "query").distinct().select(
         *SITE, F.explode(significant_words(F.col("query"))).alias("word")
     ).distinct().withColumn("known", F.lit(1))
-    trimmed = F.trim("topic")
+    trimmed = strip(F.col("topic"))
     once = topics.filter(trimmed != "").groupBy(*RIVAL, F.lower(trimmed).alias("_key")).agg(F.min(trimmed).alias("topic"))
     words = once.select(*RIVAL, "topic", F.explode(significant_words(F.col("topic"))).alias("word"))
     hits = lookup_join(words, own, [*SITE, "word"])

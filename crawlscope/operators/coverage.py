@@ -55,15 +55,23 @@ def _source_presence(base: DataFrame) -> DataFrame:
     )
 
 
-def coverage_diff(base: DataFrame) -> DataFrame:
+def coverage_diff(base: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """The five differences in long form: project_id, difference, url.
 
     "Not indexed" is said only of inspected urls; the others are "not inspected". Differences that need a
-    source the site does not have are absent.
+    source the site does not have are absent. `sources` (project_id, has_sitemap, has_index) says which
+    sources were landed, so that a landed but empty sitemap is told from none; without it a source without
+    rows counts as missing.
     """
     from crawlscope.skew import lookup_join
 
-    known = lookup_join(base, _source_presence(base), SITE, weight="_n", how="inner")
+    present = _source_presence(base)
+    if sources is not None:
+        told = sources.select(*SITE, F.col("has_sitemap").alias("_s"), F.col("has_index").alias("_i"))
+        present = present.join(told, SITE, "left").select(
+            *SITE, F.coalesce("_s", "has_sitemap").alias("has_sitemap"), F.coalesce("_i", "has_index").alias("has_index"), "_n"
+        )
+    known = lookup_join(base, present, SITE, weight="_n", how="inner")
     c = {s: F.col(s) for s in [*SOURCES, "has_sitemap", "has_index"]}
     both = c["has_sitemap"] & c["has_index"]
     rules = {

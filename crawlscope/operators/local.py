@@ -36,13 +36,16 @@ def nap_phones(pages: DataFrame, examples: int = 10) -> DataFrame:
     return counted.join(named, keys)
 
 
-def nap_consistency(phones: DataFrame) -> DataFrame:
-    """Per site: distinct numbers, whether they agree, and the number on most pages."""
-    most = F.struct("pages_count", F.col("phone"))
-    return phones.groupBy(*SITE).agg(
-        F.count(F.lit(1)).alias("phones"), (F.count(F.lit(1)) <= 1).alias("is_consistent"),
-        F.max_by("phone", most).alias("primary_phone"),
+def nap_consistency(pages: DataFrame, phones: DataFrame) -> DataFrame:
+    """Per site: distinct numbers, whether they agree, and the number on most pages.
+
+    A site without any number has none that disagree.
+    """
+    counted = phones.groupBy(*SITE).agg(
+        F.count(F.lit(1)).alias("phones"), F.max_by("phone", F.struct("pages_count", "phone")).alias("primary_phone")
     )
+    known = pages.select(*SITE).distinct().join(counted, SITE, "left").withColumn("phones", F.coalesce("phones", F.lit(0)))
+    return known.select(*SITE, "phones", (F.col("phones") <= 1).alias("is_consistent"), "primary_phone")
 
 
 def local_score(pages: DataFrame) -> DataFrame:

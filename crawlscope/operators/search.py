@@ -37,9 +37,13 @@ def totals_last_n_days(daily: DataFrame, days: int = 28) -> DataFrame:
 
 
 def scorecards(
-    sites: DataFrame, daily: DataFrame, queries: DataFrame, issues: DataFrame, scores: DataFrame, snapshots: DataFrame
+    sites: DataFrame, daily: DataFrame, queries: DataFrame, issues: DataFrame, scores: DataFrame, snapshots: DataFrame,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
-    """One dashboard row per site; what was never measured stays NULL, counts of nothing are 0."""
+    """One dashboard row per site; what was never measured stays NULL, counts of nothing are 0.
+
+    Scores are the latest of the history, or those of `measured` (project_id and *_score), freshly computed.
+    """
     from crawlscope.operators.scores import latest_by_kind, score_delta
 
     totals = totals_last_n_days(daily)
@@ -47,7 +51,7 @@ def scorecards(
     opened = issues.filter(F.col("status") == "open").groupBy(*SITE).agg(
         F.count(F.lit(1)).alias("issues_open"), F.count_if(F.col("severity") == "critical").alias("issues_critical")
     )
-    values = latest_by_kind(scores).groupBy(*SITE).agg(
+    values = measured if measured is not None else latest_by_kind(scores).groupBy(*SITE).agg(
         *[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(f"{k}_score") for k in C.SCORE_LABELS]
     )
     change = score_delta(scores).filter(F.col("kind") == "seo").select(*SITE, F.col("delta").alias("seo_score_delta"))

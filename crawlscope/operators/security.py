@@ -11,12 +11,12 @@ from crawlscope.operators.issues import explode_issues, issue, when_issue
 
 def security_headers(sites: DataFrame) -> DataFrame:
     """Which headers are present, and what weakens them."""
-    lowered = F.map_from_entries(
-        F.array_distinct(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]), e["value"])))
-    )
+    entries = F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>")))
 
     def header(name: str) -> Column:
-        return F.nullif(F.try_element_at("_lowered", F.lit(name)), F.lit(""))
+        # The same header written in two cases is one header; the last one counts.
+        same = F.filter("_entries", lambda e: F.lower(e["key"]) == name)
+        return F.nullif(F.try_element_at(same, F.lit(-1))["value"], F.lit(""))
 
     hsts, csp = header("strict-transport-security"), header("content-security-policy")
     age = F.nullif(F.regexp_extract(F.coalesce(hsts, F.lit("")), r"(?i)max-age=(\d+)", 1), F.lit("")).try_cast("long")
@@ -25,7 +25,7 @@ def security_headers(sites: DataFrame) -> DataFrame:
         F.array(*[F.when(F.contains(policy, F.lit(t)), F.lit(t)) for t in C.UNSAFE_CSP_TOKENS]), lambda t: t.isNotNull()
     )
     covered = F.contains(policy, F.lit("frame-ancestors"))
-    return sites.withColumn("_lowered", lowered).select(
+    return sites.withColumn("_entries", entries).select(
         "project_id",
         hsts.alias("hsts"), age.alias("hsts_max_age"),
         (hsts.isNotNull() & (F.coalesce(age, F.lit(0)) < C.HSTS_MIN_AGE)).alias("hsts_weak"),

@@ -38,13 +38,20 @@ def disavow_lines(toxic: DataFrame) -> DataFrame:
     return disavow_domains(toxic).select(*SITE, "source_domain", F.posexplode(lines).alias("line_no", "value"))
 
 
+DISAVOW_HEADER = "# Check every domain before submitting this list\n# https://search.google.com/search-console/disavow-links\n"
+
+
 def write_disavow(toxic: DataFrame, path: str) -> None:
-    """One folder per site of text files in the disavow format; the two lines of a domain stay together."""
-    pair = F.concat(F.lit("# "), F.col("reason"), F.lit("\n"), F.lit("domain:"), F.col("source_domain"))
-    rows = disavow_domains(toxic).repartitionByRange("project_id", "source_domain")
-    rows.sortWithinPartitions("project_id", "source_domain").select(*SITE, pair.alias("value")).write.mode(
-        "overwrite"
-    ).partitionBy(*SITE).text(path)
+    """One folder per site of text files in the disavow format, the notice first.
+
+    The two lines of a domain stay together; read in name order, the files of a site are one list.
+    """
+    domains = disavow_domains(toxic)
+    pair = F.concat(F.lit("# "), F.col("reason"), F.lit("\ndomain:"), F.col("source_domain"))
+    notice = domains.select(*SITE).distinct().select(*SITE, F.lit("").alias("source_domain"), F.lit(DISAVOW_HEADER).alias("value"))
+    rows = notice.unionByName(domains.select(*SITE, "source_domain", pair.alias("value")))
+    ranged = rows.repartitionByRange("project_id", "source_domain").sortWithinPartitions("project_id", "source_domain")
+    ranged.select(*SITE, "value").write.mode("overwrite").partitionBy(*SITE).text(path)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:

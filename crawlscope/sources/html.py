@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from crawlscope import constants as C
 from crawlscope.functions import jsonld
-from crawlscope.functions.text import collapse, count_words
+from crawlscope.functions.text import collapse, count_words, strip
 from crawlscope.functions.urls import same_site, without_fragment
 
 # Executors need no installed copy of this package: the helper travels with the task.
@@ -54,8 +54,7 @@ class _Markup(HTMLParser):
     def handle_starttag(self, tag, attrs):
         attributes = {k: v or "" for k, v in reversed(attrs)}
         if tag == "meta":
-            key = attributes.get("name") or attributes.get("property")
-            if key:
+            for key in {attributes.get("name"), attributes.get("property")} - {None, ""}:
                 self.metas.append({"key": key, "content": attributes.get("content", "")})
         elif tag == "html" and self.html_lang is None:
             self.html_lang = attributes.get("lang")
@@ -180,8 +179,8 @@ def extract_page_features(pages: DataFrame) -> DataFrame:
     nodes = jsonld.node_texts("jsonld")
     base = markup.withColumn("_nodes", nodes).withColumns(
         {
-            "title": F.trim("title"),
-            "meta_description": F.trim(_meta("description")),
+            "title": strip(F.col("title")),
+            "meta_description": strip(_meta("description")),
             "h1_tags": h1_texts(),
             "is_indexable": ~F.contains(F.lower(F.coalesce(_meta("robots"), F.lit(""))), F.lit("noindex")),
             "lang_declared": F.coalesce(
