@@ -15,43 +15,30 @@ SALTS = 256
 
 
 def lookup_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    keys: Sequence[str],
-    weight: str | None = None,
-    how: str = "left",
-    hot_keys: int = HOT_KEYS,
-    salts: int = SALTS,
+    facts: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str | None = None, how: str = "left",
+    hot_keys: int = HOT_KEYS, salts: int = SALTS,
 ) -> DataFrame:
     """Attach the columns of `dim` (at most one row per key) to `facts`, however uneven the keys are.
 
-    The heaviest `hot_keys` keys are answered from a broadcast of that many rows. All other keys meet in
-    an ordinary shuffle, in which rows already answered carry a salt of their own and spread out.
-    `weight` names a column of `dim` with the number of fact rows per key; without it the keys of `facts`
-    are counted first. `how` is left, inner, left_semi or left_anti.
+    Left to itself, the join is sized while it runs: a side that turns out small is broadcast, and beyond
+    that the partitions of heavy keys are split (see `session.RUNTIME_SETTINGS`). No side is broadcast unseen.
+
+    Where `dim` comes with the number of fact rows per key, named by `weight`, the heaviest `hot_keys` keys
+    are instead answered from a broadcast of exactly that many rows, and rows so answered carry a salt that
+    spreads them over the shuffle in which all others meet. That also holds without run-time splitting.
+    `how` is left, inner, left_semi or left_anti.
     """
     keys = list(keys)
     values = [c for c in dim.columns if c not in keys and c != weight]
+    wanted = [F.col(c) for c in facts.columns] + [F.col(c) for c in values if how in ("left", "inner")]
+    if weight is None:
+        return facts.join(dim, keys, how).select(*wanted)
     packed = F.struct(F.lit(True).alias("_found"), *[F.col(c) for c in values])
-    if weight is not None:
-        hot = (
-            dim.orderBy(F.col(weight).desc_nulls_last(), *keys)
-            .limit(hot_keys)
-            .select(*keys, packed.alias("_hot"), F.lit(True).alias("_is_hot"))
-        )
-    else:
-        heavy = (
-            facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .orderBy(F.col("_n").desc(), *keys)
-            .limit(hot_keys)
-            .drop("_n")
-        )
-        hot = heavy.join(dim.select(*keys, packed.alias("_hot")), keys, "left").withColumn("_is_hot", F.lit(True))
-    hashable = [f.name for f in facts.schema.fields if "map" not in f.dataType.simpleString()
-                and "variant" not in f.dataType.simpleString()]
+    hot = dim.orderBy(F.col(weight).desc_nulls_last(), *keys).limit(hot_keys).select(*keys, packed.alias("_hot"))
+    hashable = [f.name for f in facts.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in hashable]), F.lit(salts)).cast("int") + 1
     step = facts.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_is_hot"), spread).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.lit(0))
     )
     cold = dim.select(*keys, packed.alias("_cold"), F.lit(0).alias("_salt"))
     joined = step.join(cold, [*keys, "_salt"], "left").withColumn("_value", F.coalesce("_hot", "_cold"))
