@@ -24,13 +24,20 @@ def without_www(host: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
 
+# Host without www and path without parameters and trailing slashes, in one match.
+_CANONICAL = (
+    r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://(?:[wW]{3}\.)?([^/?#]*))?([^?#]*?)/*(?:;[^/?#]*)?(?:[?#][\s\S]*)?$"
+)
+_SEPARATOR = "\x01"
+
+
 def canonical_url(url: Column) -> Column:
     """host/path under which one page is known to every source; '' when there is no url."""
-    path = F.regexp_replace(_part(url, _PATH), r";[^/]*$", "")
-    path = F.regexp_replace(path, r"/+$", "")
-    joined = F.concat(without_www(authority(url)), F.when(path == "", F.lit("/")).otherwise(path))
-    blank = F.coalesce(F.btrim(url, F.lit(WHITESPACE)), F.lit("")) == ""
-    return F.when(blank, F.lit("")).otherwise(joined)
+    trimmed = F.btrim(url, F.lit(WHITESPACE))
+    parts = F.regexp_replace(trimmed, _CANONICAL, f"$1{_SEPARATOR}$2")
+    host, path = F.substring_index(parts, _SEPARATOR, 1), F.substring_index(parts, _SEPARATOR, -1)
+    joined = F.concat(F.lower(host), F.when(path == "", F.lit("/")).otherwise(path))
+    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit("")).otherwise(joined)
 
 
 def normalize_url(url: Column) -> Column:

@@ -112,13 +112,14 @@ def _nodes(pages: DataFrame) -> DataFrame:
 def link_edges(pages: DataFrame) -> DataFrame:
     """Distinct links source -> target between crawled pages, without self links.
 
-    The target side is where a navigation bar piles up (every page links home), so it is looked up with
-    the hot targets broadcast.
+    Targets are where a navigation bar piles up (every page links home); their lookup is a semi join whose
+    heavy partitions split while it runs, and everything counted per target is summed before it is shuffled.
     """
-    links = pages.select(*SITE, canonical_url(F.col("url")).alias("source"), F.explode("internal_links").alias("_href"))
-    edges = links.select(*SITE, "source", canonical_url(F.col("_href")).alias("target")).filter(
-        (F.col("target") != "") & (F.col("target") != F.col("source"))
-    ).distinct()
+    sources = pages.select(*SITE, canonical_url(F.col("url")).alias("source"), "internal_links")
+    # A page's own repetitions and self links go before its links become rows.
+    targets = F.array_distinct(F.transform("internal_links", canonical_url))
+    kept = F.filter(targets, lambda t: (t != "") & (t != F.col("source")))
+    edges = sources.select(*SITE, "source", F.explode(kept).alias("target")).distinct()
     return lookup_join(edges, _nodes(pages).withColumnRenamed("node", "target"), [*SITE, "target"], how="left_semi")
 
 

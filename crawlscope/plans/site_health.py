@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -12,6 +12,7 @@ from crawlscope.operators import page_rules as P
 from crawlscope.operators import pages as G
 from crawlscope.operators import summaries as Y
 from crawlscope.operators.issues import ISSUE_COLUMNS
+from crawlscope.session import cut_lineage
 
 
 @dataclass
@@ -27,8 +28,11 @@ class Sources:
 
 
 def tables(s: Sources, agent: str) -> dict[str, DataFrame]:
+    """The tables of the analysis, written once each: the crawl is read by most, and findings read them twice."""
+    s = replace(s, crawl=cut_lineage(s.crawl), pages=cut_lineage(s.pages))
     redirects = L.redirect_map_merge(L.redirect_edges(s.pages), L.redirect_edges(s.crawl))
-    base = V.coverage_base(s.crawl, s.sitemap, s.inspections)
+    redirects = cut_lineage(redirects)
+    base = cut_lineage(V.coverage_base(s.crawl, s.sitemap, s.inspections))
     found = {
         "orphans": L.orphans(s.crawl, s.homes), "broken": V.broken_pages(s.crawl), "redirects": V.redirect_links(s.crawl),
         "coverage_counts": V.coverage_counts(base), "coverage_diff": V.coverage_diff(base),
@@ -39,7 +43,7 @@ def tables(s: Sources, agent: str) -> dict[str, DataFrame]:
     }
     if s.robots is not None and s.sitemap is not None:
         found["robots_conflicts"] = V.robots_sitemap_conflicts(s.sitemap, s.robots, agent)
-    return found
+    return {name: cut_lineage(table) for name, table in found.items()}
 
 
 def findings(t: dict[str, DataFrame]) -> DataFrame:

@@ -199,33 +199,35 @@ def _listing_rows(landing: DataFrame) -> DataFrame:
 def serp_rank_ingest(landing: DataFrame, sites: DataFrame) -> DataFrame:
     """Per keyword and day our first position and url over all result pages, and a map of competitors'.
 
-    A payload is one result page. `sites` is project_id, url and competitors (list of domains). Only hits of
-    the site's own few targets leave the payload, so the map holds no more entries than competitors.
+    A payload is one result page. `sites` is project_id, url and competitors (list of domains). Hits on the
+    site's own targets are picked inside the payload; one shuffle then brings the pages of a listing together.
     """
-    targets = sites.select(*SITE, domain_of(F.col("url"), keep_port=True).alias("_own"), F.coalesce("competitors", F.array().cast("array<string>")).alias("_rivals"))
+    rivals = F.coalesce("competitors", F.array().cast("array<string>"))
+    targets = sites.select(*SITE, domain_of(F.col("url"), keep_port=True).alias("_own"), rivals.alias("_rivals"))
     pages = lookup_join(_listing_rows(landing), targets, SITE, how="inner")
     keys = [*SITE, "keyword", "date"]
-    absolute = (F.col("page") - 1) * 10 + F.coalesce("o.position", F.lit(0))
-    domain = domain_of(F.coalesce("o.link", F.lit("")), keep_port=True)
-    hits = pages.select(*keys, "page", "_own", "_rivals", F.posexplode("organic").alias("_at", "o")).select(
-        *keys, "_own", "_rivals", domain.alias("domain"), F.struct("page", "_at").alias("_first"),
-        F.struct(absolute.alias("position"), F.col("o.link").alias("url")).alias("_hit"),
-    ).filter((F.col("domain") == F.col("_own")) | F.array_contains("_rivals", F.col("domain")))
-    firsts = hits.groupBy(*keys, "domain").agg(
-        F.min_by("_hit", "_first").alias("_hit"), F.bool_or(F.col("domain") == F.col("_own")).alias("_ours")
-    )
-    ranks = firsts.groupBy(*keys).agg(
-        F.max(F.when(F.col("_ours"), F.col("_hit"))).alias("_own"),
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.when(~F.col("_ours"), F.struct("domain", F.col("_hit.position")))))
-        ).alias("competitor_positions"),
-    )
-    asked = pages.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("page") == 1, F.col(f))).alias(f) for f in _FEATURES]
+
+    def hit(entry: Column, at: Column) -> Column:
+        return F.struct(
+            F.col("page").alias("page"), at.alias("at"), domain_of(F.coalesce(entry["link"], F.lit("")), keep_port=True).alias("domain"),
+            ((F.col("page") - 1) * 10 + F.coalesce(entry["position"], F.lit(0))).alias("position"), entry["link"].alias("url"),
+        )
+
+    hits = F.transform(F.coalesce("organic", F.array().cast(_ORGANIC)), hit)
+    wanted = F.filter(hits, lambda h: (h["domain"] == F.col("_own")) | F.array_contains(F.col("_rivals"), h["domain"]))
+    listed = pages.withColumn("_hits", wanted).groupBy(*keys, "_own").agg(
+        F.array_sort(F.flatten(F.collect_list("_hits"))).alias("_hits"),
+        *[F.max(F.when(F.col("page") == 1, F.col(f))).alias(f) for f in _FEATURES],
     )
-    return asked.join(ranks, keys, "left").select(
-        *keys, F.col("_own.position").alias("our_position"), F.col("_own.url").alias("our_url"),
-        F.coalesce("competitor_positions", F.create_map().cast("map<string,int>")).alias("competitor_positions"), *_FEATURES,
+
+    def first(domain: Column) -> Column:
+        return F.get(F.filter("_hits", lambda h: h["domain"] == domain), F.lit(0))
+
+    others = F.filter(F.array_sort(F.array_distinct(F.col("_hits.domain"))), lambda d: d != F.col("_own"))
+    positions = F.map_from_arrays(others, F.transform(others, lambda d: first(d)["position"]))
+    return listed.withColumn("_first", first(F.col("_own"))).select(
+        *keys, F.col("_first.position").alias("our_position"), F.col("_first.url").alias("our_url"),
+        positions.alias("competitor_positions"), *_FEATURES,
     )
 
 
