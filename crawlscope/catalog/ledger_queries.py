@@ -25,9 +25,12 @@ from crawlscope.operators.local import local_score, nap_phones
 from crawlscope.plans import opportunities, page_audit, report, site_health
 from crawlscope.sinks import files
 
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
 _THEN, _NOW = "CAST('2024-01-01' AS TIMESTAMP)", "CAST('2024-02-01' AS TIMESTAMP)"
 
+def now():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
 # The findings of today; a page is known by the number at the end of its url.
 _PAGE_ID = "coalesce(TRY_CAST(regexp_extract(page_url, '[0-9]+$') AS BIGINT), 0)"
 FOUND = f"(SELECT project_id, page_url, severity, category, title, current_text, suggested_text, effort, impact, {_PAGE_ID} AS page_id FROM ({A.TECHNICAL_ISSUES}) t)"
@@ -75,7 +78,7 @@ ADDED = f"""(SELECT project_id, page_id, CAST(9 AS BIGINT) AS snapshot_id, sever
 
 @query("record_issues", f"SELECT {_COLS}, {_STAMPED} FROM {ADDED} a")
 def record(spark, sf):
-    return timed(E.record_issues(ledger(spark, sf), found(spark, sf), 9, NOW)).drop("page_url")
+    return timed(E.record_issues(ledger(spark, sf), found(spark, sf), 9, now())).drop("page_url")
 
 
 def _reconciled(scope: str, categories) -> str:
@@ -96,17 +99,17 @@ def crawled_ids(spark, sf):
 
 @query("reconcile_page_issues", f"SELECT {_COLS}, {_STAMPED} FROM {_reconciled(_SEEN, C.PAGE_CATEGORIES)} r")
 def reconcile_pages(spark, sf):
-    return timed(E.reconcile_issues(ledger(spark, sf), found(spark, sf), C.PAGE_CATEGORIES, NOW, True, crawled_ids(spark, sf)))
+    return timed(E.reconcile_issues(ledger(spark, sf), found(spark, sf), C.PAGE_CATEGORIES, now(), True, crawled_ids(spark, sf)))
 
 
 @query("reconcile_site_issues", f"SELECT {_COLS}, {_STAMPED} FROM {_reconciled('l.page_id IS NULL', C.OPPORTUNITY_CATEGORIES)} r")
 def reconcile_site(spark, sf):
-    return timed(E.reconcile_issues(ledger(spark, sf), found(spark, sf), C.OPPORTUNITY_CATEGORIES, NOW, False))
+    return timed(E.reconcile_issues(ledger(spark, sf), found(spark, sf), C.OPPORTUNITY_CATEGORIES, now(), False))
 
 
 @query("page_audit_run", f"SELECT project_id, category, status, count(*) AS rows FROM (SELECT project_id, category, status FROM {_reconciled(_SEEN, C.PAGE_CATEGORIES)} r UNION ALL SELECT project_id, category, status FROM {ADDED} a) u GROUP BY 1, 2, 3")
 def audit_run(spark, sf):
-    after = page_audit.book(ledger(spark, sf), found(spark, sf), C.PAGE_CATEGORIES, 9, NOW, True, crawled_ids(spark, sf))
+    after = page_audit.book(ledger(spark, sf), found(spark, sf), C.PAGE_CATEGORIES, 9, now(), True, crawled_ids(spark, sf))
     return after.groupBy("project_id", "category", "status").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -123,7 +126,7 @@ def set_status(spark, sf):
     events = load(spark, sf, "events")
     book = events.select(F.col("event_id").alias("issue_id"), F.col("event_type").alias("title"), F.when(F.col("event_type") == "view", "done").otherwise("open").alias("status"),
                          F.when(F.col("event_type") == "view", F.lit("2024-01-01").cast("timestamp")).alias("resolved_at"))
-    changes = events.filter("value > 15").select(F.col("event_id").alias("issue_id"), F.when(F.col("value") > 20, "dismissed").otherwise("open").alias("status"), NOW.alias("changed_at"))
+    changes = events.filter("value > 15").select(F.col("event_id").alias("issue_id"), F.when(F.col("value") > 20, "dismissed").otherwise("open").alias("status"), now().alias("changed_at"))
     return timed(E.set_issue_status(book, changes))
 
 
@@ -195,7 +198,7 @@ def pages_upsert(spark, sf):
     flat = N.flat(spark, sf)
     then = F.lit("2024-01-01").cast("timestamp")
     current = flat.select("project_id", "url", "title", then.alias("first_seen"), then.alias("last_crawled"))
-    again = flat.filter("has_contact").select("project_id", F.explode(F.array(F.col("url"), F.concat("url", F.lit("?new")))).alias("url"), F.concat("title", F.lit(" v2")).alias("title"), NOW.alias("last_crawled"))
+    again = flat.filter("has_contact").select("project_id", F.explode(F.array(F.col("url"), F.concat("url", F.lit("?new")))).alias("url"), F.concat("title", F.lit(" v2")).alias("title"), now().alias("last_crawled"))
     merged = E.pages_upsert(current, again)
     return merged.withColumns({c: F.col(c).cast("string") for c in ("first_seen", "last_crawled")})
 

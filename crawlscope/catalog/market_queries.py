@@ -196,7 +196,7 @@ def gap(spark, sf):
         WHERE length(domain) > 13 GROUP BY 1, 2, 3) g GROUP BY 1, 2) x ON x.project_id = r.project_id AND x.domain = r.domain""")
 def matrix(spark, sf):
     rivals = registered(spark, sf).groupBy("project_id").agg(F.collect_list("domain").alias("competitors"))
-    named = sites(spark, sf).join(rivals, "project_id")
+    named = sites(spark, sf).join(rivals, "project_id", "left")
     own = crawl(spark, sf).groupBy("project_id").agg(F.count(F.lit(1)).alias("pages_crawled")).withColumns(
         {"technical_score": F.lit(70), "geo_score": F.lit(None).cast("int")}
     )
