@@ -31,13 +31,27 @@ _CANONICAL = (
 _SEPARATOR = "\x01"
 
 
-def canonical_url(url: Column) -> Column:
-    """host/path under which one page is known to every source; '' when there is no url."""
+def _host_and_path(url: Column) -> Column:
     trimmed = F.btrim(url, F.lit(WHITESPACE))
-    parts = F.regexp_replace(trimmed, _CANONICAL, f"$1{_SEPARATOR}$2")
+    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit("")).otherwise(
+        F.regexp_replace(trimmed, _CANONICAL, f"$1{_SEPARATOR}$2")
+    )
+
+
+def _canonical(parts: Column) -> Column:
     host, path = F.substring_index(parts, _SEPARATOR, 1), F.substring_index(parts, _SEPARATOR, -1)
     joined = F.concat(F.lower(host), F.when(path == "", F.lit("/")).otherwise(path))
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit("")).otherwise(joined)
+    return F.when(parts == "", F.lit("")).otherwise(joined)
+
+
+def canonical_url(url: Column) -> Column:
+    """host/path under which one page is known to every source; '' when there is no url."""
+    return _canonical(_host_and_path(url))
+
+
+def canonical_urls(urls: Column) -> Column:
+    """The same for a list of urls, in two steps so that each url is matched once."""
+    return F.transform(F.transform(urls, _host_and_path), _canonical)
 
 
 def normalize_url(url: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope import constants as C
-from crawlscope.functions.urls import canonical_url
+from crawlscope.functions.urls import canonical_url, canonical_urls
 from crawlscope.session import cut_lineage
 from crawlscope.skew import lookup_join
 
@@ -117,7 +117,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
     """
     sources = pages.select(*SITE, canonical_url(F.col("url")).alias("source"), "internal_links")
     # A page's own repetitions and self links go before its links become rows.
-    targets = F.array_distinct(F.transform("internal_links", canonical_url))
+    targets = F.array_distinct(canonical_urls(F.col("internal_links")))
     kept = F.filter(targets, lambda t: (t != "") & (t != F.col("source")))
     edges = sources.select(*SITE, "source", F.explode(kept).alias("target")).distinct()
     return lookup_join(edges, _nodes(pages).withColumnRenamed("node", "target"), [*SITE, "target"], how="left_semi")
