@@ -235,8 +235,9 @@ def cannibal_pages(queries: DataFrame, redirects: DataFrame | None = None) -> Da
     per_page = rows.groupBy(*SITE, "query", F.col("_source").alias("final_page")).agg(
         F.min(F.struct("position", "page")).alias("_best"), F.sum("impressions").alias("impressions")
     )
-    rivals = per_page.groupBy(*SITE, "query").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= 2)
-    return lookup_join(per_page, rivals, [*SITE, "query"], how="inner").select(
+    counted = per_page.groupBy(*SITE, "query").agg(F.count(F.lit(1)).alias("pages"), F.count(F.lit(1)).alias("_n"))
+    rivals = counted.filter(F.col("pages") >= 2)
+    return lookup_join(per_page, rivals, [*SITE, "query"], weight="_n", how="inner").select(
         *SITE, "query", "final_page", "pages", "_best.position", "_best.page", "impressions"
     )
 

@@ -32,7 +32,11 @@ def lookup_join(
     values = [c for c in dim.columns if c not in keys and c != weight]
     wanted = [F.col(c) for c in facts.columns] + [F.col(c) for c in values if how in ("left", "inner")]
     if weight is None:
-        return facts.join(dim, keys, how).select(*wanted)
+        # A side aggregated by the same keys would be joined where it lies, and then nothing can be split:
+        # with the hash as a further key both sides are shuffled for the join.
+        key_hash = F.xxhash64(*keys)
+        sides = facts.withColumn("_key_hash", key_hash), dim.withColumn("_key_hash", key_hash)
+        return sides[0].join(sides[1], [*keys, "_key_hash"], how).select(*wanted)
     packed = F.struct(F.lit(True).alias("_found"), *[F.col(c) for c in values])
     hot = dim.orderBy(F.col(weight).desc_nulls_last(), *keys).limit(hot_keys).select(*keys, packed.alias("_hot"))
     hashable = [f.name for f in facts.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]

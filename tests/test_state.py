@@ -145,3 +145,22 @@ def test_sinks_on_disk(spark, tmp_path):
     files.write_disavow(toxic_backlinks(links), str(tmp_path / "disavow"))
     lines = "".join(p.read_text() for p in sorted(Path(tmp_path / "disavow" / "project_id=1").glob("*.txt"))).splitlines()
     assert lines[0].startswith("# Check") and lines.count("domain:spam.xyz") == 1 and "domain:ok.com" not in lines
+
+
+def test_heavy_partitions_split_while_running(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        facts, dim = skewed(spark)
+        joined = lookup_join(facts.repartition(8, "id"), dim.drop("n"), ["k"])
+        assert len(joined.collect()) == 3000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
