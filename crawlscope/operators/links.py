@@ -23,11 +23,9 @@ _HOPS_PER_CHECKPOINT = 4
 
 def redirect_edges(pages: DataFrame, order: str | None = None) -> DataFrame:
     """source -> target on canonical urls, one edge per source: the one whose page comes last by `order`."""
+    pair = canonical_urls(F.array("url", "redirected_to"))
     edges = pages.filter(F.coalesce("redirected_to", F.lit("")) != "").select(
-        *SITE,
-        canonical_url(F.col("url")).alias("source"),
-        canonical_url(F.col("redirected_to")).alias("target"),
-        (F.col(order) if order else F.col("url")).alias("_order"),
+        *SITE, pair[0].alias("source"), pair[1].alias("target"), (F.col(order) if order else F.col("url")).alias("_order"),
     )
     real = edges.filter((F.col("source") != "") & (F.col("target") != "") & (F.col("source") != F.col("target")))
     return real.groupBy(*SITE, "source").agg(F.max_by("target", F.struct("_order", "target")).alias("target"))
