@@ -43,3 +43,31 @@ def vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlscope.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_tag_path_ratios")
+def tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlscope.llm.extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+TOP_K_SQL = """
+WITH sound AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM sound q JOIN sound c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op4_no_random_access", TOP_K_SQL)
+def no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlscope.llm.topk import inner_product_top_k
+
+    return inner_product_top_k(table(spark, sf_dir, "embeddings"))
