@@ -71,3 +71,10 @@ def no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlscope.llm.topk import inner_product_top_k
 
     return inner_product_top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_recurrent_toxicity")
+def recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlscope.llm.toxicity import detect
+
+    return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
