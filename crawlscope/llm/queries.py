@@ -78,3 +78,28 @@ def recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlscope.llm.toxicity import detect
 
     return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+NGRAM_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words
+), tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.a, r.c FROM reach r JOIN edges e ON e.b = r.doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.c) AS component_id
+FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
+
+
+@query("op3_ngram_jaccard_join", NGRAM_SQL)
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlscope.llm.ngram_join import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
