@@ -103,3 +103,10 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlscope.llm.ngram_join import similar_groups
 
     return similar_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query("op2_chunk_dedup")
+def chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlscope.llm.substrings import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_words", "removed_words", "removed_spans")
