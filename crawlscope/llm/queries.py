@@ -110,3 +110,10 @@ def chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlscope.llm.substrings import without_repeats
 
     return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_words", "removed_words", "removed_spans")
+
+
+@query("op1_nn_descent")
+def nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlscope.llm.descent import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
