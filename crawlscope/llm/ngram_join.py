@@ -290,7 +290,11 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its group: texts without a near copy stay, and one of each group."""
-    # equal ids are equal rows of one group here, so the smallest id names what stays
-    kept = similar_groups(docs, width, percent).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of `docs` without those whose doc_id is not the smallest of its group: one document of each group stays.
+
+    Rows that share a doc_id are taken for one document and stay or go together; rows with a null doc_id stay.
+    """
+    groups = similar_groups(docs, width, percent)
+    stays = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").join(stays, "doc_id", "left_anti").distinct()
+    return docs.join(gone, "doc_id", "left_anti")

@@ -117,3 +117,10 @@ def nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlscope.llm.descent import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_context_mixing")
+def context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlscope.llm.language_model import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
