@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 
 from crawlscope.llm.common import ascii_words, components, stored
 
-# Buckets of the frequency table that all orders share: it has this size whatever the input.
-BUCKETS = 1 << 18
-SLICE = 1 << 12
+# Buckets of the frequency tables that all orders share, of shingles and of words: they have this size whatever the input.
+BUCKETS, WORD_BUCKETS = 1 << 20, 1 << 18
+SLICE = 1 << 14
+# Levels by which orders put rare tokens first: the last ones are for shingles that stand out among their table's buckets.
+LEVELS, COMMON = 64, 40
 # Words whose hash a task remembers before it starts afresh; a cache, nothing is left out.
 REMEMBERED = 300_000
 ORDERS = 3
-# Further rounds of comparing each bucket's components by their leaders before all remaining pairs are listed.
-STAR_ROUNDS = 2
+# Rows of a bucket that are compared by places at once to see which have a partner; in longer ones all count as having one.
+AT_ONCE = 512
+# Before all remaining pairs are listed, each row of a bucket meets only so many rows after it, if in other components.
+NEIGHBOURS = (8, 16)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.array([0x632BE59BD9B4E019, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -39,18 +43,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's `width`-word shingles; of the whole sequence if it is shorter; none without words."""
+def shingle_set(text: str | None, width: int, hashes: WordHashes, words_too: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of a text's `width`-word shingles; of the whole sequence if it is shorter; none without words.
+
+    With `words_too`, also the hashes of each shingle's words, one row per shingle.
+    """
     words = ascii_words(text)
     n = len(words)
     if not n:
-        return np.zeros(0, np.uint64)
+        none = np.zeros(0, np.uint64)
+        return (none, none.reshape(0, 1)) if words_too else none
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     span = min(width, n)
     value = np.full(n - span + 1, span, np.uint64)
     for i in range(span):
         value = value * _K + w[i : n - span + 1 + i]
-    return np.unique(_mixed(value))
+    value = _mixed(value)
+    if not words_too:
+        return np.unique(value)
+    tokens, first = np.unique(value, return_index=True)
+    return tokens, w[first[:, None] + np.arange(span)]
 
 
 def _class(tokens: np.ndarray) -> int:
@@ -58,27 +70,45 @@ def _class(tokens: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(_mixed(tokens * _K)).view(np.int64)) ^ xxhash.xxh64_intdigest(tokens.tobytes()) >> 1
 
 
+def levels_of(tokens: np.ndarray, words: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How frequent each shingle probably is: by its words' frequencies, above that by its own where it stands out."""
+    shingle, word = tables
+    by_words = word[(words & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)].sum(axis=1) * np.float32(4 / words.shape[1]) / 2
+    own = shingle[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    return np.where(own > 0, COMMON + own, np.minimum(by_words, COMMON).astype(np.int64)).astype(np.uint64)
+
+
 def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, ratio: Fraction) -> np.ndarray:
     """The tokens of which a set similar enough must share one: the first n - ceil(ratio * n) + 1 under global order `order`.
 
-    All orders put rare tokens before frequent ones, by levels of powers of two; within a level each order is a permutation of its own.
+    All orders put rare levels first; within a level each order is a permutation of its own.
     """
     n = len(tokens)
     take = n - -(-n * ratio.numerator // ratio.denominator) + 1
-    key = (levels[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (_mixed(tokens ^ _SALTS[order]) >> np.uint64(6))
-    return tokens[np.argpartition(key, take - 1)[:take]] if take < n else tokens
+    key = (levels << np.uint64(58)) | (_mixed(tokens ^ _SALTS[order]) >> np.uint64(6))
+    some = np.argpartition(key, take - 1)[:take] if take < n else np.arange(n)
+    return tokens[some[np.argsort(key[some])]]
 
 
-def _level_table(counted: DataFrame) -> np.ndarray:
-    """Logarithm of each bucket's count; sums travel as BUCKETS / SLICE rows."""
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": frame["slice"].iloc[:1], "counts": [np.sum(np.stack(frame["counts"].to_numpy()).astype(np.int64), axis=0)]})
-
-    sums = counted.groupBy("slice").applyInPandas(total, "slice int, counts array<long>").collect()
-    table = np.zeros(BUCKETS, np.int64)
+def _level_tables(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Per bucket of shingles the levels by which it exceeds twice the median, per bucket of words log2 of its count."""
+    def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for at, cell, n in zip(frame["slice"], frame["cell"], frame["counts"], strict=True):
+                sums.setdefault(at, np.zeros(SLICE, np.int64))[cell] += n
+        for at, values in sums.items():
+            yield pd.DataFrame({"slice": [at], "counts": [values]})
+
+    # as many rows as the tables have slices
+    sums = counted.repartition("slice").mapInPandas(total, "slice int, counts array<long>").collect()
+    table = np.zeros(BUCKETS + WORD_BUCKETS, np.int64)
     for row in sums:
         table[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = row["counts"]
-    return np.floor(np.log2(np.maximum(table, 1))).astype(np.uint8)
+    shingle, word = table[:BUCKETS], table[BUCKETS:]
+    usual = max(4.0, float(np.median(shingle)))
+    own = np.clip(np.floor(2 * np.log2(np.maximum(shingle, 1) / usual)) - 1, 0, LEVELS - COMMON - 1)
+    return own.astype(np.uint8), np.log2(np.maximum(word, 1)).astype(np.float32)
 
 
 def _surveyed(docs: DataFrame, width: int) -> DataFrame:
@@ -86,112 +116,137 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
+        hashes, counts = WordHashes(), np.zeros(BUCKETS + WORD_BUCKETS, np.int64)
         for frame in frames:
-            sizes, classes = [], []
+            sizes, classes, cells, held = [], [], [], 0
             for text in frame["text"]:
-                tokens = shingle_set(text, width, hashes)
-                counts += np.bincount((tokens & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(tokens) > BUCKETS // 8 else 0
-                if len(tokens) <= BUCKETS // 8:
-                    np.add.at(counts, (tokens & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                tokens, words = shingle_set(text, width, hashes, True)
                 sizes.append(len(tokens))
                 classes.append(_class(tokens) if len(tokens) else None)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n": np.array(sizes, np.int64), "class": pd.array(classes, "Int64"), "slice": None, "counts": None})
-        for i in range(BUCKETS // SLICE):
-            part = counts[i * SLICE : (i + 1) * SLICE]
-            if part.any():
-                yield pd.DataFrame({"doc_id": [None], "n": [None], "class": [None], "slice": [i], "counts": [part]})
+                cells += [(tokens & np.uint64(BUCKETS - 1)).astype(np.int64), (words[:, 0] & np.uint64(WORD_BUCKETS - 1)).astype(np.int64) + BUCKETS]
+                held += len(tokens)
+                if held > 1_000_000:
+                    counts += np.bincount(np.concatenate(cells), minlength=len(counts))
+                    cells, held = [], 0
+            if cells:
+                counts += np.bincount(np.concatenate(cells), minlength=len(counts))
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "n": np.array(sizes, np.int64), "class": pd.array(classes, "Int64"), "slice": None, "cell": None, "counts": None})
+        for i in range(len(counts) // SLICE):
+            some = np.flatnonzero(counts[i * SLICE : (i + 1) * SLICE])
+            if len(some):
+                yield pd.DataFrame({"doc_id": [None], "n": [None], "class": [None], "slice": [i], "cell": [some.astype(np.int32)], "counts": [counts[i * SLICE + some].astype(np.int32)]})
+
+    return docs.select("doc_id", "text").mapInPandas(read, f"doc_id {kind}, n long, class long, slice int, cell array<int>, counts array<int>")
+
 
-    return docs.select("doc_id", "text").mapInPandas(read, f"doc_id {kind}, n long, class long, slice int, counts array<int>")
+def _may_reach(n_a, pos_a, n_b, pos_b, percent: int):
+    """Whether sets that share a token at these places, and none before, can still be similar enough."""
+    return np.minimum(n_a - pos_a, n_b - pos_b) * (100 + percent) >= percent * (n_a + n_b)
 
 
-def _bucket_rows(frames: Iterator[pd.DataFrame], ratio: float) -> Iterator[pd.DataFrame]:
-    """Rows sorted by token, n and class: repeated ones and those alone in their bucket go; each gets a leader of fitting size.
+def _bucket_rows(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by token, n and class: repeated ones and those alone in their bucket go; each gets a leader that it may be similar to.
 
-    The leader is the first row of its run within the size ratio. Only the last row is carried from one frame to the next.
+    The leader is the first row of its run within the size ratio, or none (the row itself) if their places in the prefix
+    rule it out. Only the last row is carried from one frame to the next.
     """
-    last: pd.DataFrame | None = None  # waits for its right neighbour
-    shared, leader = False, (None, None, None)  # whether the waiting row has a left neighbour in its bucket; token, n, class of the run's head
+    columns = ["token", "n", "class", "pos"]
+    last: np.ndarray | None = None  # waits for its right neighbour
+    shared = False  # whether it has a left neighbour in its bucket
+    head = (None, 0, 0, 0)  # token, n, class and place of the run's first row
+
+    def led(rows: np.ndarray) -> np.ndarray:
+        nonlocal head
+        out = np.empty(len(rows), np.int64)
+        for i, (token, n, cls, pos) in enumerate(rows.tolist()):
+            if token != head[0] or n * percent > head[1] * 100:
+                head = (token, n, cls, pos)
+            out[i] = head[2] if _may_reach(n, pos, head[1], head[3], percent) else cls
+        return out
+
+    def out(rows: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).assign(leader=led(rows))
+
     for frame in frames:
+        rows = frame[columns].to_numpy(np.int64)
         if last is not None:
-            frame = pd.concat([last, frame], ignore_index=True)
-        token, n, cls = (frame[c].to_numpy() for c in ("token", "n", "class"))
-        same = (token[1:] == token[:-1]) & (n[1:] == n[:-1]) & (cls[1:] == cls[:-1])
-        keep = np.concatenate([[True], ~same])
-        token, n, cls = token[keep], n[keep], cls[keep]
-        if not len(token):
+            rows = np.concatenate([last, rows])
+        if not len(rows):
             continue
-        left = np.concatenate([[shared], token[1:] == token[:-1]])
-        right = np.concatenate([token[1:] == token[:-1], [False]])
-        done = len(token) - 1
-        heads = np.empty(len(token), np.int64)
-        at, an, ac = leader
-        for i in np.flatnonzero(left | right) if done else []:
-            if i == done:
-                break
-            if token[i] != at or n[i] * ratio > an:
-                at, an, ac = token[i], n[i], cls[i]
-            heads[i] = ac
-        leader = (at, an, ac)
-        some = np.flatnonzero((left | right)[:done])
+        keep = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+        rows = rows[keep]
+        next_same = rows[1:, 0] == rows[:-1, 0]
+        left, right = np.concatenate([[shared], next_same]), np.concatenate([next_same, [False]])
+        some = rows[:-1][(left | right)[:-1]]
         if len(some):
-            yield pd.DataFrame({"token": token[some], "n": n[some], "class": cls[some], "leader": heads[some]})
-        last = pd.DataFrame({"token": token[done:], "n": n[done:], "class": cls[done:]})
-        shared = bool(left[done])
+            yield out(some)
+        last, shared = rows[-1:], bool(left[-1])
     if last is not None and shared:
-        token, n, cls = last.iloc[0]
-        at, an, ac = leader
-        if token != at or n * ratio > an:
-            ac = cls
-        yield pd.DataFrame({"token": [token], "n": [n], "class": [cls], "leader": [ac]})
-
+        yield out(last)
 
-def _cross_pairs(frames: Iterator[pd.DataFrame], ratio: float, stars: bool) -> Iterator[pd.DataFrame]:
-    """Pairs of classes that share a bucket, fit in size and lie in different components. Rows come sorted by token and n.
-
-    With `stars`, only pairs between the first row of each component and the others of fitting size in its bucket.
-    """
-    waiting: list[pd.DataFrame] = []
-
-    def pairs(bucket: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        n, cls, comp = (bucket[c].to_numpy() for c in ("n", "class", "component"))
-        if len(n) < 2 or (comp == comp[0]).all():
-            return
-        if stars:
-            heads = np.unique(comp, return_index=True)[1]
-            firsts = np.sort(heads)[:1]
-        else:
-            firsts = np.arange(len(n))
-        ends = np.searchsorted(n, np.floor(n / ratio + 1e-9), side="right")
-        for i in firsts:
-            others = np.arange(i + 1, ends[i])
-            others = others[comp[others] != comp[i]]
-            if stars and len(others):
-                others = others[np.sort(np.unique(comp[others], return_index=True)[1])]
-            if len(others):
-                yield pd.DataFrame({"a": np.minimum(cls[i], cls[others]), "b": np.maximum(cls[i], cls[others])})
-
-    def flush(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        token = rows["token"].to_numpy()
-        cuts = np.flatnonzero(token[1:] != token[:-1]) + 1
-        out = [p for part in np.split(np.arange(len(rows)), cuts) if len(part) > 1 for p in pairs(rows.iloc[part])]
-        if out:
-            yield pd.concat(out, ignore_index=True).drop_duplicates()
 
+def _whole_buckets(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[np.ndarray]:
+    """Rows of a stream sorted by token, cut so that no bucket is divided."""
+    waiting: list[np.ndarray] = []
     for frame in frames:
-        token = frame["token"].to_numpy()
-        if not len(token):
+        rows = frame[columns].to_numpy(np.int64)
+        if not len(rows):
             continue
-        if waiting and waiting[-1]["token"].iloc[-1] != token[0]:
-            yield from flush(pd.concat(waiting, ignore_index=True))
+        if waiting and waiting[-1][-1, 0] != rows[0, 0]:
+            yield np.concatenate(waiting)
             waiting = []
-        start = int(np.flatnonzero(token != token[-1])[-1]) + 1 if (token != token[-1]).any() else 0
+        before = np.flatnonzero(rows[:, 0] != rows[-1, 0])
+        start = int(before[-1]) + 1 if len(before) else 0
         if start:
-            yield from flush(pd.concat([*waiting, frame.iloc[:start]], ignore_index=True))
+            yield np.concatenate([*waiting, rows[:start]])
             waiting = []
-        waiting.append(frame.iloc[start:])
+        waiting.append(rows[start:])
     if waiting:
-        yield from flush(pd.concat(waiting, ignore_index=True))
+        yield np.concatenate(waiting)
+
+
+def _bounds(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]])
+
+
+def _partnered(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Classes that fit some other row of a bucket in size and place."""
+    for rows in _whole_buckets(frames, ["token", "n", "class", "pos"]):
+        bounds, found = _bounds(rows), []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            _, n, cls, pos = rows[a:b].T
+            if b - a <= AT_ONCE:
+                fits = _may_reach(n[:, None], pos[:, None], n[None], pos[None], percent)
+                np.fill_diagonal(fits, False)
+                cls = cls[fits.any(axis=1)]
+            found.append(cls)
+        yield pd.DataFrame({"class": np.unique(np.concatenate(found))})
+
+
+def _cross_pairs(frames: Iterator[pd.DataFrame], percent: int, near: int) -> Iterator[pd.DataFrame]:
+    """Pairs of classes that share a bucket, fit in size and place and lie in different components; all, or those up to `near` rows apart."""
+    for rows in _whole_buckets(frames, ["token", "n", "class", "pos", "component"]):
+        for stride in range(1, min(near, len(rows) - 1) + 1):
+            x, y = rows[:-stride], rows[stride:]
+            fits = (x[:, 0] == y[:, 0]) & (x[:, 4] != y[:, 4]) & (y[:, 1] * percent <= x[:, 1] * 100) & _may_reach(x[:, 1], x[:, 3], y[:, 1], y[:, 3], percent)
+            if fits.any():
+                yield pd.DataFrame(np.unique(np.sort(np.column_stack([x[fits, 2], y[fits, 2]]), axis=1), axis=0), columns=["a", "b"])
+        if near:
+            continue
+        bounds = _bounds(rows)
+        # buckets of one component only are the most: leave them out at once
+        differ = np.flatnonzero((rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 4] != rows[:-1, 4]))
+        out = []
+        for k in np.unique(np.searchsorted(bounds, differ, side="right") - 1).tolist():
+            _, n, cls, pos, comp = rows[bounds[k] : bounds[k + 1]].T
+            ends = np.searchsorted(n, n * 100 // percent, side="right")
+            for i in range(len(n)):
+                others = np.arange(i + 1, ends[i])
+                others = others[(comp[others] != comp[i]) & _may_reach(n[i], pos[i], n[others], pos[others], percent)]
+                if len(others):
+                    out.append(np.column_stack([np.minimum(cls[i], cls[others]), np.maximum(cls[i], cls[others])]))
+        if out:
+            yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
 
 def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -204,44 +259,49 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     columns are not read.
 
     Classes meet in buckets of rare prefix tokens of the first order. A first round compares each bucket's rows with a
-    leader only; what that links needs no further comparing. All pairs still in different components follow. A pair is
+    leader only, the next ones rows a few places apart; what these link needs no further comparing. All pairs
+    still in different components follow. A pair is
     verified on full sets only if its prefixes under the other orders meet as well. A bucket's rows are numbers of
     24 bytes; frequent tokens stand last in every order and seldom are in a prefix.
     """
     ratio = Fraction(percent, 100)
     surveyed = stored(_surveyed(docs, width))
     texts = surveyed.filter("slice IS NULL").select("doc_id", "n", "class")
-    shipped = docs.sparkSession.sparkContext.broadcast(_level_table(surveyed.filter("slice IS NOT NULL").select("slice", "counts")))
+    shipped = docs.sparkSession.sparkContext.broadcast(_level_tables(surveyed.filter("slice IS NOT NULL").select("slice", "cell", "counts")))
 
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, levels, seen = WordHashes(), shipped.value, set()
+        hashes, tables, seen = WordHashes(), shipped.value, set()
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                tokens = shingle_set(text, width, hashes)
+                tokens, words = shingle_set(text, width, hashes, True)
                 if len(tokens) and (name := _class(tokens)) not in seen:
                     seen.add(name)  # copies in one task leave it once; 8 bytes a text
-                    rows.append((prefix(tokens, levels, 0, ratio), len(tokens), name))
+                    rows.append((prefix(tokens, levels_of(tokens, words, tables), 0, ratio), len(tokens), name))
             if rows:
                 lengths = [len(r[0]) for r in rows]
-                yield pd.DataFrame({"token": np.concatenate([r[0] for r in rows]).view(np.int64), "n": np.repeat([r[1] for r in rows], lengths), "class": np.repeat(np.array([r[2] for r in rows], np.int64), lengths)})
+                yield pd.DataFrame({
+                    "token": np.concatenate([r[0] for r in rows]).view(np.int64), "n": np.repeat([r[1] for r in rows], lengths),
+                    "class": np.repeat(np.array([r[2] for r in rows], np.int64), lengths), "pos": np.concatenate([np.arange(k) for k in lengths])})
 
-    met = docs.select("text").mapInPandas(prefixes, "token long, n int, class long").repartition("token").sortWithinPartitions("token", "n", "class")
-    buckets = stored(met.mapInPandas(lambda frames: _bucket_rows(frames, float(ratio)), "token long, n int, class long, leader long"))
+    met = docs.select("text").mapInPandas(prefixes, "token long, n int, class long, pos int").repartition("token").sortWithinPartitions("token", "n", "class")
+    buckets = stored(met.mapInPandas(lambda frames: _bucket_rows(frames, percent), "token long, n int, class long, pos int, leader long"))
 
     # whole sets, and prefixes under the other orders, of the classes that share a bucket: from one document each
-    wanted = buckets.select("class").distinct()
+    by_token = buckets.select("token", "n", "class", "pos").repartition("token").sortWithinPartitions("token", "n", "class")
+    wanted = by_token.mapInPandas(lambda frames: _partnered(frames, percent), "class long").distinct()
     one = texts.groupBy("class").agg(F.min("doc_id").alias("_id")).join(wanted, "class", "left_semi")
 
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, levels = WordHashes(), shipped.value
+        hashes, tables = WordHashes(), shipped.value
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                tokens = shingle_set(text, width, hashes)
+                tokens, words = shingle_set(text, width, hashes, True)
                 if len(tokens):
+                    levels = levels_of(tokens, words, tables)
                     rows.append((_class(tokens), tokens.view(np.int64), *[prefix(tokens, levels, k, ratio).view(np.int64) for k in range(1, ORDERS)]))
             yield pd.DataFrame(rows, columns=["class", "tokens", *[f"p{k}" for k in range(1, ORDERS)]])
 
@@ -266,14 +326,12 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
 
     tried = stored(buckets.filter("class <> leader").select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct())
     links = stored(verified(tried))
-    for last in [*[False] * STAR_ROUNDS, True]:
-        label = components(links)
+    for near in (*NEIGHBOURS, 0):
         placed = (
-            buckets.select("token", "n", "class").join(label.withColumnRenamed("node", "class"), "class", "left")
+            buckets.select("token", "n", "class", "pos").join(components(links).withColumnRenamed("node", "class"), "class", "left")
             .withColumn("component", F.coalesce("component", "class")).repartition("token").sortWithinPartitions("token", "n", "class")
         )
-        stars = not last
-        pairs = placed.mapInPandas(lambda frames, stars=stars: _cross_pairs(frames, float(ratio), stars), "a long, b long").distinct()
+        pairs = placed.mapInPandas(lambda frames, near=near: _cross_pairs(frames, percent, near), "a long, b long").distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
         links = stored(links.unionByName(verified(pairs)))
         tried = tried.unionByName(pairs)
