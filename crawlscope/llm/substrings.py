@@ -31,7 +31,7 @@ _GEAR = (np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.u
 _GEAR = (_GEAR * np.uint16(40503)) ^ (_GEAR >> np.uint16(7))
 _GEAR[0] = 0
 
-ROWS = "kind int, part long, digest long, doc_id long, version long, start int, words int"
+ROWS = "kind byte, digest long, doc_id long, version long, start int, words int"
 RUN = "doc_id long, version long, start int, words int, src_id long, src_version long, src_start int"
 
 
@@ -102,9 +102,7 @@ def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if rows:
             all_rows = np.concatenate(rows)
             kind, digest, doc, version, start, words_ = all_rows.T
-            # later chunks of a task don't meet here, so they are dealt out by place: a frequent chunk fills no task
-            part = np.where(kind == 1, digest ^ (doc * 0x9E3779B1 + start), digest)
-            yield pd.DataFrame({"kind": kind, "part": part, "digest": digest, "doc_id": doc, "version": version, "start": start, "words": words_})
+            yield pd.DataFrame({"kind": kind.astype(np.int8), "digest": digest, "doc_id": doc, "version": version, "start": start, "words": words_})
 
 
 def _sources(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,7 +115,7 @@ def _sources(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         later = frame[frame["kind"] == 1]
         if len(later):
-            yield later.drop(columns="part").assign(src_id=0, src_version=0, src_start=0)
+            yield later.assign(src_id=0, src_version=0, src_start=0)
         rest = frame[frame["kind"] != 1]
         if not len(rest):
             continue
@@ -137,7 +135,7 @@ def _sources(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source = np.where((owner >= 0)[:, None], place[np.maximum(owner, 0)], head)
         wanted = (chunk & (source[:, 1] != place[:, 1]) & ~fresh) | (kind == 2)
         if wanted.any():
-            yield rest[wanted].drop(columns="part").assign(src_id=source[wanted, 1], src_version=source[wanted, 2], src_start=source[wanted, 3])
+            yield rest[wanted].assign(src_id=source[wanted, 1], src_version=source[wanted, 2], src_start=source[wanted, 3])
         head, known = source[-1:], True
 
 
@@ -173,8 +171,10 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_WORDS, seed: int = SEED)
     smallest doc_id, so whatever is removed is kept by a document before. Passages that repeat within one document only are not reported.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = named.mapInPandas(_chunks, ROWS).repartition("part").sortWithinPartitions("digest", "kind", "doc_id", "start")
-    placed = stored(met.mapInPandas(_sources, f"{ROWS.replace('part long, ', '')}, src_id long, src_version long, src_start int"))
+    # later chunks of a task don't meet here, so they are dealt out by place: a frequent chunk fills no task
+    part = F.when(F.col("kind") == 1, F.xxhash64("doc_id", "start")).otherwise(F.col("digest"))
+    met = named.mapInPandas(_chunks, ROWS).repartition(part).sortWithinPartitions("digest", "kind", "doc_id", "start")
+    placed = stored(met.mapInPandas(_sources, f"{ROWS}, src_id long, src_version long, src_start int"))
     names = [c.split()[0] for c in RUN.split(", ")]
     source = placed.filter("kind = 2").select("digest", "src_id", "src_version", "src_start").dropDuplicates(["digest"])
     # joined by a key of its own, so that run-time splitting may cut a frequent chunk
