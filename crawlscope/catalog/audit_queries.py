@@ -17,7 +17,7 @@ from crawlscope.operators import scores as S
 from crawlscope.operators import security as H
 from crawlscope.operators import speed as W
 from crawlscope.operators.issues import ISSUE_COLUMNS, issue_constraints
-from crawlscope.operators.local import local_score, nap_consistency, nap_phones
+from crawlscope.operators.local import local_score, nap_consistency, nap_phones, phone_spellings
 from crawlscope.sources import html as M
 from crawlscope.sources import robots as B
 
@@ -63,7 +63,7 @@ def links(spark, sf):
 
 
 @query("eeat_signals_html", rf"""
-    SELECT page_id, regexp_matches(substr(flat, 1, 1000), '(?i)(^|{_EDGE})(por|escrito por|autor|redactado por)\s*:?\s*[\p{{L}}\p{{N}}_]+') AS has_author,
+    SELECT page_id, regexp_matches(flat, '(?i)(^|{_EDGE})(por|escrito por|autor|redactado por)\s*:?\s*[\p{{L}}\p{{N}}_]+') AS has_author,
            regexp_matches(flat, '(^|{_EDGE})\d{{4}}-\d{{2}}-\d{{2}}($|{_EDGE})') AS has_date,
            regexp_matches(flat, '{C.PHONE}') OR regexp_matches(flat, '(?i)(^|{_EDGE})(contáctanos|contacto|whatsapp|escríbenos)($|{_EDGE})') AS has_contact
     FROM (SELECT page_id, trim(regexp_replace(body, '\s+', ' ', 'g')) AS flat FROM {HTML} h) t""")
@@ -195,7 +195,7 @@ def _cell_issue(cell: str) -> str:
 
 
 TECHNICAL_ISSUES = " UNION ALL ".join(_cell_issue(c) for c in P.CELLS) + f"""
-    UNION ALL SELECT project_id, url, 'critical', 'content', url || ': English content on a Spanish site', substr({_COMBINED}, 1, 120), NULL, '1d', 4
+    UNION ALL SELECT project_id, url, 'critical', 'content', url || ': English content on a Spanish site', {_COMBINED}, NULL, '1d', 4
     FROM {{crawl_flat}} c WHERE {sql_mismatch(_COMBINED, 'lang_declared')}
     UNION ALL SELECT project_id, url, 'critical', 'zombie', url || ': zombie page (no H1, no structured data, noindex)', NULL, NULL, '1h', 3
     FROM {{crawl_flat}} c WHERE h1 = '' AND schema_types = '' AND NOT is_indexable"""
@@ -403,7 +403,7 @@ def _header_issue(condition, severity, title, effort, impact, current="NULL"):
     _header_issue("hsts IS NULL", "high", "'No Strict-Transport-Security header'", "5min", 3),
     _header_issue("hsts_weak", "medium", "'HSTS max-age is low (' || coalesce(CAST(hsts_max_age AS STRING), 'none') || ' of 15768000 seconds)'", "5min", 1, "hsts"),
     _header_issue("csp IS NULL", "medium", "'No Content-Security-Policy header'", "1h", 2),
-    _header_issue("csp_unsafe <> ''", "medium", "'CSP allows ' || csp_unsafe", "1d", 1, "substr(csp, 1, 200)"),
+    _header_issue("csp_unsafe <> ''", "medium", "'CSP allows ' || csp_unsafe", "1d", 1, "csp"),
     _header_issue("x_frame_options IS NULL AND NOT frame_ancestors", "medium", "'No X-Frame-Options and no frame-ancestors in CSP'", "5min", 2),
     _header_issue("x_content_type_options IS NULL", "medium", "'No X-Content-Type-Options header'", "5min", 1),
     _header_issue("referrer_policy IS NULL", "medium", "'No Referrer-Policy header'", "5min", 1)]))
@@ -492,6 +492,11 @@ def nap(spark, sf):
     return nap_phones(phone_pages(spark, sf))
 
 
+@query("phone_spellings", f"SELECT project_id, phone, raw, count(DISTINCT url) AS pages_count FROM {_MENTIONS} m GROUP BY 1, 2, 3")
+def spellings(spark, sf):
+    return phone_spellings(phone_pages(spark, sf))
+
+
 @query("nap_consistency", f"SELECT project_id, count(*) AS phones, count(*) <= 1 AS is_consistent, arg_max(phone, (pages_count, phone)) AS primary_phone FROM {PHONES} p GROUP BY 1")
 def nap_summary(spark, sf):
     pages = phone_pages(spark, sf)

@@ -247,7 +247,7 @@ def related(spark, sf):
                   WHERE lower(suggestion) <> lower(seed) GROUP BY 1, 2, lower(suggestion)),
     asked AS (SELECT * FROM (SELECT *, strip_accents(lower(suggestion)) AS s, list_filter(string_split(strip_accents(lower(seed)), ' '), lambda x: length(x) > 3) AS w FROM once) q
               WHERE len(list_filter({sql_list(C.QUESTION_MARKERS)}, lambda m: contains(s, m))) > 0 AND (len(w) = 0 OR len(list_filter(w, lambda x: contains(s, x))) > 0))
-    SELECT * FROM (SELECT project_id, seed, suggestion, row_number() OVER (PARTITION BY project_id, seed ORDER BY position, suggestion) AS rank FROM asked) r WHERE rank <= 15""")
+    SELECT * FROM (SELECT project_id, seed, suggestion, row_number() OVER (PARTITION BY project_id, seed ORDER BY position, suggestion) AS rank FROM asked) r""")
 def ideas(spark, sf):
     return I.question_ideas(load(spark, sf, "suggestion_rows"))
 

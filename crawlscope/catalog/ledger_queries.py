@@ -270,7 +270,7 @@ def link_issues(spark, sf):
 
 
 def _copies(field: str, severity: str, name: str, impact: int) -> str:
-    return _summary(f"SELECT * FROM ({A.DUPLICATES}) d WHERE field = '{field}'", "'\"' || substr(value, 1, 50) || '\" ×' || pages", "pages DESC, value", f"'{severity}'", "duplicates", "", "1h", str(impact), 3, "; ",
+    return _summary(f"SELECT * FROM ({A.DUPLICATES}) d WHERE field = '{field}'", "'\"' || value || '\" ×' || pages", "pages DESC, value", f"'{severity}'", "duplicates", "", "1h", str(impact), 3, "; ",
                     title_sql=f"sum(pages) || ' pages share {name} (' || count(*) || ' texts)'")
 
 

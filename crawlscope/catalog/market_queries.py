@@ -94,7 +94,7 @@ MEDIANS = f"""(SELECT project_id, keyword, count(*) AS pages_measured, CAST(trun
     CAST(trunc(median(h1_count)) AS INT) AS median_h1_count, CAST(trunc(median(links)) AS INT) AS median_links, round_even(avg(CAST(types <> '' AS INT)), 2) AS pct_with_schema,
     round_even(avg(CAST(has_author AS INT)), 2) AS pct_with_author, round_even(avg(CAST(has_date AS INT)), 2) AS pct_with_date,
     array_to_string(list_sort(list_distinct(flatten(list(CASE WHEN types = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(types, ',') END)))), ', ') AS common_schema_types
-  FROM (SELECT *, row_number() OVER (PARTITION BY project_id, keyword ORDER BY position) AS rn FROM {_LISTED} l WHERE NOT is_ours) f JOIN {_MEASURES} m ON m.url = f.url WHERE rn <= 5 GROUP BY 1, 2)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY project_id, keyword ORDER BY position) AS rn FROM {_LISTED} l WHERE NOT is_ours) f JOIN {_MEASURES} m ON m.url = f.url GROUP BY 1, 2)"""
 
 
 @query("serp_medians", f"SELECT * FROM {MEDIANS} m")

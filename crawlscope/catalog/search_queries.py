@@ -76,9 +76,10 @@ def _ranked(source: str, k: int) -> str:
 _OUT = ["project_id", "query", "page", "clicks", "impressions", "position", "rank"]
 
 
-@query("rankings_filter", _ranked(f"(SELECT * FROM {CURRENT} c WHERE query ILIKE '%RING%' AND position >= 2 AND position <= 30)", 1000))
+@query("rankings_filter", f"""SELECT project_id, query, page, clicks, impressions, position FROM {CURRENT} c
+    WHERE query ILIKE '%RING%' AND position >= 2 AND position <= 30""")
 def rankings(spark, sf):
-    return Q.rankings_filter(rows(spark, sf), "RING", 2.0, 30.0).select(*_OUT)
+    return Q.rankings_filter(rows(spark, sf), "RING", 2.0, 30.0).select(*_OUT[:-1])
 
 
 @query("near_top10", _ranked(f"(SELECT * FROM {CURRENT} c WHERE position > 10 AND position <= 20)", 5))
@@ -88,7 +89,7 @@ def near(spark, sf):
 
 @query("top_rows", _ranked(CURRENT, 1000))
 def top_rows(spark, sf):
-    return Q.top_rows(Q.current(rows(spark, sf))).select(*_OUT)
+    return Q.top_rows(Q.current(rows(spark, sf)), 1000).select(*_OUT)
 
 
 @query("top_queries", _ranked(CURRENT, 10))
@@ -113,11 +114,11 @@ def top_keywords_without_brand(spark, sf):
 
 
 @query("speed_targets", f"""
-    WITH shown AS (SELECT project_id, page, sum(impressions) AS n FROM {CURRENT} c WHERE page IS NOT NULL GROUP BY 1, 2),
-    best AS (SELECT project_id, page, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, page) AS r FROM shown),
-    listed AS (SELECT project_id, url AS page, 0 AS r FROM {{sites}} s UNION ALL SELECT * FROM best WHERE r <= 18),
-    once AS (SELECT project_id, page, r, row_number() OVER (PARTITION BY project_id, {sql_canonical('page')} ORDER BY r) AS k FROM listed)
-    SELECT * FROM (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY r) AS rank, page AS url FROM once WHERE k = 1) t WHERE rank <= 6""")
+    WITH per_page AS (SELECT project_id, page, sum(impressions) AS n, {sql_canonical('page')} AS c FROM {CURRENT} c WHERE page IS NOT NULL GROUP BY 1, 2),
+    shown AS (SELECT project_id, c, sum(n) AS n, arg_min(page, (-n, page)) AS page FROM per_page GROUP BY 1, 2),
+    listed AS (SELECT project_id, {sql_canonical('url')} AS c, url AS page, 0 AS tier, 0 AS n FROM {{sites}} s UNION ALL SELECT project_id, c, page, 1, -n FROM shown),
+    once AS (SELECT *, row_number() OVER (PARTITION BY project_id, c ORDER BY tier, n, page) AS k FROM listed)
+    SELECT * FROM (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY tier, n, page) AS rank, page AS url FROM once WHERE k = 1) t WHERE rank <= 6""")
 def speed_targets(spark, sf):
     return Q.speed_targets(rows(spark, sf), load(spark, sf, "sites"), 6)
 

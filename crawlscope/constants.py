@@ -8,7 +8,6 @@ CALL_TO_ACTION_MARKS = ["→", "cotiza", "llama", "agenda", "compra", "$"]
 BRAND_TOKENS = ["iPhone", "iPad", "iPadOS", "iPod", "iMac", "MacBook", "iOS", "macOS", "WhatsApp", "YouTube",
                 "PayPal", "TikTok"]
 QUESTION_MARKERS = ["por que", "que hacer", "como", "cuanto", "cuando", "donde", "cual es", "quien"]
-QUESTIONS_PER_SEED = 15
 # what text trimming removes: every character Unicode calls white space
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTER_RUN = "[a-záéíóúñ]+"
@@ -18,7 +17,6 @@ READING_VOWELS = "[aeiouáéíóúüAEIOUÁÉÍÓÚÜ]+"
 STUCK_WORDS = "[a-záéíóúñ][A-ZÁÉÍÓÚÑ]"
 REPEATED_SUFFIX = r"(?:\s*[|·\-–—]\s*)([^|·\-–—]{2,40}?)\s*[|·\-–—]\s*\1\s*$"
 BYLINE = r"\b(por|escrito por|autor|redactado por)\s*:?\s*\w+"
-BYLINE_CHARS = 1000
 VISIBLE_DATE = (
     r"\b(actualizado|publicado|última actualización)\b.{0,30}(\d{4}|\d{1,2}\s+de\s+\w+)"
     r"|\b\d{4}-\d{2}-\d{2}\b"

@@ -23,7 +23,7 @@ def phone_mentions(pages: DataFrame) -> DataFrame:
 
 
 def nap_phones(pages: DataFrame, examples: int = 10) -> DataFrame:
-    """Per site and number: pages it appears on, whether structured data states it, and its spellings.
+    """Per site and number: pages it appears on, whether structured data states it, and `examples` of its spellings.
 
     Counted per page first, so a number in every footer is summed before it is shuffled by number.
     """
@@ -36,6 +36,11 @@ def nap_phones(pages: DataFrame, examples: int = 10) -> DataFrame:
     return counted.join(named, keys)
 
 
+def phone_spellings(pages: DataFrame) -> DataFrame:
+    """Every spelling of every number of a site and the pages it stands on: the long table behind `nap_phones`."""
+    return phone_mentions(pages).groupBy(*SITE, "phone", "raw").agg(F.countDistinct("url").alias("pages_count"))
+
+
 def nap_consistency(pages: DataFrame, phones: DataFrame) -> DataFrame:
     """Per site: distinct numbers, whether they agree, and the number on most pages.
 

@@ -201,7 +201,7 @@ def technical_issues(pages: DataFrame) -> DataFrame:
         when_issue(
             T.language_mismatch(words, F.col("lang_declared")),
             issue("critical", "content", titled(F.lit("English content on a Spanish site")), "1d", 4, url,
-                  current=F.substring(words, 1, 120)),
+                  current=words),
         ),
         when_issue(
             zombie_page(pages),

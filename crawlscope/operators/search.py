@@ -126,9 +126,9 @@ def _by_impressions() -> list[Column]:
 
 def rankings_filter(
     queries: DataFrame, contains: str | None = None, min_position: float | None = None,
-    max_position: float | None = None, k: int = 1000,
+    max_position: float | None = None,
 ) -> DataFrame:
-    """Current rows matching a part of the query and a position range, the k most shown per site."""
+    """All current rows matching a part of the query and a position range; `top_rows` limits them."""
     rows = current(queries)
     if contains:
         pattern = contains.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
@@ -137,10 +137,10 @@ def rankings_filter(
         rows = rows.filter(F.col("position") >= min_position)
     if max_position is not None:
         rows = rows.filter(F.col("position") <= max_position)
-    return top_rows(rows, k)
+    return rows
 
 
-def top_rows(rows: DataFrame, k: int = 1000) -> DataFrame:
+def top_rows(rows: DataFrame, k: int) -> DataFrame:
     return first_k(rows, SITE, _by_impressions(), k, "rank")
 
 
@@ -168,15 +168,15 @@ def top_keywords(queries: DataFrame, k: int, brands: DataFrame | None = None) ->
 
 
 def speed_targets(queries: DataFrame, sites: DataFrame, max_pages: int = 6) -> DataFrame:
-    """The home page and the most shown pages of each site, one url per canonical page."""
-    shown = current(queries).filter(F.coalesce("page", F.lit("")) != "").groupBy(*SITE, "page").agg(
-        F.sum("impressions").alias("impressions")
+    """The home page and the most shown pages of each site, one url per canonical page, whose spellings are summed first."""
+    per_page = current(queries).filter(F.coalesce("page", F.lit("")) != "").groupBy(*SITE, "page").agg(F.sum("impressions").alias("_n"))
+    shown = per_page.withColumn("_canonical", canonical_url(F.col("page"))).groupBy(*SITE, "_canonical").agg(
+        F.sum("_n").alias("_n"), F.min(F.struct(-F.col("_n"), "page")).alias("_best")
     )
-    best = first_k(shown, SITE, [F.col("impressions").desc(), F.col("page")], 3 * max_pages)
-    home = sites.select(*SITE, F.col("url").alias("page"), F.lit(0).alias("_rank"))
-    listed = home.unionByName(best.select(*SITE, "page", "_rank")).withColumn("_canonical", canonical_url(F.col("page")))
-    once = listed.groupBy(*SITE, "_canonical").agg(F.min(F.struct("_rank", "page")).alias("_first"))
-    return first_k(once.select(*SITE, "_first.*"), SITE, [F.col("_rank")], max_pages, "rank").drop("_rank").select(
+    home = sites.select(*SITE, canonical_url(F.col("url")).alias("_canonical"), F.col("url").alias("page"), F.lit(0).alias("_tier"), F.lit(0).cast("long").alias("_n"))
+    listed = home.unionByName(shown.select(*SITE, "_canonical", "_best.page", F.lit(1).alias("_tier"), (-F.col("_n")).alias("_n")))
+    once = listed.groupBy(*SITE, "_canonical").agg(F.min(F.struct("_tier", "_n", "page")).alias("_first"))
+    return first_k(once.select(*SITE, "_first.*"), SITE, [F.col("_tier"), F.col("_n"), F.col("page")], max_pages, "rank").select(
         *SITE, "rank", F.col("page").alias("url")
     )
 

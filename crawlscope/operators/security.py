@@ -51,7 +51,7 @@ def security_issues(headers: DataFrame) -> DataFrame:
         when_issue(
             c("csp_unsafe") != "",
             issue("medium", "security", F.concat(F.lit("CSP allows "), c("csp_unsafe")), "1d", 1,
-                  current=F.substring(c("csp"), 1, 200)),
+                  current=c("csp")),
         ),
         when_issue(
             c("x_frame_options").isNull() & ~c("frame_ancestors"),

@@ -130,13 +130,15 @@ def serp_rows(listings: DataFrame) -> DataFrame:
     return latest_rows(listings, LISTING, "date")
 
 
-def competitor_rows(listings: DataFrame, measures: DataFrame, max_urls: int = 5) -> DataFrame:
-    """The best `max_urls` foreign rows of every keyword with their measured pages."""
+def competitor_rows(listings: DataFrame, measures: DataFrame, max_urls: int | None = None) -> DataFrame:
+    """The foreign rows of every keyword with their measured pages; `max_urls` keeps the best placed only."""
     foreign = serp_rows(listings).filter(~F.coalesce("is_ours", F.lit(False)))
-    return lookup_join(first_k(foreign, LISTING, [F.col("position")], max_urls).drop("_rank"), measures, ["url"], how="inner")
+    if max_urls is not None:
+        foreign = first_k(foreign, LISTING, [F.col("position")], max_urls).drop("_rank")
+    return lookup_join(foreign, measures, ["url"], how="inner")
 
 
-def serp_compare(listings: DataFrame, sites: DataFrame, measures: DataFrame, max_urls: int = 5) -> DataFrame:
+def serp_compare(listings: DataFrame, sites: DataFrame, measures: DataFrame, max_urls: int | None = None) -> DataFrame:
     """Measured differences between our page and the medians above it, one row per keyword and difference.
 
     Our page is the one that ranks, or the home page where none does.

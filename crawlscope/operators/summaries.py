@@ -82,7 +82,7 @@ def link_issues(table: DataFrame, nofollow: DataFrame) -> DataFrame:
 def duplicate_issues(groups: DataFrame, thin: DataFrame) -> DataFrame:
     """`groups` is `pages.duplicate_field`, `thin` is `pages.thin_content`."""
     words = {"title": ("high", "titles", 4), "meta_description": ("medium", "meta descriptions", 3), "h1": ("medium", "headings", 2)}
-    text = F.concat(F.lit('"'), F.substring("value", 1, 50), F.lit('" ×'), F.col("pages").cast("string"))
+    text = F.concat(F.lit('"'), F.col("value"), F.lit('" ×'), F.col("pages").cast("string"))
     keys = [*SITE, "field"]
     summed = counted_sample(groups, keys, text, [F.col("pages").desc(), F.col("value")], 3, "; ",
                             extra=[F.sum("pages").alias("affected")])

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 # A hot side holds at most this many keys, so broadcasting it is bounded whatever the data.
 # Every key outside it then holds less than 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
-# Shuffle targets over which the rows of hot keys are spread while they pass the cold join.
-SALTS = 256
+# Parts into which the rows of a key are dealt before its first rows are picked.
+PARTS = 64
 
 
 def lookup_join(
-    facts: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str | None = None, how: str = "left",
-    hot_keys: int = HOT_KEYS, salts: int = SALTS,
+    facts: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str | None = None, how: str = "left", hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Attach the columns of `dim` (at most one row per key) to `facts`, however uneven the keys are.
 
@@ -24,8 +23,8 @@ def lookup_join(
     that the partitions of heavy keys are split (see `session.RUNTIME_SETTINGS`). No side is broadcast unseen.
 
     Where `dim` comes with the number of fact rows per key, named by `weight`, the heaviest `hot_keys` keys
-    are instead answered from a broadcast of exactly that many rows, and rows so answered carry a salt that
-    spreads them over the shuffle in which all others meet. That also holds without run-time splitting.
+    are instead answered from a broadcast of exactly that many rows. Rows so answered leave at once, where they
+    lie; only the others are shuffled, and none of their keys is heavy. That holds without run-time splitting too.
     `how` is left, inner, left_semi or left_anti.
     """
     keys = list(keys)
@@ -37,30 +36,33 @@ def lookup_join(
         key_hash = F.xxhash64(*keys)
         sides = facts.withColumn("_key_hash", key_hash), dim.withColumn("_key_hash", key_hash)
         return sides[0].join(sides[1], [*keys, "_key_hash"], how).select(*wanted)
+    answered, rest = _by_hot_keys(facts, dim, keys, values, weight, hot_keys)
+    cold = rest.join(dim.select(*keys, *values), keys, how).select(*wanted)
+    if how == "left_anti":
+        return cold
+    return answered.select(*[F.col(c) for c in facts.columns], *[F.col(f"_hot.{c}").alias(c) for c in values if how in ("left", "inner")]).unionByName(cold)
+
+
+def _by_hot_keys(
+    facts: DataFrame, dim: DataFrame, keys: list[str], values: list[str], weight: str, hot_keys: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is among the heaviest, with that key's values as `_hot`, and the rest as it came."""
     packed = F.struct(F.lit(True).alias("_found"), *[F.col(c) for c in values])
     hot = dim.orderBy(F.col(weight).desc_nulls_last(), *keys).limit(hot_keys).select(*keys, packed.alias("_hot"))
-    hashable = [f.name for f in facts.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in hashable]), F.lit(salts)).cast("int") + 1
-    step = facts.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.lit(0))
-    )
-    cold = dim.select(*keys, packed.alias("_cold"), F.lit(0).alias("_salt"))
-    joined = step.join(cold, [*keys, "_salt"], "left").withColumn("_value", F.coalesce("_hot", "_cold"))
-    found = F.col("_value").isNotNull()
-    if how in ("inner", "left_semi"):
-        joined = joined.filter(found)
-    elif how == "left_anti":
-        joined = joined.filter(~found)
-    out = [F.col(c) for c in facts.columns]
-    if how in ("left", "inner"):
-        out += [F.col(f"_value.{c}").alias(c) for c in values]
-    return joined.select(*out)
+    step = facts.join(F.broadcast(hot), keys, "left")
+    return step.filter(F.col("_hot").isNotNull()), step.filter(F.col("_hot").isNull()).select(*facts.columns)
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "_rank") -> DataFrame:
-    """The first `k` rows per key. Every map task keeps only k rows per key before the shuffle."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    """The first `k` rows per key, in two steps: of each of a key's PARTS parts, then of what these leave.
+
+    No task sorts all rows of a key; the second step meets k * PARTS of them at most.
+    """
+    hashable = [f.name for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in hashable]), F.lit(PARTS)))
+    part = Window.partitionBy(*keys, "_part").orderBy(*order)
+    few = dealt.withColumn(rank, F.row_number().over(part)).filter(F.col(rank) <= k).drop(rank, "_part")
+    return few.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
 
 
 def sample_text(
@@ -89,6 +91,14 @@ def counted_sample(
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
-    """All rows carrying the newest `date` of their key."""
+    """All rows carrying the newest `date` of their key.
+
+    Older rows of the heaviest keys go where they lie; the others meet their key's newest date by key and date, so no
+    key's history is gathered.
+    """
+    keys = list(keys)
     newest = df.groupBy(*keys).agg(F.max(date).alias("_newest"), F.count(F.lit(1)).alias("_n"))
-    return lookup_join(df, newest, keys, weight="_n", how="inner").filter(F.col(date) == F.col("_newest")).drop("_newest")
+    answered, rest = _by_hot_keys(df, newest, keys, ["_newest"], "_n", HOT_KEYS)
+    kept = answered.filter(F.col(date) == F.col("_hot._newest")).select(*df.columns)
+    cold = newest.select(*keys, F.col("_newest").alias(date))
+    return kept.unionByName(rest.join(cold, [*keys, date], "left_semi").select(*df.columns))

@@ -160,11 +160,10 @@ def link_columns(markup: DataFrame) -> DataFrame:
 def eeat_columns(features: DataFrame) -> DataFrame:
     """has_author, has_date and has_contact from metas, types and the visible text."""
     text = F.col("body_text")
-    opening = F.substring(text, 1, C.BYLINE_CHARS)
     return features.withColumns(
         {
             "has_author": _has_meta("author") | F.array_contains("schema_types", "Person")
-            | opening.rlike("(?iuU)" + C.BYLINE),
+            | text.rlike("(?iuU)" + C.BYLINE),
             "has_date": _has_meta("article:published_time", "article:modified_time") | F.col("has_time")
             | text.rlike("(?iuU)" + C.VISIBLE_DATE),
             "has_contact": F.exists("anchors", lambda a: a["href"].rlike("(?i)^mailto:"))

@@ -7,7 +7,7 @@ it is reduced to the few columns that matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlscope.functions.text import looks_like_question, strip_accents
@@ -294,8 +294,8 @@ def related_queries_ingest(landing: DataFrame) -> DataFrame:
     )
 
 
-def question_ideas(suggestions: DataFrame, per_seed: int = 15) -> DataFrame:
-    """Suggestions that are questions, each once per seed, the first `per_seed` in order of arrival.
+def question_ideas(suggestions: DataFrame, per_seed: int | None = None) -> DataFrame:
+    """Suggestions that are questions, each once per seed, ranked in order of arrival; `per_seed` keeps the first ones only.
 
     `suggestions` is project_id, seed, position, suggestion. The seed itself does not count.
     """
@@ -303,7 +303,10 @@ def question_ideas(suggestions: DataFrame, per_seed: int = 15) -> DataFrame:
     fresh = suggestions.filter(F.lower("suggestion") != F.lower("seed"))
     once = fresh.groupBy(*keys, F.lower("suggestion").alias("_key")).agg(F.min(F.struct("position", "suggestion")).alias("_s"))
     asked = once.select(*keys, "_s.*").filter(looks_like_question(F.col("suggestion"), F.col("seed")))
-    return first_k(asked, keys, [F.col("position"), F.col("suggestion")], per_seed, "rank").drop("position")
+    order = [F.col("position"), F.col("suggestion")]
+    if per_seed is not None:
+        return first_k(asked, keys, order, per_seed, "rank").drop("position")
+    return asked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).drop("position")
 
 
 # --- links and answers -------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Skewed keys, the ledger applied twice, sources and sinks on disk."""
 
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from crawlscope.operators import search as Q
 from crawlscope.operators.backlinks import toxic_backlinks
 from crawlscope.plans import page_audit
 from crawlscope.sinks import files
-from crawlscope.skew import first_k, lookup_join
+from crawlscope.skew import first_k, latest_rows, lookup_join
 from crawlscope.sources import landing as I
 from crawlscope.sources.robots import blocked_urls
 from crawlscope.sources.sitemaps import read_sitemaps
@@ -31,20 +32,73 @@ def test_lookup_join_gives_the_same_rows_on_both_ways(spark):
     facts, dim = skewed(spark)
     for how in ("left", "inner", "left_semi", "left_anti"):
         plain = sorted(lookup_join(facts, dim.drop("n"), ["k"], how=how).collect())
-        salted = sorted(lookup_join(facts, dim, ["k"], weight="n", how=how, hot_keys=3, salts=4).collect())
-        assert plain == salted and (how == "left_anti" or len(plain) > 2900)
+        split = sorted(lookup_join(facts, dim, ["k"], weight="n", how=how, hot_keys=3).collect())
+        assert plain == split and (how == "left_anti" or len(plain) > 2900)
 
 
-def test_hot_rows_spread_over_the_cold_shuffle(spark):
-    facts, dim = skewed(spark)
-    plan = lookup_join(facts, dim, ["k"], weight="n", hot_keys=3)._jdf.queryExecution().toString()
-    assert "_salt" in plan and "TakeOrderedAndProject" in plan and "Cartesian" not in plan
+@contextmanager
+def without_adaptive_help(spark):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def test_first_k_limits_before_the_shuffle(spark):
-    facts, _ = skewed(spark)
-    plan = first_k(facts, ["k"], [F.col("id")], 5)._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan
+def heavy(spark, rows=100_000):
+    """One key holds a third of the rows, 5000 others share the rest; half of the days are old."""
+    key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000).cast("long")
+    return spark.range(0, rows, 1, 8).select("id", key.alias("k"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 2).cast("int")).alias("date"))
+
+
+def sizes(df):
+    return [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+
+
+def test_no_partition_gathers_a_heavy_key(spark):
+    with without_adaptive_help(spark):
+        facts = heavy(spark)
+        dim = facts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 2)
+        for joined in (lookup_join(facts, dim, ["k"], weight="n"), latest_rows(facts, ["k"], "date")):
+            filled = sizes(joined)
+            assert len(filled) >= 8 and max(filled) <= 2 * sum(filled) / len(filled)
+        newest = facts.groupBy("k").agg(F.max("date").alias("date"))
+        assert latest_rows(facts, ["k"], "date").count() == facts.join(newest, ["k", "date"], "left_semi").count()
+        plan = latest_rows(facts, ["k"], "date")._jdf.queryExecution().executedPlan().toString()
+        # histories meet their newest day by key and day; only sums per key are gathered by the key alone
+        assert "hashpartitioning(k" in plan and ", date" in plan.split("LeftSemi")[0].split("SortMergeJoin")[1]
+
+
+def test_first_k_sorts_no_heavy_key_in_one_task(spark):
+    with without_adaptive_help(spark):
+        facts = heavy(spark)
+        best = first_k(facts, ["k"], [F.col("id")], 5)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan and "_part" in plan
+        got = sorted(r.id for r in best.filter("k = 0").collect())
+        assert got == [0, 3, 6, 9, 12]
+        dealt = facts.withColumn("_part", F.pmod(F.xxhash64("id", "k", "date"), F.lit(64))).repartition(8, "k", "_part")
+        assert max(sizes(dealt)) <= 2 * 100_000 / 8
+
+
+def test_nothing_beyond_the_old_caps_is_lost(spark):
+    day = F.lit("2024-01-01").cast("date")
+    rows = spark.range(1500).select(F.lit(1).cast("long").alias("project_id"), day.alias("date"), F.format_string("ring %04d", "id").alias("query"), F.format_string("https://a.com/p%d", F.col("id") % 40).alias("page"),
+                                    F.lit(0).cast("long").alias("clicks"), F.col("id").alias("impressions"), F.lit(5.0).alias("position"))
+    assert Q.rankings_filter(rows, "ring").count() == 1500
+    ideas = spark.range(40).select(F.lit(1).cast("long").alias("project_id"), F.lit("zapato").alias("seed"), F.col("id").cast("int").alias("position"), F.format_string("como limpiar zapato %d", "id").alias("suggestion"))
+    assert I.question_ideas(ideas).count() == 40 and I.question_ideas(ideas, per_seed=3).count() == 3
+    # twenty spellings of one page stand before a wanted second page
+    spelled = spark.range(20).select(F.lit(1).cast("long").alias("project_id"), day.alias("date"), F.lit("q").alias("query"), F.format_string("https://www.a.com/x?utm_source=%d", "id").alias("page"),
+                                     F.lit(0).cast("long").alias("clicks"), F.lit(100).cast("long").alias("impressions"), F.lit(5.0).alias("position"))
+    other = spelled.limit(1).withColumns({"page": F.lit("https://a.com/y"), "impressions": F.lit(1).cast("long")})
+    sites = spark.createDataFrame([(1, "https://a.com/")], "project_id long, url string")
+    urls = [r.url for r in Q.speed_targets(spelled.unionByName(other), sites, 6).collect()]
+    assert "https://a.com/y" in urls
 
 
 def ledger_and_findings(spark):
