@@ -28,7 +28,7 @@ FREQUENT = 255
 STEP, RATE = 64, 0.002
 # Trust in a text's own earlier words at its start, and the words that this first guess counts for.
 OWN, GUESS = 0.05, 20
-PORTION = 4_000_000
+PORTION = 1_200_000
 INPUTS = 6
 _TABLES = {"order0": 1, "class": CLASSES, "word": ROWS, "classes": ROWS, "frequent": FREQUENT + 1, "spelling1": CLASSES, "spelling2": SPELLING, "spelling3": SPELLING}
 _FIRST = np.concatenate([[0], np.cumsum(list(_TABLES.values()))])
@@ -59,7 +59,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             for text in frame["text"]:
                 for w in ascii_words(text):
                     counts[w] += 1
-                if len(counts) > 600_000:
+                if len(counts) > 300_000:
                     yield tell(counts)
                     counts = defaultdict(int)
         if counts:
@@ -171,7 +171,7 @@ def _texts(frame: pd.DataFrame) -> list[str | None]:
 
 def _context_counts(docs: DataFrame, lexicon) -> np.ndarray:
     """Counts of classes per context row, and of bytes per spelling row, over all given texts: tables of fixed size, summed by slices."""
-    cells = int(_FIRST[-1]) * CLASSES
+    cells, contexts = int(_FIRST[-1]) * CLASSES, int(_FIRST[5]) * CLASSES
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(cells, np.int64)
@@ -179,9 +179,9 @@ def _context_counts(docs: DataFrame, lexicon) -> np.ndarray:
             for part in portions(frame):
                 p = Portion(_texts(frame.iloc[part]), lexicon.value)
                 for row in p.rows:
-                    table += np.bincount(row * CLASSES + p.cls, minlength=cells)
+                    table[:contexts] += np.bincount(row * CLASSES + p.cls, minlength=contexts)
                 for cell in p.spellings()[0]:
-                    table += np.bincount(cell, minlength=cells)
+                    np.add.at(table, cell, 1)
         for i in range(0, cells, SLICE):
             some = np.flatnonzero(table[i : i + SLICE])
             if len(some):
