@@ -270,7 +270,7 @@ def test_mix(docs, none):
     assert again.columns == docs.columns and again.filter("doc_id = 37").count() == next(r.copies for r in rows if r.doc_id == 37)
     # rates solve the dual: the tilted words of each source meet the target
     classes = mixing.stored(docs.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("!")).alias("key"), mixing.word_count(F.col("text")).alias("size")).groupBy("key", "size").count().withColumnRenamed("count", "n"))
-    aims = docs.sparkSession.createDataFrame([("!" if s is None else "=" + s, want[s], sizes[s]) for s in sizes], "key string, target double, source_size long")
+    aims = docs.sparkSession.createDataFrame([("!" if s is None else "=" + s, float(want[s]), sizes[s]) for s in sizes], "key string, target double, source_size long")
     met = mixing.rates(classes, aims).groupBy("key").agg(F.sum(F.col("n") * F.col("size") * F.col("rate")).alias("got")).collect()
     assert all(abs(r.got - want[None if r.key == "!" else r.key[1:]]) < 1e-6 * (1 + r.got) for r in met)
 
