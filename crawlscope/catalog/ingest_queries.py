@@ -11,6 +11,7 @@ from crawlscope.catalog.graph_queries import sites
 from crawlscope.catalog.registry import query
 from crawlscope.catalog.text_queries import sql_list
 from crawlscope.functions.urls import domain_of
+from crawlscope.plans import ingest as N
 from crawlscope.sources import landing as I
 from crawlscope.sources import sitemaps as X
 
@@ -93,6 +94,109 @@ def export_queries(spark, sf):
     return I.export_queries(exports(spark, sf)).withColumn("date", F.col("date").cast("string"))
 
 
+def twice(rows: DataFrame, site: str, record: Column, name: str) -> DataFrame:
+    """Payloads of several records each: snapshot 1 lands all rows, snapshot 2 again those with an even number of impressions, one click more."""
+    again = rows.filter("impressions % 2 = 0").withColumns({"clicks": F.col("clicks") + 1, "snapshot_id": F.lit(2)})
+    both = rows.withColumn("snapshot_id", F.lit(1)).unionByName(again)
+    # small payloads, as a collector lands a window in pages
+    return both.groupBy(site, "snapshot_id", F.pmod(F.xxhash64(*rows.columns), F.lit(64)).alias("_page")).agg(F.collect_list(record).alias(name))
+
+
+_AGAIN = "clicks + CASE WHEN impressions % 2 = 0 THEN 1 ELSE 0 END"
+_DAYS = "(SELECT project_id, date, max(clicks) AS clicks, max(impressions) AS impressions, min(position) AS position FROM {daily_rows} d GROUP BY 1, 2)"
+_PAIRS = "(SELECT project_id, query, page, max(clicks) AS clicks, max(impressions) AS impressions, min(position) AS position FROM {search_rows} s WHERE page IS NOT NULL GROUP BY 1, 2, 3)"
+
+
+def days(spark, sf):
+    return load(spark, sf, "daily_rows").groupBy("project_id", "date").agg(F.max("clicks").alias("clicks"), F.max("impressions").alias("impressions"), F.min("position").alias("position"))
+
+
+def pairs(spark, sf):
+    rows = load(spark, sf, "search_rows").filter("page IS NOT NULL")
+    return rows.groupBy("project_id", "query", "page").agg(F.max("clicks").alias("clicks"), F.max("impressions").alias("impressions"), F.min("position").alias("position"))
+
+
+def landed_twice(rows: DataFrame, keys: Column, name: str) -> DataFrame:
+    record = F.struct(keys.alias("keys"), "clicks", "impressions", F.lit(0.5).alias("ctr"), "position")
+    grouped = twice(rows, "project_id", record, name)
+    return grouped.select("project_id", "snapshot_id", F.to_json(F.struct(F.lit("2001-06-30").alias("end_date"), name)).alias("raw_data"))
+
+
+@query("gsc_daily_upsert", f"SELECT project_id, CAST(date AS STRING) AS date, {_AGAIN} AS clicks, impressions, 0.5e0 AS ctr, position FROM {_DAYS} d")
+def gsc_daily_upsert(spark, sf):
+    rows = landed_twice(days(spark, sf), F.array(F.col("date").cast("string")), "daily")
+    return N.ingest("gsc_daily", rows).withColumn("date", F.col("date").cast("string"))
+
+
+@query("gsc_queries_upsert", f"SELECT project_id, '2001-06-30' AS date, query, page, {_AGAIN} AS clicks, impressions, 0.5e0 AS ctr, position FROM {_PAIRS} p")
+def gsc_queries_upsert(spark, sf):
+    rows = landed_twice(pairs(spark, sf), F.array("query", "page"), "queries")
+    return N.ingest("gsc_queries", rows).withColumn("date", F.col("date").cast("string"))
+
+
+def exported_twice(rows: DataFrame, record: Column, name: str) -> DataFrame:
+    from pyspark.sql.types import StructType
+
+    grouped = twice(rows.withColumn("project_slug", F.col("project_id").cast("string")).drop("project_id"), "project_slug", record, name)
+    raw = grouped.select("snapshot_id", F.to_json(F.struct("project_slug", F.lit("2001-06-30").alias("end_date"), name)).alias("raw"))
+    return raw.select("snapshot_id", F.from_json("raw", StructType.fromDDL(I.EXPORT_SCHEMA)).alias("p")).select("snapshot_id", "p.*")
+
+
+@query("export_daily_upsert", f"SELECT CAST(project_id AS STRING) AS project_slug, CAST(date AS STRING) AS date, {_AGAIN} AS clicks, impressions, coalesce(({_AGAIN})::DOUBLE / nullif(impressions, 0), 0) AS ctr, position FROM {_DAYS} d")
+def export_daily_upsert(spark, sf):
+    record = F.struct(F.col("date").cast("string").alias("date"), "clicks", "impressions", "position")
+    return N.ingest("export_daily", exported_twice(days(spark, sf), record, "daily")).withColumn("date", F.col("date").cast("string"))
+
+
+@query("export_queries_upsert", f"SELECT CAST(project_id AS STRING) AS project_slug, '2001-06-30' AS date, query, page, {_AGAIN} AS clicks, impressions, coalesce(({_AGAIN})::DOUBLE / nullif(impressions, 0), 0) AS ctr, position FROM {_PAIRS} p")
+def export_queries_upsert(spark, sf):
+    record = F.struct("query", "page", "clicks", "impressions", "position")
+    return N.ingest("export_queries", exported_twice(pairs(spark, sf), record, "queries")).withColumn("date", F.col("date").cast("string"))
+
+
+# Of the other sources each payload is landed a second time with a changed value; the later one counts.
+
+
+@query("indexation_upsert", """SELECT project_id, query AS url, CASE WHEN impressions % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict
+    FROM (SELECT project_id, query, max(impressions) AS impressions FROM {search_rows} s GROUP BY 1, 2) q""")
+def indexation_upsert(spark, sf):
+    rows = load(spark, sf, "search_rows").groupBy("project_id", "query").agg(F.max("impressions").alias("impressions")).withColumn("clicks", F.lit(0))
+    verdict = F.when(F.col("clicks") > 0, "PASS").otherwise("FAIL")
+    record = F.struct(F.col("query").alias("url"), F.struct(F.struct(verdict.alias("verdict")).alias("indexStatusResult")).alias("result"))
+    landed = twice(rows, "project_id", record, "results").select("project_id", "snapshot_id", F.to_json(F.struct("results")).alias("raw_data"))
+    return N.ingest("indexation", landed).select("project_id", "url", "verdict")
+
+
+@query("trends_upsert", """SELECT project_id, query AS keyword, 'trends' AS source, CAST(CASE WHEN impressions % 2 = 0 THEN 1 ELSE 0 END AS INT) AS latest
+    FROM (SELECT project_id, query, max(impressions) AS impressions FROM {search_rows} s GROUP BY 1, 2) q""")
+def trends_upsert(spark, sf):
+    rows = load(spark, sf, "search_rows").groupBy("project_id", "query").agg(F.max("impressions").alias("impressions")).withColumn("clicks", F.lit(0))
+    again = rows.filter("impressions % 2 = 0").withColumns({"clicks": F.lit(1), "snapshot_id": F.lit(2)})
+    points = F.array(F.struct(F.lit("2001-06-29").alias("date"), F.lit(7).alias("value")), F.struct(F.lit("2001-06-30").alias("date"), F.col("clicks").alias("value"))).alias("points")
+    landed = rows.withColumn("snapshot_id", F.lit(1)).unionByName(again).select("project_id", "snapshot_id", F.to_json(F.struct(F.col("query").alias("keyword"), points)).alias("raw_data"))
+    return N.ingest("trends", landed).select("project_id", "keyword", "source", "latest")
+
+
+@query("related_queries_upsert", """SELECT project_id, query AS keyword, 'seed' AS seed_keyword, 'top' AS relation, CAST(CASE WHEN impressions % 2 = 0 THEN 1 ELSE 0 END AS INT) AS volume
+    FROM (SELECT project_id, query, max(impressions) AS impressions FROM {search_rows} s GROUP BY 1, 2) q""")
+def related_queries_upsert(spark, sf):
+    rows = load(spark, sf, "search_rows").groupBy("project_id", "query").agg(F.max("impressions").alias("impressions")).withColumn("clicks", F.lit(0))
+    landed = twice(rows, "project_id", F.struct("query", F.col("clicks").cast("string").alias("value")), "top")
+    none = F.array().cast("array<struct<query:string,value:string>>").alias("rising")
+    landed = landed.select("project_id", "snapshot_id", F.to_json(F.struct(F.lit("seed").alias("seed"), "top", none)).alias("raw_data"))
+    return N.ingest("related_queries", landed).select("project_id", "keyword", "seed_keyword", "relation", "volume")
+
+
+@query("backlinks_upsert", """SELECT project_id, query AS source_url, 'https://a.com/' AS target_url, CASE WHEN impressions % 2 = 0 THEN 'new' ELSE 'old' END AS anchor_text
+    FROM (SELECT project_id, query, max(impressions) AS impressions FROM {search_rows} s WHERE query <> '' GROUP BY 1, 2) q""")
+def backlinks_upsert(spark, sf):
+    rows = load(spark, sf, "search_rows").filter("query <> ''").groupBy("project_id", "query").agg(F.max("impressions").alias("impressions")).withColumn("clicks", F.lit(0))
+    anchor = F.when(F.col("clicks") > 0, "new").otherwise("old")
+    landed = twice(rows, "project_id", F.struct(F.col("query").alias("Url"), anchor.alias("AnchorText")), "details")
+    landed = landed.select("project_id", "snapshot_id", F.to_json(F.struct(F.lit("https://a.com/").alias("site_url"), F.lit("bing").alias("source"), "details")).alias("raw_data"))
+    return N.ingest("backlinks", landed).select("project_id", "source_url", "target_url", "anchor_text")
+
+
 SESSIONS = """(SELECT project_id, landing_page, CAST(CASE WHEN users = 1 THEN 0 ELSE sessions END AS INT) AS sessions, CAST(users AS INT) AS users, CAST(conversions AS DOUBLE) AS conversions,
     'keyEvents' AS conversion_metric, CASE WHEN users <> 1 THEN round_even(conversions::DOUBLE / sessions, 4) END AS conversion_rate FROM {session_rows} s)"""
 
