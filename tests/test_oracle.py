@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from crawlscope.catalog import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-ITERATIVE = {n for n in QUERIES if any(w in n for w in ("closure", "depth", "link_", "weak", "deep", "cannibal", "resolve_", "reclaim", "site_health", "opportunity", "coverage_issues", "report", "orphans"))}
+QUERIES = {n: q for n, q in entry.queries().items() if n in all_queries()}
+ORACLES = {n: q for n, q in entry.oracle_sql().items() if n in QUERIES}
 READS_MARKUP = ("html", "extract_", "jsonld", "robots", "agent", "geo", "keyword_gap", "competitor_comparison")
 
 
@@ -26,7 +27,7 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - ITERATIVE))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_has_no_product_and_no_needless_python(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
