@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope import constants as C
@@ -74,37 +74,46 @@ def schema_gap(own_pages: DataFrame, competitor_pages: DataFrame) -> DataFrame:
     return theirs.join(schema_coverage(own_pages).select(*SITE, "type"), [*SITE, "type"], "left_anti")
 
 
-def _substrings(texts: DataFrame, lengths: DataFrame) -> DataFrame:
-    """All substrings of `text` as long as some text on the other side: project_id, text, part."""
-    sized = lookup_join(texts, lengths, SITE, how="inner").filter(F.length("text") >= F.col("shortest"))
-    longest = F.least(F.col("longest"), F.length("text"))
-    per_length = sized.select(*SITE, "text", F.explode(F.sequence(F.col("shortest"), longest)).alias("_length"))
-    starts = F.sequence(F.lit(1), F.length("text") - F.col("_length") + 1)
-    return per_length.select(*SITE, "text", "_length", F.explode(starts).alias("_at")).select(
-        *SITE, "text", F.substring("text", F.col("_at"), F.col("_length")).alias("part")
-    )
+# Characters of the pieces by which a text is looked up in longer ones.
+PIECE = 6
+
+
+def _parts(length: int) -> Column:
+    """The distinct substrings of `text` of one length."""
+    starts = F.when(F.length("text") >= length, F.sequence(F.lit(1), F.length("text") - length + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda at: F.substring(F.col("text"), at, F.lit(length))))
+
+
+def containments(longs: DataFrame, shorts: DataFrame) -> DataFrame:
+    """project_id, long, short for distinct texts (project_id, text) of which the first contains the second.
+
+    A long text gives its pieces of PIECE characters, as many as its length. A short one of at least that length is looked
+    up by its rarest piece and then compared whole; a shorter one meets the substrings of its own length.
+    """
+    part = [*SITE, "part"]
+    hashed = lambda df: df.withColumn("_h", F.xxhash64(*part))  # noqa: E731  lets run-time splitting cut a frequent piece
+    pieces = longs.select(*SITE, F.col("text").alias("long"), F.explode(_parts(PIECE)).alias("part"))
+    counts = pieces.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
+    own = shorts.select(*SITE, F.col("text").alias("short"), F.explode(_parts(PIECE)).alias("part"))
+    anchors = hashed(own).join(hashed(counts), [*part, "_h"]).groupBy(*SITE, "short").agg(F.min_by("part", F.struct("n", "part")).alias("part"))
+    by_piece = hashed(pieces).join(hashed(anchors), [*part, "_h"]).filter(F.contains("long", "short"))
+    less = F.concat(F.array(F.lit("")), *[_parts(k) for k in range(1, PIECE)])
+    little = longs.select(*SITE, F.col("text").alias("long"), F.explode(less).alias("part"))
+    known = shorts.filter(F.length("text") < PIECE).select(*SITE, F.col("text").alias("part"), F.col("text").alias("short"))
+    by_itself = hashed(little).join(hashed(known), [*part, "_h"])
+    return by_piece.select(*SITE, "long", "short").unionByName(by_itself.select(*SITE, "long", "short"))
 
 
 def already_has_real_data(questions: DataFrame, queries: DataFrame) -> DataFrame:
     """Questions with a flag: does an own query of any date contain it, or lie within it, accents aside.
 
-    Containment is looked up, not tried pair by pair: each text is cut into its substrings of the lengths
-    found on the other side, and these meet the other side by equality.
+    Containment is looked up, not tried pair by pair, with rows in proportion to the texts' lengths.
     """
     plain = lambda c: strip_accents(F.lower(c))
     asked = questions.select(*SITE, plain("question").alias("text")).distinct()
     known = queries.select(*SITE, plain("query").alias("text")).distinct()
-
-    def lengths(texts: DataFrame) -> DataFrame:
-        return texts.groupBy(*SITE).agg(F.min(F.length("text")).alias("shortest"), F.max(F.length("text")).alias("longest"))
-
-    part = [*SITE, "part"]
-    inside_question = _substrings(asked, lengths(known)).join(
-        known.select(*SITE, F.col("text").alias("part")), part, "left_semi"
-    ).select(*SITE, "text")
-    inside_query = _substrings(known, lengths(asked)).select(*part).join(
-        asked.select(*SITE, F.col("text").alias("part")), part, "left_semi"
-    ).select(*SITE, F.col("part").alias("text"))
+    inside_question = containments(asked, known).select(*SITE, F.col("long").alias("text"))
+    inside_query = containments(known, asked).select(*SITE, F.col("short").alias("text"))
     hit = inside_question.unionByName(inside_query).distinct().withColumn("_hit", F.lit(True))
     keyed = questions.withColumn("text", plain("question"))
     return lookup_join(keyed, hit, [*SITE, "text"]).withColumn(
