@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from crawlscope.llm.common import ascii_words, components, stored
 
 # Buckets of the frequency tables that all orders share, of shingles and of words: they have this size whatever the input.
-BUCKETS, WORD_BUCKETS = 1 << 20, 1 << 18
+BUCKETS, WORD_BUCKETS = 1 << 23, 1 << 18
 SLICE = 1 << 14
-# Levels by which orders put rare tokens first: the last ones are for shingles that stand out among their table's buckets.
+# Levels by which orders put rare tokens first: the last ones are for shingles that stand out in their table beyond chance.
 LEVELS, COMMON = 64, 40
 # Words whose hash a task remembers before it starts afresh; a cache, nothing is left out.
 REMEMBERED = 300_000
@@ -91,24 +91,41 @@ def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, ratio: Fraction)
 
 
 def _level_tables(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Per bucket of shingles the levels by which it exceeds twice the median, per bucket of words log2 of its count."""
+    """Per bucket of shingles a level above 0 where it exceeds the usual count beyond chance, per bucket of words log2 of its count."""
     def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for frame in frames:
-            for at, cell, n in zip(frame["slice"], frame["cell"], frame["counts"], strict=True):
-                sums.setdefault(at, np.zeros(SLICE, np.int64))[cell] += n
+            for at, cell, counts in zip(frame["slice"], frame["cell"], frame["counts"], strict=True):
+                n = np.frombuffer(counts, np.uint16)
+                held = sums.setdefault(at, np.zeros(SLICE, np.int64))
+                if cell is None:
+                    held += n
+                else:
+                    held[np.frombuffer(cell, np.uint16)] += n
         for at, values in sums.items():
-            yield pd.DataFrame({"slice": [at], "counts": [values]})
+            yield pd.DataFrame({"slice": [at], "usual": [float(np.median(values))], "counts": [values.tobytes()]})
 
-    # as many rows as the tables have slices
-    sums = counted.repartition("slice").mapInPandas(total, "slice int, counts array<long>").collect()
-    table = np.zeros(BUCKETS + WORD_BUCKETS, np.int64)
-    for row in sums:
-        table[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = row["counts"]
-    shingle, word = table[:BUCKETS], table[BUCKETS:]
-    usual = max(4.0, float(np.median(shingle)))
-    own = np.clip(np.floor(2 * np.log2(np.maximum(shingle, 1) / usual)) - 1, 0, LEVELS - COMMON - 1)
-    return own.astype(np.uint8), np.log2(np.maximum(word, 1)).astype(np.float32)
+    sums = stored(counted.repartition("slice").mapInPandas(total, "slice int, usual double, counts binary"))
+    shingles, words = F.col("slice") < BUCKETS // SLICE, F.col("slice") >= BUCKETS // SLICE
+    usual = float(sums.filter(shingles).agg(F.median("usual")).first()[0] or 0)
+
+    def level(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for counts in frame["counts"]:
+                over = np.frombuffer(counts, np.int64) - usual
+                least = 4 * np.sqrt(usual) + 8
+                out.append(np.where(over > least, np.clip(1 + np.floor(2 * np.log2(np.maximum(over, 1) / least)), 1, LEVELS - COMMON - 1), 0).astype(np.uint8).tobytes())
+            yield pd.DataFrame({"slice": frame["slice"], "levels": out})
+
+    # one byte per bucket comes to the driver, and log2 of the words' counts
+    shingle, word = np.zeros(BUCKETS, np.uint8), np.zeros(WORD_BUCKETS, np.float32)
+    for row in sums.filter(shingles).select("slice", "counts").mapInPandas(level, "slice int, levels binary").collect():
+        shingle[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["levels"], np.uint8)
+    for row in sums.filter(words).collect():
+        at = row["slice"] * SLICE - BUCKETS
+        word[at : at + SLICE] = np.log2(np.maximum(np.frombuffer(row["counts"], np.int64), 1))
+    return shingle, word
 
 
 def _surveyed(docs: DataFrame, width: int) -> DataFrame:
@@ -116,27 +133,25 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, counts = WordHashes(), np.zeros(BUCKETS + WORD_BUCKETS, np.int64)
+        hashes, counts = WordHashes(), np.zeros(BUCKETS + WORD_BUCKETS, np.uint32)
         for frame in frames:
-            sizes, classes, cells, held = [], [], [], 0
+            sizes, classes = [], []
             for text in frame["text"]:
                 tokens, words = shingle_set(text, width, hashes, True)
                 sizes.append(len(tokens))
                 classes.append(_class(tokens) if len(tokens) else None)
-                cells += [(tokens & np.uint64(BUCKETS - 1)).astype(np.int64), (words[:, 0] & np.uint64(WORD_BUCKETS - 1)).astype(np.int64) + BUCKETS]
-                held += len(tokens)
-                if held > 1_000_000:
-                    counts += np.bincount(np.concatenate(cells), minlength=len(counts))
-                    cells, held = [], 0
-            if cells:
-                counts += np.bincount(np.concatenate(cells), minlength=len(counts))
+                np.add.at(counts, (tokens & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                np.add.at(counts, (words[:, 0] & np.uint64(WORD_BUCKETS - 1)).astype(np.int64) + BUCKETS, 1)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n": np.array(sizes, np.int64), "class": pd.array(classes, "Int64"), "slice": None, "cell": None, "counts": None})
         for i in range(len(counts) // SLICE):
-            some = np.flatnonzero(counts[i * SLICE : (i + 1) * SLICE])
+            part = np.minimum(counts[i * SLICE : (i + 1) * SLICE], 65535).astype(np.uint16)
+            some = np.flatnonzero(part)
             if len(some):
-                yield pd.DataFrame({"doc_id": [None], "n": [None], "class": [None], "slice": [i], "cell": [some.astype(np.int32)], "counts": [counts[i * SLICE + some].astype(np.int32)]})
+                # few counts travel with their places, many without
+                sparse = len(some) < SLICE // 3
+                yield pd.DataFrame({"doc_id": [None], "n": [None], "class": [None], "slice": [i], "cell": [some.astype(np.uint16).tobytes() if sparse else None], "counts": [(part[some] if sparse else part).tobytes()]})
 
-    return docs.select("doc_id", "text").mapInPandas(read, f"doc_id {kind}, n long, class long, slice int, cell array<int>, counts array<int>")
+    return docs.select("doc_id", "text").mapInPandas(read, f"doc_id {kind}, n long, class long, slice int, cell binary, counts binary")
 
 
 def _may_reach(n_a, pos_a, n_b, pos_b, percent: int):
@@ -308,20 +323,18 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     chosen = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     fields = ", ".join(f"p{k} array<long>" for k in range(1, ORDERS))
     whole = stored(chosen.mapInPandas(sets, f"class long, tokens array<long>, {fields}"))
-    filters, full = whole.select("class", *[f"p{k}" for k in range(1, ORDERS)]).dropDuplicates(["class"]), whole.select("class", "tokens").dropDuplicates(["class"])
+    names = [f"p{k}" for k in range(1, ORDERS)]
+    once = whole.dropDuplicates(["class"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        def both(what: DataFrame, to: DataFrame, columns: list[str]) -> DataFrame:
-            for side in ("a", "b"):
-                to = to.join(what.toDF(side, *[f"{c}_{side}" for c in columns]), side)
-            return to
-
-        names = [f"p{k}" for k in range(1, ORDERS)]
-        left = both(filters, pairs, names)
+        left = pairs
+        for side in ("a", "b"):
+            left = left.join(once.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("tokens", *names)]), side)
+        # the filters of all orders are intersected first; only what passes them is counted
+        meets = F.lit(True)
         for c in names:
-            left = left.filter(F.arrays_overlap(f"{c}_a", f"{c}_b"))
-        left = both(full, left.select("a", "b"), ["tokens"])
-        shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+            meets = meets & F.arrays_overlap(f"{c}_a", f"{c}_b")
+        shared = F.when(meets, F.size(F.array_intersect("tokens_a", "tokens_b"))).otherwise(0)
         return left.filter(shared * (100 + percent) >= (F.size("tokens_a") + F.size("tokens_b")) * percent).select("a", "b")
 
     tried = stored(buckets.filter("class <> leader").select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct())
