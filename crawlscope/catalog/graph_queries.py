@@ -57,16 +57,18 @@ def alias_filter(spark, sf):
 @query("redirect_map_merge", f"""
     SELECT coalesce(o.project_id, n.project_id) AS project_id, coalesce(o.source, n.source) AS source, coalesce(n.target, o.target) AS target
     FROM {REDIRECTS} o FULL JOIN (
-      SELECT project_id, {sql_canonical('url')} AS source, {sql_canonical('canonical')} AS target FROM {{crawl_flat}} c
-      WHERE word_count > 100 AND redirected_to IS NOT NULL AND {sql_canonical('url')} <> {sql_canonical('redirected_to')}) n
+      SELECT project_id, {sql_canonical('url')} || CASE WHEN word_count > 100 THEN '' ELSE '/moved' END AS source, {sql_canonical('canonical')} AS target FROM {{crawl_flat}} c
+      WHERE redirected_to IS NOT NULL AND {sql_canonical('url')} <> {sql_canonical('redirected_to')}) n
     ON n.project_id = o.project_id AND n.source = o.source""")
 def map_merge(spark, sf):
     from crawlscope.functions.urls import canonical_url
 
     persisted = L.redirect_edges(flat(spark, sf))
-    moved = flat(spark, sf).filter("word_count > 100 AND redirected_to IS NOT NULL")
+    moved = flat(spark, sf).filter("redirected_to IS NOT NULL")
     moved = moved.filter(canonical_url(F.col("url")) != canonical_url(F.col("redirected_to")))
-    fresh = moved.select("project_id", canonical_url(F.col("url")).alias("source"), canonical_url(F.col("canonical")).alias("target"))
+    # short pages have moved to a place that the kept map does not know
+    source = F.concat(canonical_url(F.col("url")), F.when(F.col("word_count") > 100, F.lit("")).otherwise(F.lit("/moved")))
+    fresh = moved.select("project_id", source.alias("source"), canonical_url(F.col("canonical")).alias("target"))
     return L.redirect_map_merge(persisted, fresh)
 
 

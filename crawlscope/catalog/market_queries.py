@@ -192,16 +192,18 @@ def gap(spark, sf):
     SELECT r.project_id, r.domain, FALSE, n, lowest, highest, CAST(seen AS STRING), CASE WHEN n IS NULL THEN 'never scanned' END
     FROM {{registered_rivals}} r LEFT JOIN (
       SELECT project_id, domain, arg_max(n, seen) AS n, arg_max(lowest, seen) AS lowest, arg_max(highest, seen) AS highest, max(seen) AS seen FROM (
-        SELECT project_id, 'www.' || domain AS domain, CAST(date AS TIMESTAMP) AS seen, count(*) AS n, min(position) AS lowest, max(position) AS highest FROM {{listing_rows}} l
-        WHERE length(domain) > 13 GROUP BY 1, 2, 3) g GROUP BY 1, 2) x ON x.project_id = r.project_id AND x.domain = r.domain""")
+        SELECT project_id, CASE WHEN length(domain) > 13 THEN 'www.' ELSE 'other.' END || domain AS domain, CAST(date AS TIMESTAMP) AS seen, count(*) AS n, min(position) AS lowest, max(position) AS highest FROM {{listing_rows}} l
+        GROUP BY 1, 2, 3) g GROUP BY 1, 2) x ON x.project_id = r.project_id AND x.domain = r.domain""")
 def matrix(spark, sf):
     rivals = registered(spark, sf).groupBy("project_id").agg(F.collect_list("domain").alias("competitors"))
     named = sites(spark, sf).join(rivals, "project_id", "left")
     own = crawl(spark, sf).groupBy("project_id").agg(F.count(F.lit(1)).alias("pages_crawled")).withColumns(
         {"technical_score": F.lit(70), "geo_score": F.lit(None).cast("int")}
     )
-    scans = listings(spark, sf).filter(F.length("domain") > 13).groupBy(
-        "project_id", F.concat(F.lit("www."), "domain").alias("domain"), F.col("date").cast("timestamp").alias("scanned_at")
+    # short names were scanned under another host, so some rivals count as never scanned
+    host = F.concat(F.when(F.length("domain") > 13, F.lit("www.")).otherwise(F.lit("other.")), "domain")
+    scans = listings(spark, sf).groupBy(
+        "project_id", host.alias("domain"), F.col("date").cast("timestamp").alias("scanned_at")
     ).agg(F.count(F.lit(1)).alias("pages_crawled"), F.min("position").alias("technical_score"), F.max("position").alias("geo_score"))
     return R.competitive_matrix(named, own, scans).withColumn("scanned_at", F.col("scanned_at").cast("string"))
 
@@ -226,4 +228,6 @@ def comparison(spark, sf):
 def schema_gap(spark, sf):
     pages = crawl(spark, sf)
     rivals = pages.withColumn("competitor", F.when(F.col("has_contact"), "a.example").otherwise("b.example"))
-    return R.schema_gap(pages.filter("is_indexable AND word_count < 400"), rivals)
+    # own pages that are long or not indexable state no types, so a gap is left
+    stated = F.when(F.expr("is_indexable AND word_count < 400"), F.col("schema_types")).otherwise(F.array().cast("array<string>"))
+    return R.schema_gap(pages.withColumn("schema_types", stated), rivals)
