@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import stored
+from crawlscope.llm.common import WRITTEN, dropped, stored
 from crawlscope.llm.mixing import resample
 from crawlscope.llm.ngram_join import keep_one
 from crawlscope.llm.packing import pack_documents
@@ -43,15 +43,35 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("toxicity", toxicity), ("ngram_jaccard", ngram_jaccard), ("substring_dedup", substring_dedup), ("mixing", mixing), ("packing", packing)]
+# What the stage called last has written for itself.
+_LAST: list[str] = []
+
+
+def _alone(stage):
+    """`stage`, after deleting what the stage before wrote for itself: that one's rows have been written in full since."""
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tune(spark)
+        dropped(spark, _LAST)
+        before = len(WRITTEN)
+        rows = stage(spark, docs, sf_dir)
+        _LAST[:] = WRITTEN[before:]
+        return rows
+
+    return call
+
+
+_FUNCTIONS = (toxicity, ngram_jaccard, substring_dedup, mixing, packing)
+STAGES = [(f.__name__, _alone(f)) for f in _FUNCTIONS]
 
 # Networks, hashes and packing have no SQL; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each one's rows written as Parquet to the shared folder and read by the next."""
-    tune(spark)
+    """All stages over `documents`, each one's rows written as Parquet to the shared folder and read by the next.
+
+    A run's result is to be written or collected before the next run begins, which deletes what the last stage wrote for itself.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

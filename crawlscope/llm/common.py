@@ -25,13 +25,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# Folders written by `stored` in this process, in order.
+WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders that `stored` has written, once nothing reads them any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
