@@ -38,8 +38,12 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 SMOOTH = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
 # A path belongs to the article if its fused ratio reaches this share of the page's spread of ratios.
 SPREAD = 0.25
+# A path's own ratio, before its neighbours smooth it, must reach this share of the greatest path's, so short junk between paragraphs does not pass.
+OWN = 0.05
 # The article's element is the deepest one that holds this share of the text of the chosen paths.
 HOLDS = 0.8
+# Short parts of an article, kept without a content path unless most of their text is links.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre".split())
 
 
 def _marked(name: str, attrs: str) -> bool:
@@ -131,56 +135,77 @@ def main_text(page: str | None) -> str:
 
     Text length and punctuation are summed per root-to-leaf tag path and divided by the path's nodes; each node takes its
     path's two ratios, which are smoothed along the page and fused by multiplication. Paths above a share of the spread are
-    content. The deepest element that holds most of their text is the article: all of it is kept, but for boilerplate
-    elements and for blocks of links outside the content paths. Where the page names an article, only that is looked at.
+    content. The deepest element that holds most of their text is the article: it is kept, but for boilerplate
+    elements and for what lies outside the content paths, unless it shares a block with them or is a heading, list item, cell or
+    the like, and no block of links. Where the page names an article, only that is looked at, by the same thresholds.
     """
     nodes, names = text_nodes(page or "")
-    mains = [{e for e, n in names.items() if n == wanted} for wanted in MAIN]
-    for group in mains:
+    # an article or main only narrows the nodes, and only where some of its text is left
+    named = False
+    for wanted in MAIN:
+        group = {e for e, n in names.items() if n == wanted}
         inside = [n for n in nodes if group.intersection(n[3])]
         if any(n[0].strip() for n in inside):
-            nodes = inside
+            nodes, named = inside, True
             break
     solid = [n for n in nodes if n[0].strip()]
     if not solid:
         return ""
-    size = np.array([len(n[0].strip()) for n in solid], float)
-    stops = np.array([len(_PUNCTUATION.findall(n[0])) for n in solid], float)
+    # bold, spans and the like belong to the path of their block, links don't
+    paths = [n[1] if n[4] else _block_path(n[1]) for n in solid]
+    length = np.array([len(n[0].strip()) for n in solid], float)
+    # text of links does not speak for its path
+    size = np.where([n[4] for n in solid], 0.0, length)
+    stops = np.array([0 if n[4] else len(_PUNCTUATION.findall(n[0])) for n in solid], float)
     by_path: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for (_, path, *_), s, p in zip(solid, size, stops, strict=True):
+    for path, s, p in zip(paths, size, stops, strict=True):
         total = by_path[path]
         total[0] += s
         total[1] += p
         total[2] += 1
-    ratio = np.array([[by_path[n[1]][0] / by_path[n[1]][2], by_path[n[1]][1] / by_path[n[1]][2]] for n in solid])
+    ratio = np.array([[by_path[p][0] / by_path[p][2], by_path[p][1] / by_path[p][2]] for p in paths])
     weight = np.convolve(np.ones(len(solid)), SMOOTH)[2 : 2 + len(solid)]
     smooth = np.column_stack([np.convolve(ratio[:, i], SMOOTH)[2 : 2 + len(solid)] / weight for i in (0, 1)])
     fused = smooth[:, 0] * (1 + smooth[:, 1])
-    chosen = fused >= min(SPREAD * fused.std(), fused.max()) if len(solid) > 1 else np.ones(1, bool)
+    own = ratio[:, 0] * (1 + ratio[:, 1])
+    chosen = (fused >= min(SPREAD * fused.std(), fused.max())) & (own >= OWN * own.max()) if len(solid) > 1 else np.ones(1, bool)
     # a path is chosen as a whole: by most of its text
     share: dict[str, float] = defaultdict(float)
-    for n, s, c in zip(solid, size, chosen, strict=True):
-        share[n[1]] += s if c else -s
-    chosen = np.array([share[n[1]] >= 0 for n in solid])
+    for p, s, c in zip(paths, length, chosen, strict=True):
+        share[p] += s if c else -s
+    chosen = np.array([share[p] >= 0 for p in paths])
+    if not chosen.any():
+        chosen[:] = True
     held: dict[int, float] = defaultdict(float)
-    for n, s, c in zip(solid, size, chosen, strict=True):
+    for n, s, c in zip(solid, length, chosen, strict=True):
         if c:
             for e in n[3]:
                 held[e] += s
-    most = HOLDS * size[chosen].sum()
-    article = max((e for e, s in held.items() if s >= most), default=0)
-    content = {n[1] for n, c in zip(solid, chosen, strict=True) if c}
+    most = HOLDS * length[chosen].sum()
+    article = 0 if named else max((e for e, s in held.items() if s >= most), default=0)
+    content = {p for p, c in zip(paths, chosen, strict=True) if c}
     linked: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for n, s in zip(solid, size, strict=True):
+    core, parts = set(), set()
+    for n, p, s in zip(solid, paths, length, strict=True):
         linked[n[2]][1 if n[4] else 0] += s
+        if p in content:
+            core.add(n[2])
+        elif _block_path(p).rpartition("/")[2] in PARTS:
+            parts.add(n[2])
     blocks: dict[int, list[str]] = {}
-    named = any(group for group in mains)
     for n in nodes:
-        if (not article or article in n[3] or named) and (named or n[1] in content or not n[0].strip() or linked[n[2]][0] >= linked[n[2]][1]):
+        if (not article or article in n[3]) and (n[2] in core or not n[0].strip() or (n[2] in parts and linked[n[2]][0] >= linked[n[2]][1])):
             blocks.setdefault(n[2], []).append(n[0])
     return " ".join(t for t in (" ".join("".join(b).split()) for b in blocks.values()) if t)
 
 
+def _block_path(path: str) -> str:
+    """The path without the inline elements at its end."""
+    while path.rpartition("/")[2] in INLINE:
+        path = path.rpartition("/")[0]
+    return path
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page; null html is empty, rows are handled one by one and never dropped.
 

@@ -236,6 +236,20 @@ def test_extraction(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_thresholds_decide_inside_a_named_article():
+    text = "A long paragraph of the story, with commas, stops. And so on, for a while, until it ends here. " * 3
+    links = "".join(f"<div><a href='/{i}'>Read this next {i}</a></div>" for i in range(8))
+    promos = "".join(f"<div><span>Deal {i}</span></div>" for i in range(8))
+    story = f"<h1>Heading</h1><p>{text}</p><p>{text}<b>bold</b> and <a>a link</a>.</p>{{}}<ul><li>An item</li><li>Another</li></ul><p>{text}</p>"
+    plain = extraction.main_text(f"<body><article>{story.format('')}</article></body>")
+    assert plain.startswith("Heading A long") and "bold and a link. An item Another A long" in plain
+    for junk in (links, promos, "<div>Buy now</div>", links + promos):
+        assert extraction.main_text(f"<body><article>{story.format(junk)}</article></body>") == plain
+    # an element that gives no text does not switch the thresholds off
+    for empty in ("<article></article>", "<aside><article>x</article></aside>", "<main> </main>"):
+        assert extraction.main_text(f"<body>{empty}<div>{story.format(links)}</div></body>") == plain
+
+
 # --- mixing, shards, packing ---------------------------------------------------------------------------
 
 
