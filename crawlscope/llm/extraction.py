@@ -18,11 +18,14 @@ RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe",
 BOILERPLATE = frozenset("nav header footer aside form head dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 MAIN = ("article", "main")
-# Names of classes and ids that mark what is not the article.
+# Names of classes and ids that mark what is not the article, where the element holds less than MINOR of the text outside links.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead comment comments disqus reply replies share sharing social "
     "related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar skip copyright legal form".split())
+MINOR = 0.5
+# Elements that no name marks, and first parts of names that tell of the page's layout.
+WHOLE, LAYOUT = frozenset(("html", "body", *MAIN)), frozenset(("has", "no", "with", "without"))
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 # An opening tag ends these open siblings first, up to the container that bounds the search.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
@@ -46,7 +49,7 @@ HOLDS = 0.8
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre".split())
 
 
-def _marked(name: str, attrs: str) -> bool:
+def _boilerplate(name: str, attrs: str) -> bool:
     if name in BOILERPLATE:
         return True
     if "=" not in attrs and "hidden" not in attrs:
@@ -55,14 +58,25 @@ def _marked(name: str, attrs: str) -> bool:
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in ROLES):
             return True
-        if key in ("class", "id") and any(part in MARKS for word in value.split() for part in (word, *_PART.split(word))):
-            return True
     return False
 
 
-def text_nodes(page: str) -> tuple[list[tuple[str, str, int, tuple[int, ...], bool]], dict[int, str]]:
-    """(text, tag path, block, open elements, in a link) per text node outside boilerplate, and the names of elements."""
-    nodes, names = [], {}
+def _marked(name: str, attrs: str) -> bool:
+    """Whether a class or id names what is not the article; whether it is so depends on the text that the element holds."""
+    if name in WHOLE or "=" not in attrs:
+        return False
+    for key, a, b, c in _ATTR.findall(attrs):
+        if key.lower() in ("class", "id"):
+            for word in (a or b or c).lower().split():
+                split = _PART.split(word)
+                if word in MARKS or (split[0] not in LAYOUT and any(part in MARKS for part in split)):
+                    return True
+    return False
+
+
+def text_nodes(page: str) -> tuple[list[tuple[str, str, int, tuple[int, ...], bool]], dict[int, str], set[int]]:
+    """(text, tag path, block, open elements, in a link) per text node outside boilerplate, the names of elements, and those marked."""
+    nodes, names, marked = [], {}, set()
     stack: list[tuple[str, int, str, bool]] = []  # name, element, path, boilerplate
     block = element = at = 0
 
@@ -83,7 +97,7 @@ def text_nodes(page: str) -> tuple[list[tuple[str, str, int, tuple[int, ...], bo
         token = _TOKEN.search(page, pos)
         if token is None:
             say(at, len(page))
-            return nodes, names
+            return nodes, names, marked
         say(at, token.start())
         at = pos = max(token.end(), token.start() + 1)
         name = (token["name"] or "").lower()
@@ -126,27 +140,46 @@ def text_nodes(page: str) -> tuple[list[tuple[str, str, int, tuple[int, ...], bo
             continue
         element += 1
         names[element] = name
-        bad = (stack[-1][3] if stack else False) or _marked(name, token["attrs"])
+        bad = (stack[-1][3] if stack else False) or _boilerplate(name, token["attrs"])
+        if not bad and _marked(name, token["attrs"]):
+            marked.add(element)
         stack.append((name, element, f"{stack[-1][2] if stack else ''}/{name}", bad))
 
 
+def _unmarked(nodes: list[tuple[str, str, int, tuple[int, ...], bool]], marked: set[int]) -> list[tuple[str, str, int, tuple[int, ...], bool]]:
+    """The nodes without marked elements that hold a minor share of their text; all nodes if that left no text."""
+    if not marked:
+        return nodes
+    sizes = [0 if n[4] else len(n[0].strip()) for n in nodes]
+    if not any(sizes):
+        sizes = [len(n[0].strip()) for n in nodes]
+    held: dict[int, int] = defaultdict(int)
+    for n, s in zip(nodes, sizes, strict=True):
+        for e in marked.intersection(n[3]):
+            held[e] += s
+    minor = {e for e in marked if held[e] < MINOR * sum(sizes)}
+    left = [n for n in nodes if not minor.intersection(n[3])]
+    return left if any(n[0].strip() for n in left) else nodes
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: blocks in order, white space folded, joined by one space; empty if there is none.
 
     Text length and punctuation are summed per root-to-leaf tag path and divided by the path's nodes; each node takes its
     path's two ratios, which are smoothed along the page and fused by multiplication. Paths above a share of the spread are
     content. The deepest element that holds most of their text is the article: it is kept, but for boilerplate
-    elements and for what lies outside the content paths, unless it shares a block with them or is a heading, list item, cell or
+    elements, marked ones with a minor share of the text, and what lies outside the content paths, unless it shares a block with them or is a heading, list item, cell or
     the like, and no block of links. Where the page names an article, only that is looked at, by the same thresholds.
     """
-    nodes, names = text_nodes(page or "")
+    nodes, names, marked = text_nodes(page or "")
+    nodes = _unmarked(nodes, marked)
     # an article or main only narrows the nodes, and only where some of its text is left
     named = False
     for wanted in MAIN:
         group = {e for e, n in names.items() if n == wanted}
         inside = [n for n in nodes if group.intersection(n[3])]
         if any(n[0].strip() for n in inside):
-            nodes, named = inside, True
+            nodes, named = _unmarked(inside, marked), True
             break
     solid = [n for n in nodes if n[0].strip()]
     if not solid:

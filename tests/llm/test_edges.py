@@ -250,6 +250,17 @@ def test_thresholds_decide_inside_a_named_article():
         assert extraction.main_text(f"<body>{empty}<div>{story.format(links)}</div></body>") == plain
 
 
+def test_names_of_the_layout_do_not_empty_a_page():
+    text = "A paragraph of the story, with commas, stops. And so on, until it ends."
+    inner = f"<p>{text}</p><p>{text}</p>"
+    for page in (f"<body class='no-sidebar'>{inner}</body>", f"<body class='ad'>{inner}</body>", f"<main class='with-comments'>{inner}</main>",
+                 f"<div class='content has-sidebar'>{inner}</div>", f"<div class='post social'>{inner}</div>", f"<div id='page-header-wrap'>{inner}</div>",
+                 f"<div id='page-header-wrap'><article class='share'>{inner}</article></div>", f"<p class='legal'>{text}</p><p class='legal'>{text}</p>"):
+        assert extraction.main_text(page) == f"{text} {text}"
+        # what is marked and minor still goes
+        assert extraction.main_text(page.replace(inner, inner + "<div class='site-ad'>Buy, now.</div>")) == f"{text} {text}"
+
+
 # --- mixing, shards, packing ---------------------------------------------------------------------------
 
 
