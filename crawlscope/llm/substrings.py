@@ -23,6 +23,8 @@ LONGEST = 48
 # Consecutive repeated words of one source that make a run worth extending.
 SEED = 8
 CONTEXT = LONGEST + 16
+# Words of the pieces by which windows of the least length are looked for; each window's least piece is its anchor.
+ANCHOR = 16
 # Chunk digests that a task remembers before it starts afresh.
 REMEMBERED = 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -164,11 +166,158 @@ def _runs(frames: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=names)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _piece_hashes(words: list[bytes], known: dict[bytes, int], size: int) -> np.ndarray:
+    """64-bit hashes of all pieces of `size` words, put together from pieces of powers of two."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    if len(known) > REMEMBERED:
+        known.clear()
+    ids = []
+    for w in words:
+        h = known.get(w)
+        if h is None:
+            h = known[w] = xxhash.xxh64_intdigest(w)
+        ids.append(h)
+    n, power, at = len(words) - size + 1, np.array(ids, np.uint64), 0
+    out, width = np.zeros(n, np.uint64), 1
+    while width <= size:
+        if size & width:
+            out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + power[at : at + n])
+            at += width
+        power, width = _mixed(power[:-width] * np.uint64(0x94D049BB133111EB) + power[width:]) if len(power) > width else power[:0], width * 2
+    return out
+
+
+def _anchors(words: list[bytes], known: dict[bytes, int], least: int) -> np.ndarray:
+    """The least hash of the pieces in every window of `least` words: equal windows have equal anchors."""
+    h = _piece_hashes(words, known, min(ANCHOR, least))
+    span = least - min(ANCHOR, least) + 1
+    width = 1
+    while width * 2 <= span:
+        h, width = np.minimum(h[:-width], h[width:]) if len(h) > width else h[:0], width * 2
+    rest = span - width
+    return np.minimum(h[: len(h) - rest], h[rest:]) if len(h) > rest else h[:0]
+
+
+def _anchor_rows(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Kind 0: an anchor in the first two documents that hold it in this task; kind 1: in any further one, so it is known to repeat."""
+    seen: dict[int, tuple[int, bool]] = {}
+    known: dict[bytes, int] = {}
+    for frame in frames:
+        kinds, anchors, docs = [], [], []
+        for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+            if pd.isna(doc_id):
+                continue
+            doc_id = int(doc_id)
+            for a in np.unique(_anchors(ascii_words(text), known, least)).view(np.int64).tolist():
+                first = seen.get(a)
+                if first is not None and first[0] == doc_id:
+                    continue
+                seen[a] = (first[0] if first else doc_id, first is not None)
+                kinds.append(1 if first is not None and first[1] else 0)
+                anchors.append(a), docs.append(doc_id)
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        if kinds:
+            yield pd.DataFrame({"kind": np.array(kinds, np.int8), "anchor": anchors, "doc_id": docs})
+
+
+def _met_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by anchor, doc_id: those whose anchor stands in another document too, and all of kind 1."""
+    last: pd.DataFrame | None = None  # rows of the last anchor that have met no other document
+    met: int | None = None
+    for frame in frames:
+        later = frame[frame["kind"] == 1]
+        if len(later):
+            yield later[["anchor", "doc_id"]]
+        rest = frame[frame["kind"] == 0]
+        if last is not None:
+            rest = pd.concat([last, rest], ignore_index=True)
+        if not len(rest):
+            continue
+        a, d = rest["anchor"].to_numpy(), rest["doc_id"].to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(a))))
+        several = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
+        if met is not None and a[0] == met:
+            several[0] = True
+        hit = several[group]
+        if hit.any():
+            yield rest.loc[hit, ["anchor", "doc_id"]]
+        met = int(a[-1]) if several[-1] else None
+        last = None if several[-1] else rest.iloc[[len(rest) - 1]]
+
+
+def _window_rows(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Windows of `least` words whose anchor another document holds, but for those in passages already found."""
+    known: dict[bytes, int] = {}
+    for frame in frames:
+        out = []
+        for doc_id, text, anchors, spans in zip(frame["doc_id"], frame["text"], frame["anchors"], frame["spans"], strict=True):
+            words = ascii_words(text)
+            of = _anchors(words, known, least).view(np.int64)
+            wanted = np.isin(of, np.asarray(anchors, np.int64))
+            for s in spans if spans is not None else ():
+                wanted[max(0, s["start"]) : max(0, s["start"] + s["words"] - least + 1)] = False
+            at = np.flatnonzero(wanted)
+            if len(at):
+                out.append(pd.DataFrame({"hash": _piece_hashes(words, known, least).view(np.int64)[at], "doc_id": int(doc_id), "version": _version(text), "start": at.astype(np.int32)}))
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+
+def _joined_windows(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by doc_id, version, start: windows one word apart become one span."""
+    held: pd.DataFrame | None = None
+    for frame in frames:
+        frame = frame[["doc_id", "version", "start", "words", "src_id"]]
+        rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if not len(rows):
+            continue
+        v = rows.to_numpy(np.int64)
+        ends = v[:, 2] + v[:, 3]
+        first = np.flatnonzero(np.concatenate([[True], (v[1:, :2] != v[:-1, :2]).any(axis=1) | (v[1:, 2] > ends[:-1] - least + 1)]))
+        runs = v[first]
+        runs[:, 3] = np.maximum.reduceat(ends, first) - runs[:, 2]
+        runs[:, 4] = np.minimum.reduceat(v[:, 4], first)
+        done = pd.DataFrame(runs, columns=rows.columns)
+        held = done.iloc[-1:]
+        if len(done) > 1:
+            yield done.iloc[:-1]
+    if held is not None:
+        yield held
+
+
+def broken_spans(named: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """(doc_id, version, start, words, src_id): all windows of `least` words that a smaller doc_id holds too and `found` leaves, joined.
+
+    Runs of chunks break where single chunks stand in still smaller documents. Here equal windows meet by their anchors, the
+    least hashes of their pieces, and then as wholes, so none is missed. The smallest document of a window never has it in `found`.
+    """
+    part = F.when(F.col("kind") == 1, F.xxhash64("doc_id")).otherwise(F.col("anchor"))
+    rows = named.mapInPandas(lambda frames: _anchor_rows(frames, least), "kind byte, anchor long, doc_id long")
+    met = rows.repartition(part).sortWithinPartitions("kind", "anchor", "doc_id").mapInPandas(_met_anchors, "anchor long, doc_id long")
+    asked = met.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    there = found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
+    reading = named.withColumn("version", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).join(asked, "doc_id").join(there, ["doc_id", "version"], "left")
+    windows = stored(reading.mapInPandas(lambda frames: _window_rows(frames, least), "hash long, doc_id long, version long, start int"))
+    source = windows.groupBy("hash").agg(F.min("doc_id").alias("src_id"), F.max("doc_id").alias("_last")).filter("src_id <> _last").drop("_last").withColumn("_h", F.xxhash64("hash"))
+    later = windows.withColumn("_h", F.xxhash64("hash")).join(source, ["hash", "_h"]).filter("src_id <> doc_id").select("doc_id", "version", "start", F.lit(least).alias("words"), "src_id")
+    ordered = later.repartition("doc_id").sortWithinPartitions("doc_id", "version", "start")
+    return ordered.mapInPandas(lambda frames: _joined_windows(frames, least), "doc_id long, version long, start int, words int, src_id long")
+
+
 def repeated_spans(docs: DataFrame, least: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, version, start, words, src_id): passages of at least `least` words that also stand in the source document.
 
     Words are compared in lower case and without their white space. A chunk's source is its place in the
-    smallest doc_id, so whatever is removed is kept by a document before. Passages that repeat within one document only are not reported.
+    smallest doc_id, so whatever is removed is kept by a document before. What runs of such chunks miss, because single chunks
+    also stand elsewhere, is found by whole windows of `least` words. Passages that repeat within one document only are not reported.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # later chunks of a task don't meet here, so they are dealt out by place: a frequent chunk fills no task
@@ -211,7 +360,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_WORDS, seed: int = SEED)
                     rows.append((r.doc_id, r.version, r.start - before, r.words + before + after, r.src_id))
             yield pd.DataFrame(rows, columns=["doc_id", "version", "start", "words", "src_id"])
 
-    return spans.mapInPandas(extended, "doc_id long, version long, start int, words int, src_id long")
+    long_runs = stored(spans.mapInPandas(extended, "doc_id long, version long, start int, words int, src_id long"))
+    return long_runs.unionByName(broken_spans(named, long_runs, least))
 
 
 def _distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -119,6 +119,19 @@ def test_substrings(docs, none, texts):
     assert done.filter("doc_id IS NULL").count() == 2 and done.count() == docs.count() and substrings.without_repeats(none).count() == 0
 
 
+def test_passages_whose_parts_stand_elsewhere(spark):
+    rng = random.Random(9)
+    passage = sentence(rng, 120).split()
+    out = {i: [*sentence(rng, 30).split(), *passage[37 * k : 37 * k + 46], *sentence(rng, 30).split()] for k, i in enumerate((5, 6, 7))}
+    for i in (100, 200):
+        out[i] = [*sentence(rng, 25).split(), *passage, *sentence(rng, 25).split()]
+    out[300] = [*sentence(rng, 25).split(), *passage[35:85], *sentence(rng, 25).split()]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in out.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.without_repeats(rows).collect()}
+    assert {i: (r.removed_words, r.removed_spans) for i, r in got.items()} == {5: (0, 0), 6: (0, 0), 7: (0, 0), 100: (0, 0), 200: (120, 1), 300: (50, 1)}
+    assert got[200].text == " ".join([*out[200][:25], *out[200][145:]])
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(2)
     w = sentence(rng, 400).encode().split()
