@@ -18,7 +18,8 @@ LIST, WIDER = 10, 4
 # Random orders in which each vector first meets NEAR others on either side; every one splits at about LEAF vectors.
 TABLES, LEAF, NEAR, FIRST = 8, 48, 8, 3
 ROUNDS, AGAIN = 6, 3
-# Vectors whose id is divisible by AUDIT are compared with all others; found links over true links must reach RECALL.
+# Vectors whose id is divisible by AUDIT are compared with all others; the mean share of found links, of vectors with up to LIST
+# links and of those with more apart, must reach RECALL.
 AUDIT, RECALL = 100, 0.98
 BLOCK = 512
 
@@ -138,14 +139,17 @@ def _unique(src: list, dst: list, sims: list) -> pd.DataFrame:
 
 
 def _descend(graph: DataFrame, nodes: DataFrame, threshold: float, rounds: int = ROUNDS) -> DataFrame:
-    """Refine until a round finds less than a thousandth more links."""
+    """Refine until a round finds less than a thousandth more links, and hardly any for vectors whose lists still have room."""
     links = graph.filter(F.col("sim") >= threshold).count()
     for turn in range(rounds):
         found = _refined(graph, nodes, LIST).select("src", "dst", "sim", F.lit(1).alias("fresh"))
         # what a list already held stays old
         graph = stored(_best(graph.withColumn("fresh", F.lit(0)).unionByName(found)))
         now = graph.filter(F.col("sim") >= threshold).count()
-        if turn > 0 and now - links <= links // 1000:
+        # a dense group's many links say nothing about vectors with few
+        few = graph.filter(F.col("sim") >= threshold).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("fresh").alias("new")).filter(F.col("n") < LIST)
+        small = few.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("new") > 0).alias("grown")).first()
+        if turn > 0 and now - links <= links // 1000 and small["grown"] <= small["all"] // 1000:
             break
         links = now
     return graph
@@ -182,6 +186,52 @@ def _audited(nodes: DataFrame, n: int, threshold: float, every: int) -> DataFram
     return met.mapInPandas(visit, "src long, dst long, sim double")
 
 
+def _recall(truth: DataFrame, label: DataFrame) -> float:
+    """The mean, over audited vectors, of the share of their true links found; the lower one of vectors with few and with many links.
+
+    A true link counts as found where both ends have come into one component, in which all links are counted.
+    """
+    ends = truth.join(label.select(F.col("node").alias("src"), F.col("component").alias("c1")), "src", "left").join(label.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst", "left")
+    each = ends.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c1") == F.col("c2")).alias("hit"))
+    told = each.groupBy(F.col("n") > LIST).agg(F.avg(F.col("hit") / F.col("n")).alias("r")).collect()
+    return min((row["r"] for row in told), default=1.0)
+
+
+def _joined(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a link matrix: the smallest row that links reach; columns without links have the number of rows."""
+    left, right = np.arange(len(linked)), np.full(linked.shape[1], len(linked))
+    a, b = np.nonzero(linked)
+    while True:
+        before = left.copy()
+        np.minimum.at(right, b, left[a])
+        np.minimum.at(left, a, right[b])
+        left = left[left]
+        if (left == before).all():
+            return left, right
+
+
+def _all_joined(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b): pairs that hold all vectors together which links join, from an exact comparison of every block with every other; no more
+    pairs leave a task than it has rows."""
+    blocks = max(1, -(-n // BLOCK))
+    placed = nodes.select(F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("mine"), "node", "x")
+    pairs = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("mine", "_o").alias("low"), F.greatest("mine", "_o").alias("high"), "mine", "node", "x")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _pieces(frames, ["low", "high"]):
+            left, right = group[group["mine"] == group["low"]], group[group["mine"] == group["high"]]
+            if not len(left) or not len(right):
+                continue
+            first, second = _joined(_matrix(left["x"]) @ _matrix(right["x"]).T >= threshold)
+            a, b = left["node"].to_numpy(), right["node"].to_numpy()
+            some = second < len(a)
+            pair = pd.DataFrame({"a": np.concatenate([a[first], a[second[some]]]), "b": np.concatenate([a, b[some]])})
+            yield pair[pair["a"] != pair["b"]]
+
+    met = pairs.repartition("low", "high").sortWithinPartitions("low", "high", "node")
+    return met.mapInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _link_counts(nodes: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
     """(node, links): vectors linked with each within its component, every block of members against every other; only counts leave a task."""
     placed = stored(numbered(label.join(nodes, "node"), ["component"], [F.col("node")], "_at").withColumn("_b", (F.col("_at") / BLOCK).cast("int")))
@@ -228,7 +278,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     Equal vectors are one node. Lists start from neighbours along random lines, then descend. Full lists of links are
     enlarged: their owners meet all neighbours of neighbours with lists WIDER times as long. An audit compares a stated
     share of the vectors with all; below RECALL the descent starts again from new lines, and the audit's own links are
-    kept. Within the components so found all links are counted block by block, so n_links is exact there.
+    kept. If it stays below, every block of vectors is compared with every other, which misses nothing. Within the components so found all links are counted block by block, so n_links is exact there.
     """
     sound = F.col(vector).isNotNull() & F.col(id_col).isNotNull() & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(vector, lambda v: v != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(sound, F.col(vector)).cast("array<float>").alias("x"))
@@ -255,12 +305,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
             links = links.unionByName(_best(more.unionByName(wide), LIST * WIDER).filter(F.col("sim") >= threshold).select("src", "dst"))
         links = stored(links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
         label = components(links)
-        # a true link counts as found where both ends have come into one component, in which all links are counted
-        ends = truth.join(label.select(F.col("node").alias("src"), F.col("component").alias("c1")), "src", "left").join(label.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst", "left")
-        told = ends.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c1") == F.col("c2")).alias("hit")).first()
-        recall = told["hit"] / told["n"] if told["n"] else 1.0
+        recall = _recall(truth, label)
         if recall >= RECALL:
             break
+    else:
+        links = stored(links.unionByName(_all_joined(flat, n, threshold)).distinct())
+        recall = _recall(truth, components(links))
     missing = truth.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     label = stored(components(links.unionByName(missing).distinct()))
     counts = _link_counts(flat, label, threshold)

@@ -178,6 +178,21 @@ def test_near_duplicates(spark):
     assert descent.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_missed_pairs_beside_a_dense_group(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centre, rows = rng.normal(size=24), []
+    rows += [(i, (centre + 0.01 * rng.normal(size=24)).tolist()) for i in range(300)]
+    for k in range(20):  # two pairs are audited
+        x = rng.normal(size=24)
+        rows += [(1001 + 2 * k if k > 1 else 2000 + 100 * k, x.tolist()), (5001 + 2 * k, (x + 0.01 * rng.normal(size=24)).tolist())]
+    descend = descent._descend
+    monkeypatch.setattr(descent, "AGAIN", 1)
+    monkeypatch.setattr(descent, "_descend", lambda *a: descend(*a).filter("src < 300 AND dst < 300"))  # all pairs are missed
+    got = descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(r.vec_id for r in got if r.n_links == 1) == sorted(i for i, _ in rows if i >= 300) and {r.n_links for r in got if r.vec_id < 300} == {299}
+    assert sum(r.kept for r in got) == 21 and {r.audit_recall for r in got} == {1.0}
+
+
 def test_top_k(spark):
     rows = vector_rows()
     rows = rows + [rows[50], (2000, [1.0, 2.0], 0, 0)]
