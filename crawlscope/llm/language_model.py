@@ -320,7 +320,8 @@ def score_texts(docs: DataFrame, known: int = KNOWN) -> DataFrame:
     they stand there and score alike. An empty table gives an empty result; other columns are not read. With no training
     text at all, N and V are 0 and every word is unknown.
 
-    Counts, contexts and weights come from all training rows. The model codes each word as the eight bits of its class,
+    Word counts come from all training rows, contexts and spellings from those not of remainder MIXER, weights from that remainder
+    alone; context tables have a fixed size. The model codes each word as the eight bits of its class,
     predicted by five contexts whose log-odds are mixed by weights of the bit's depth that follow the text, then the word
     within its class, refined by the text's own earlier words. Words seen less than twice, or too rare to be known by every
     task, share one class: there the next word is one of the rare ones seen, by count, or spelled byte by byte.
