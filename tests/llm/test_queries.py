@@ -23,7 +23,7 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_entry_registers_every_operator():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} and "pipeline" in names
     assert set(ORACLES) <= set(entry.oracle_sql())
 
 
