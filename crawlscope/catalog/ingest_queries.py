@@ -12,7 +12,9 @@ from crawlscope.catalog.registry import query
 from crawlscope.catalog.text_queries import sql_list
 from crawlscope.functions.urls import domain_of
 from crawlscope.plans import ingest as N
+from crawlscope.session import scratch
 from crawlscope.sources import landing as I
+from crawlscope.sources import payloads as P
 from crawlscope.sources import sitemaps as X
 
 
@@ -45,14 +47,49 @@ def latest_snapshot(spark, sf):
     schema_phone AS telephone, og_image, schema_fields FROM {crawl_flat} c""")
 def crawl_pages(spark, sf):
     pages = crawl(spark, sf)
-    landed = payload(pages, F.array(F.struct(*[c for c in pages.columns if c not in ("project_id", "crawled_on")])).alias("pages"))
-    return I.crawl_pages(landed).select(
+    return _flat_record(P.read_records(spark, landed(pages, F.lit(1)), "pages", I.CRAWL_PAGE))
+
+
+def landed(pages: DataFrame, snapshot: Column) -> str:
+    """A folder of payloads, each of many records."""
+    spark = pages.sparkSession
+    record = [c for c in pages.columns if c not in ("project_id", "crawled_on")]
+    folder = scratch(spark)
+    part = F.pmod(F.xxhash64("url"), F.lit(16))  # several payloads of a site's snapshot, as a collector lands a crawl in portions
+    parts = pages.groupBy("project_id", snapshot.cast("long").alias("snapshot_id"), part.alias("_part")).agg(F.collect_list(F.struct(*record)).alias("_rows"))
+    errors = F.array(F.lit('{"pages":[{"url":"none"}]}')).alias("errors")
+    parts.select(
+        "project_id", "snapshot_id", F.to_json(F.struct(errors, F.col("_rows").alias("pages"))).alias("value"),
+    ).write.partitionBy("project_id", "snapshot_id").text(folder)
+    return folder
+
+
+def _flat_record(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "project_id", "url", "status_code", "title", "meta_description", F.array_join("h1_tags", " | ").alias("h1"), F.array_join("schema_types", ",").alias("schema_types"),
         "is_indexable", "word_count", "redirected_to", "x_robots_tag", F.col("local_business_schema.telephone").alias("telephone"), F.col("og.image").alias("og_image"),
         F.array_join(F.get("schema_nodes", F.lit(0))["fields"], ",").alias("schema_fields"),
     )
 
 
+@query("latest_crawl_pages", """
+    SELECT project_id, CASE WHEN project_id % 2 = 0 THEN 3 ELSE 1 END AS snapshot_id, url, CASE WHEN project_id % 2 = 0 THEN title || ' v3' ELSE title END AS title
+    FROM {crawl_flat} c WHERE project_id % 2 = 0 OR NOT has_contact""")
+def latest_crawl_pages(spark, sf):
+    """Three snapshots per site, of which odd sites' newest has failed and their second is another collector's."""
+    pages = crawl(spark, sf)
+    once = pages.filter((F.col("project_id") % 2 == 0) | ~F.col("has_contact")).withColumn("snapshot_id", F.lit(1))
+    again = pages.filter(F.col("project_id") % 2 == 0).withColumns({"snapshot_id": F.lit(3), "title": F.concat("title", F.lit(" v3"))})
+    failed = pages.filter(F.col("project_id") % 2 == 1).withColumn("snapshot_id", F.lit(3))
+    folder = landed(once.unionByName(again).unionByName(failed).drop("crawled_on"), F.col("snapshot_id"))
+    index = sites(spark, sf).select("project_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("snapshot_id"))
+    index = index.withColumns({
+        "collector": F.when(F.col("snapshot_id") == 2, "sitemap").otherwise("crawler"),
+        "status": F.when((F.col("snapshot_id") == 3) & (F.col("project_id") % 2 == 1), "error").otherwise("ok")})
+    records = P.read_records(spark, folder, "pages", I.CRAWL_PAGE, P.newest_payloads(index, "crawler"))
+    return P.last_of(records, ["project_id", "snapshot_id", "url"]).select("project_id", "snapshot_id", "url", "title")
+
+
 # --- search performance ------------------------------------------------------------------------------
 
 

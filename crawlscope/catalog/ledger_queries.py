@@ -23,7 +23,9 @@ from crawlscope.operators import summaries as Y
 from crawlscope.operators.backlinks import toxic_backlinks
 from crawlscope.operators.local import local_score, nap_phones
 from crawlscope.plans import opportunities, page_audit, report, site_health
+from crawlscope.session import scratch
 from crawlscope.sinks import files
+from crawlscope.sinks.current import CurrentTable
 
 _THEN, _NOW = "CAST('2024-01-01' AS TIMESTAMP)", "CAST('2024-02-01' AS TIMESTAMP)"
 
@@ -179,38 +181,89 @@ def scorecards(spark, sf):
 # --- current-state tables ----------------------------------------------------------------------------
 
 
-@query("upsert", """
+UPSERT = """
     SELECT coalesce(c.project_id, u.project_id) AS project_id, coalesce(c.keyword, u.keyword) AS keyword, coalesce(u.volume, c.volume) AS volume, coalesce(c.first_seen, u.first_seen) AS first_seen, c.intent
     FROM (SELECT project_id, keyword, max(volume) AS volume, min(last_updated) AS first_seen, max(intent) AS intent FROM {keyword_rows} k WHERE source = 'trends' GROUP BY 1, 2) c
     FULL JOIN (SELECT project_id, keyword, arg_max(volume, last_updated) AS volume, max(last_updated) AS first_seen FROM {keyword_rows} k WHERE source = 'trends_related' GROUP BY 1, 2) u
-    ON u.project_id = c.project_id AND u.keyword = c.keyword""")
-def upsert(spark, sf):
+    ON u.project_id = c.project_id AND u.keyword = c.keyword"""
+
+
+def _keywords(spark, sf):
     rows = load(spark, sf, "keyword_rows")
     current = rows.filter("source = 'trends'").groupBy("project_id", "keyword").agg(F.max("volume").alias("volume"), F.min("last_updated").alias("first_seen"), F.max("intent").alias("intent"))
     updates = rows.filter("source = 'trends_related'").select("project_id", "keyword", "volume", F.col("last_updated").alias("first_seen"))
-    return E.upsert(current, updates, ["project_id", "keyword"], keep=["first_seen"], order="first_seen")
+    return current, updates
+
+
+@query("upsert", UPSERT)
+def upsert(spark, sf):
+    return E.upsert(*_keywords(spark, sf), ["project_id", "keyword"], keep=["first_seen"], order="first_seen")
 
 
-@query("pages_upsert", """
+@query("current_upsert", UPSERT)
+def current_upsert(spark, sf):
+    """The same through a table on disk, the updates applied twice."""
+    current, updates = _keywords(spark, sf)
+    table = CurrentTable(spark, scratch(spark), ["project_id", "keyword"], buckets=16)
+    for rows in (current, updates, updates):
+        table.upsert(rows, keep=["first_seen"], order="first_seen")
+    return table.read()
+
+
+PAGES_UPSERT = """
     SELECT project_id, url, CASE WHEN has_contact THEN title || ' v2' ELSE title END AS title, '2024-01-01 00:00:00' AS first_seen, CASE WHEN has_contact THEN '2024-02-01 00:00:00' ELSE '2024-01-01 00:00:00' END AS last_crawled FROM {crawl_flat} c
-    UNION ALL SELECT project_id, url || '?new', title || ' v2', '2024-02-01 00:00:00', '2024-02-01 00:00:00' FROM {crawl_flat} c WHERE has_contact""")
-def pages_upsert(spark, sf):
+    UNION ALL SELECT project_id, url || '?new', title || ' v2', '2024-02-01 00:00:00', '2024-02-01 00:00:00' FROM {crawl_flat} c WHERE has_contact"""
+
+
+def _crawled(spark, sf):
     flat = N.flat(spark, sf)
     then = F.lit("2024-01-01").cast("timestamp")
     current = flat.select("project_id", "url", "title", then.alias("first_seen"), then.alias("last_crawled"))
     again = flat.filter("has_contact").select("project_id", F.explode(F.array(F.col("url"), F.concat("url", F.lit("?new")))).alias("url"), F.concat("title", F.lit(" v2")).alias("title"), now().alias("last_crawled"))
-    merged = E.pages_upsert(current, again)
+    return current, again
+
+
+@query("pages_upsert", PAGES_UPSERT)
+def pages_upsert(spark, sf):
+    merged = E.pages_upsert(*_crawled(spark, sf))
+    return merged.withColumns({c: F.col(c).cast("string") for c in ("first_seen", "last_crawled")})
+
+
+@query("current_pages_upsert", PAGES_UPSERT)
+def current_pages_upsert(spark, sf):
+    current, again = _crawled(spark, sf)
+    table = CurrentTable(spark, scratch(spark), ["project_id", "url"], buckets=16)
+    table.upsert(current)
+    table.pages_upsert(again)
+    merged = table.read()
     return merged.withColumns({c: F.col(c).cast("string") for c in ("first_seen", "last_crawled")})
 
 
-@query("replace_slice", """
+REPLACED = """
     WITH fresh AS (SELECT project_id, keyword, date, position, url FROM {listing_rows} l WHERE is_ours)
     SELECT project_id, keyword, CAST(date AS STRING) AS date, position, url FROM fresh
     UNION ALL SELECT project_id, keyword, CAST(date AS STRING), position, url FROM {listing_rows} l
-    WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.project_id = l.project_id AND f.keyword = l.keyword AND f.date = l.date)""")
+    WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.project_id = l.project_id AND f.keyword = l.keyword AND f.date = l.date)"""
+SLICE = ["project_id", "keyword", "date"]
+
+
+def _listed(spark, sf):
+    rows = M.listings(spark, sf).select(*SLICE, "position", "url", "is_ours")
+    return rows.drop("is_ours"), rows.filter("is_ours").drop("is_ours")
+
+
+@query("replace_slice", REPLACED)
 def replace_slice(spark, sf):
-    rows = M.listings(spark, sf).select("project_id", "keyword", "date", "position", "url", "is_ours")
-    replaced = E.replace_slice(rows.drop("is_ours"), rows.filter("is_ours").drop("is_ours"), ["project_id", "keyword", "date"])
+    return E.replace_slice(*_listed(spark, sf), SLICE).withColumn("date", F.col("date").cast("string"))
+
+
+@query("current_replace_slice", REPLACED)
+def current_replace_slice(spark, sf):
+    rows, fresh = _listed(spark, sf)
+    table = CurrentTable(spark, scratch(spark), [*SLICE, "position"], by=SLICE, buckets=16)
+    for part in (rows, fresh, fresh):
+        table.replace_slice(part, SLICE)
+    replaced = table.read()
     return replaced.withColumn("date", F.col("date").cast("string"))
 
 
