@@ -11,6 +11,8 @@ from crawlscope.operators import competitors as R
 from crawlscope.operators import links as L
 from crawlscope.operators import scores as S
 from crawlscope.operators import search as Q
+from crawlscope.session import scratch
+from crawlscope.sinks.current import History
 
 CURRENT = """(SELECT s.* FROM {search_rows} s
   JOIN (SELECT project_id, max(date) AS newest FROM {search_rows} m GROUP BY 1) n ON s.project_id = n.project_id AND s.date = n.newest)"""
@@ -43,6 +45,26 @@ def ctr_curve(spark, sf):
     return Q.ctr_curve(rows(spark, sf))
 
 
+def history(spark, sf):
+    """The rows landed window by window: all of them with half of the clicks, then all, then the newer ones again."""
+    kept = History(spark, scratch(spark))
+    found = rows(spark, sf)
+    newer = found.filter("date >= DATE '1996-01-01'")
+    for window in (found.withColumn("clicks", F.floor(F.col("clicks") / 2)), found, newer):
+        kept.land(window)
+    return kept
+
+
+@query("history_ctr_curve", CTR_CURVE)
+def history_ctr_curve(spark, sf):
+    return Q.ctr_curve(history(spark, sf))
+
+
+@query("history_latest_rows", f"SELECT project_id, CAST(date AS STRING) AS date, query, page, clicks, impressions, position FROM {CURRENT} c")
+def history_latest(spark, sf):
+    return Q.current(history(spark, sf)).withColumn("date", F.col("date").cast("string"))
+
+
 @query("ctr_summary", f"""
     SELECT project_id, sum(clicks) AS total_clicks, sum(impressions) AS total_impressions,
            round_even(sum(clicks)::DOUBLE / nullif(sum(impressions), 0), 4) AS site_ctr, sum(clicks) >= 30 AS reliable,

@@ -1,7 +1,8 @@
 """Query and page performance.
 
 `queries` is project_id, date, query, page, clicks, impressions, position; `daily` the same per day without
-query and page. Operators over "the current state" read the newest date of each site.
+query and page. Operators over "the current state" read the newest date of each site: of a DataFrame by aggregation, of a
+`sinks.current.History` from the folders of these dates, and a `skew.Newest` holds just these rows.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from crawlscope import constants as C
 from crawlscope.functions import text as T
 from crawlscope.functions.urls import canonical_url
 from crawlscope.operators.issues import issue
-from crawlscope.skew import counted_sample, first_k, latest_rows, lookup_join, sample_text
+from crawlscope.session import cut_lineage
+from crawlscope.sinks.current import History
+from crawlscope.skew import Newest, counted_sample, first_k, latest_rows, lookup_join, sample_text
 
 SITE = ["project_id"]
+Rows = DataFrame | Newest | History
 
 
-def current(queries: DataFrame) -> DataFrame:
-    return latest_rows(queries, SITE, "date")
+def current(queries: Rows) -> DataFrame:
+    return latest_rows(queries, SITE, "date") if isinstance(queries, DataFrame) else queries.current()
 
 
 # --- totals ------------------------------------------------------------------------------------------
@@ -37,7 +41,7 @@ def totals_last_n_days(daily: DataFrame, days: int = 28) -> DataFrame:
 
 
 def scorecards(
-    sites: DataFrame, daily: DataFrame, queries: DataFrame, issues: DataFrame, scores: DataFrame, snapshots: DataFrame,
+    sites: DataFrame, daily: DataFrame, queries: Rows, issues: DataFrame, scores: DataFrame, snapshots: DataFrame,
     measured: DataFrame | None = None,
 ) -> DataFrame:
     """One dashboard row per site; what was never measured stays NULL, counts of nothing are 0.
@@ -74,7 +78,7 @@ def scorecards(
 # --- click-through -----------------------------------------------------------------------------------
 
 
-def ctr_curve(queries: DataFrame) -> DataFrame:
+def ctr_curve(queries: Rows) -> DataFrame:
     """Click-through per position bucket; buckets without keywords do not appear."""
     bucketed = current(queries).withColumn("bucket", T.position_bucket(F.col("position"))).filter("bucket IS NOT NULL")
     clicks, shown = F.sum("clicks"), F.sum("impressions")
@@ -84,7 +88,7 @@ def ctr_curve(queries: DataFrame) -> DataFrame:
     )
 
 
-def ctr_summary(queries: DataFrame, min_clicks: int = C.RELIABLE_CLICKS) -> DataFrame:
+def ctr_summary(queries: Rows, min_clicks: int = C.RELIABLE_CLICKS) -> DataFrame:
     """Site totals and whether the clicks suffice to judge; without impressions the rate is NULL."""
     clicks, shown = F.sum("clicks"), F.sum("impressions")
     summed = current(queries).groupBy(*SITE).agg(
@@ -97,13 +101,13 @@ def ctr_summary(queries: DataFrame, min_clicks: int = C.RELIABLE_CLICKS) -> Data
     return summed.withColumn("note", F.when(~F.col("reliable"), note))
 
 
-def never_clicked(queries: DataFrame, min_impressions: int = C.NEVER_CLICKED_IMPRESSIONS) -> DataFrame:
+def never_clicked(queries: Rows, min_impressions: int = C.NEVER_CLICKED_IMPRESSIONS) -> DataFrame:
     return current(queries).filter(
         (F.col("position") <= 10) & (F.col("impressions") >= min_impressions) & (F.coalesce("clicks", F.lit(0)) == 0)
     ).select(*SITE, "query", "page", F.bround("position", 1).alias("position"), "impressions")
 
 
-def top10_zero_ctr(queries: DataFrame, min_impressions: int = C.ZERO_CTR_IMPRESSIONS) -> DataFrame:
+def top10_zero_ctr(queries: Rows, min_impressions: int = C.ZERO_CTR_IMPRESSIONS) -> DataFrame:
     """A finding per first-page query that is shown and never clicked."""
     shown = current(queries).filter(
         (F.col("position") <= 10) & (F.col("clicks") == 0) & (F.col("impressions") >= min_impressions)
@@ -125,7 +129,7 @@ def _by_impressions() -> list[Column]:
 
 
 def rankings_filter(
-    queries: DataFrame, contains: str | None = None, min_position: float | None = None,
+    queries: Rows, contains: str | None = None, min_position: float | None = None,
     max_position: float | None = None,
 ) -> DataFrame:
     """All current rows matching a part of the query and a position range; `top_rows` limits them."""
@@ -144,16 +148,16 @@ def top_rows(rows: DataFrame, k: int) -> DataFrame:
     return first_k(rows, SITE, _by_impressions(), k, "rank")
 
 
-def near_top10(queries: DataFrame, k: int = 5) -> DataFrame:
+def near_top10(queries: Rows, k: int = 5) -> DataFrame:
     second_page = current(queries).filter((F.col("position") > 10) & (F.col("position") <= 20))
     return top_rows(second_page, k)
 
 
-def top_queries(queries: DataFrame, k: int = 10) -> DataFrame:
+def top_queries(queries: Rows, k: int = 10) -> DataFrame:
     return top_rows(current(queries), k)
 
 
-def top_keywords(queries: DataFrame, k: int, brands: DataFrame | None = None) -> DataFrame:
+def top_keywords(queries: Rows, k: int, brands: DataFrame | None = None) -> DataFrame:
     """The k most shown distinct queries. With `brands` (project_id, name) queries naming the brand are left out."""
     distinct = current(queries).groupBy(*SITE, "query").agg(F.max("impressions").alias("impressions"))
     if brands is not None:
@@ -167,7 +171,7 @@ def top_keywords(queries: DataFrame, k: int, brands: DataFrame | None = None) ->
     return first_k(distinct, SITE, [F.col("impressions").desc(), F.col("query")], k, "rank")
 
 
-def speed_targets(queries: DataFrame, sites: DataFrame, max_pages: int = 6) -> DataFrame:
+def speed_targets(queries: Rows, sites: DataFrame, max_pages: int = 6) -> DataFrame:
     """The home page and the most shown pages of each site, one url per canonical page, whose spellings are summed first."""
     per_page = current(queries).filter(F.coalesce("page", F.lit("")) != "").groupBy(*SITE, "page").agg(F.sum("impressions").alias("_n"))
     shown = per_page.withColumn("_canonical", canonical_url(F.col("page"))).groupBy(*SITE, "_canonical").agg(
@@ -181,7 +185,7 @@ def speed_targets(queries: DataFrame, sites: DataFrame, max_pages: int = 6) -> D
     )
 
 
-def merged_keyword_list(queries: DataFrame, keywords: DataFrame, k: int) -> DataFrame:
+def merged_keyword_list(queries: Rows, keywords: DataFrame, k: int) -> DataFrame:
     """Own queries by impressions, then related-search ideas, each keyword once."""
     own = current(queries).groupBy(*SITE, "query").agg(F.max("impressions").alias("_shown"))
     own = own.select(*SITE, F.col("query").alias("keyword"), F.lit(0).alias("_tier"), "_shown")
@@ -193,7 +197,7 @@ def merged_keyword_list(queries: DataFrame, keywords: DataFrame, k: int) -> Data
     return first_k(once, SITE, [F.col("_place"), F.col("keyword")], k, "rank").drop("_place")
 
 
-def keywords_view(queries: DataFrame, keywords: DataFrame) -> DataFrame:
+def keywords_view(queries: Rows, keywords: DataFrame) -> DataFrame:
     """Current rows with the trend volume of their query and its intent, whatever source gave it."""
     newest = F.struct("last_updated", "source")
     volume = keywords.filter(F.col("source") == "trends").groupBy(*SITE, F.col("keyword").alias("query")).agg(
@@ -211,7 +215,7 @@ def keywords_view(queries: DataFrame, keywords: DataFrame) -> DataFrame:
 # --- pages against queries ---------------------------------------------------------------------------
 
 
-def zero_impression_pages(pages: DataFrame, queries: DataFrame, canonical: bool = False) -> DataFrame:
+def zero_impression_pages(pages: DataFrame, queries: Rows, canonical: bool = False) -> DataFrame:
     """A low-weight finding per indexable page that no current query shows. Urls must match exactly by default."""
     key = canonical_url if canonical else (lambda c: c)
     shown = current(queries).filter(F.coalesce("page", F.lit("")) != "").groupBy(
@@ -225,7 +229,7 @@ def zero_impression_pages(pages: DataFrame, queries: DataFrame, canonical: bool
     return silent.select(*SITE, finding.alias("i")).select(*SITE, "i.*")
 
 
-def cannibal_pages(queries: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+def cannibal_pages(queries: Rows, redirects: DataFrame | None = None) -> DataFrame:
     """One row per query and final page, for queries on which two pages or more compete."""
     rows = current(queries).filter(F.coalesce("page", F.lit("")) != "").withColumn("_source", canonical_url(F.col("page")))
     if redirects is not None:
@@ -242,9 +246,9 @@ def cannibal_pages(queries: DataFrame, redirects: DataFrame | None = None) -> Da
     )
 
 
-def cannibalization(queries: DataFrame, redirects: DataFrame | None = None, listed: int = 20) -> DataFrame:
+def cannibalization(queries: Rows, redirects: DataFrame | None = None, listed: int = 20) -> DataFrame:
     """A finding per query on which pages compete; `listed` of them by name, all counted."""
-    rows = cannibal_pages(queries, redirects)
+    rows = cut_lineage(cannibal_pages(queries, redirects))  # read for the counts and for the names
     keys = [*SITE, "query"]
     grouped = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pages"), F.sum("impressions").alias("impressions"),
@@ -306,7 +310,7 @@ def decay_issues(daily: DataFrame) -> DataFrame:
     return decayed.select(*SITE, finding.alias("i")).select(*SITE, "i.*")
 
 
-def never_clicked_issues(queries: DataFrame) -> DataFrame:
+def never_clicked_issues(queries: Rows) -> DataFrame:
     """One finding per site that counts its never-clicked first-page keywords."""
     text = F.concat(
         F.lit("'"), F.col("query"), F.lit("' (position "), F.col("position").cast("string"), F.lit(", "),

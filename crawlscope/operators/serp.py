@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from crawlscope.functions.text import is_platform
 from crawlscope.functions.urls import domain_of, without_www
-from crawlscope.skew import first_k, latest_rows, lookup_join
+from crawlscope.sinks.current import History
+from crawlscope.skew import Newest, first_k, latest_rows, lookup_join
 
 SITE = ["project_id"]
 LISTING = ["project_id", "keyword"]
 
 
-def current(listings: DataFrame) -> DataFrame:
+def current(listings: DataFrame | Newest | History) -> DataFrame:
     """The newest listing day of every site."""
-    return latest_rows(listings, SITE, "date")
+    return latest_rows(listings, SITE, "date") if isinstance(listings, DataFrame) else listings.current()
 
 
 def _with_own(listings: DataFrame, sites: DataFrame) -> DataFrame:

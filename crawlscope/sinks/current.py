@@ -1,9 +1,10 @@
-"""Current-state tables on disk: a run rewrites only the buckets that its rows fall in.
+"""Tables on disk of which a run rewrites only the folders that its rows fall in.
 
-A table lies in folders `buckets=<count>/bucket=<n>/` of Parquet files; a row's bucket is the hash of some of its key columns.
-A merge reads the touched buckets (Spark prunes the others by their folders), writes what becomes of them beside the table,
-and then lets that replace them, bucket by bucket. If a run breaks off while replacing, the written copy is still whole and the
-next run begins by finishing it; as every merge can be applied twice, a run that broke off earlier is simply repeated.
+A current-state table lies in folders `buckets=<count>/bucket=<n>/` of Parquet files; a row's bucket is the hash of some of its key
+columns. A history lies in folders by date. A merge reads the touched folders (Spark prunes the others), writes what becomes of
+them beside the table, and then lets that replace them, folder by folder. If a run breaks off while replacing, the written copy
+is still whole and the next run begins by finishing it; as every merge can be applied twice, a run that broke off earlier is
+simply repeated.
 """
 
 from __future__ import annotations
@@ -15,22 +16,32 @@ from pyspark.sql import functions as F
 
 from crawlscope.operators import ledger
 from crawlscope.session import cut_lineage
+from crawlscope.skew import lookup_join
 
 # Rows that one task writes into a bucket, about.
 ROWS_PER_FILE = 2_000_000
+# Sites whose newest dates are sent to every task, a few dozen bytes each.
+SITES_SENT = 500_000
 
 
-class CurrentTable:
-    """Rows by natural key in a folder. `by` names the key columns that decide a row's bucket; all of `keys` if not given.
+class FolderTable:
+    """Rows in folders by the value of one column, with swaps of whole folders."""
 
-    Buckets by a part of the key keep the slices of that part together, so replacing one touches one bucket. Within a bucket
-    rows are dealt over as many files as their number asks for, so a heavy slice is written by many tasks.
-    """
+    folder: str
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], by: Sequence[str] | None = None, buckets: int = 256) -> None:
-        self.spark, self.path, self.keys, self.by, self.buckets = spark, path.rstrip("/"), list(keys), list(by or keys), buckets
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]) -> None:
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+
+    @property
+    def _root(self) -> str:
+        return self.path
+
+    @property
+    def _staging(self) -> str:
+        return f"{self.path}-staging"
 
-    # --- folders ---
+    def _folder_of(self) -> Column:
+        return F.col(self.folder)
 
     def _place(self, path: str):
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -40,19 +51,72 @@ class CurrentTable:
         place, system = self._place(path)
         return system.exists(place)
 
+    def _stored(self) -> DataFrame:
+        return self.spark.read.parquet(self._root)
+
+    def _merge(self, updates: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> list:
+        """Replace the folders that `updates` fall in by what `merged` makes of their rows. Gives back these folders."""
+        self._finish()
+        updates = cut_lineage(updates.withColumn(self.folder, self._folder_of()))
+        # one row per touched folder: a bounded number of buckets, or the days of a landing
+        counts = {r[0]: r[1] for r in updates.groupBy(self.folder).count().collect()}
+        if not counts:
+            return []
+        touched = sorted(counts)
+        if self._there(self._root):
+            old = self._stored().filter(F.col(self.folder).isin(touched))
+            for r in old.groupBy(self.folder).count().collect():
+                counts[r[0]] += r[1]
+        else:
+            old = self.spark.createDataFrame([], updates.schema)
+        rows = merged(old, updates).withColumn(self.folder, self._folder_of())
+        files = F.create_map(*[F.lit(v) for b in touched for v in (b, 1 + counts[b] // ROWS_PER_FILE)])
+        # a folder leaves in as many parts as its rows ask for, dealt by the hash of the whole key
+        part = F.pmod(F.xxhash64(*self.keys), F.coalesce(F.try_element_at(files, F.col(self.folder)), F.lit(1)))
+        rows.repartition(self.folder, part).write.partitionBy(self.folder).parquet(self._staging, mode="overwrite")
+        self._finish()
+        return touched
+
+    def _finish(self) -> None:
+        """Let written folders take the place of the table's; nothing happens where none were written in full.
+
+        A folder leaves the staging place only by the renaming that puts it in its own, so this can be begun again at any point.
+        """
+        if not self._there(f"{self._staging}/_SUCCESS"):
+            return
+        staging, system = self._place(self._staging)
+        root, _ = self._place(self._root)
+        system.mkdirs(root)
+        for status in system.listStatus(staging):
+            name = status.getPath().getName()
+            if name.startswith(f"{self.folder}="):
+                target, _ = self._place(f"{self._root}/{name}")
+                system.delete(target, True)
+                if not system.rename(status.getPath(), target):
+                    raise OSError(f"{status.getPath()} cannot be moved to {self._root}")
+        system.delete(staging, True)
+
+
+class CurrentTable(FolderTable):
+    """Rows by natural key. `by` names the key columns that decide a row's bucket; all of `keys` if not given.
+
+    Buckets by a part of the key keep the slices of that part together, so replacing one touches one bucket. Within a bucket
+    rows are dealt over as many files as their number asks for, so a heavy slice is written by many tasks.
+    """
+
+    folder = "bucket"
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], by: Sequence[str] | None = None, buckets: int = 256) -> None:
+        super().__init__(spark, path, keys)
+        self.by, self.buckets = list(by or keys), buckets
+
     @property
     def _root(self) -> str:
         return f"{self.path}/buckets={self.buckets}"
 
-    @property
-    def _staging(self) -> str:
-        return f"{self.path}-staging"
-
-    def bucket(self) -> Column:
+    def _folder_of(self) -> Column:
         return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
 
-    # --- reading ---
-
     def read(self) -> DataFrame | None:
         """All rows; None before the first merge."""
         self._finish()
@@ -60,13 +124,7 @@ class CurrentTable:
             return None
         if not self._there(self._root):
             raise ValueError(f"{self.path} is not a table of {self.buckets} buckets")
-        return self.spark.read.parquet(self._root).drop("bucket")
-
-    def rows_of(self, buckets: Sequence[int]) -> DataFrame:
-        """Rows of some buckets; the folders of the others are not read."""
-        return self.spark.read.parquet(self._root).filter(F.col("bucket").isin(list(buckets))).drop("bucket")
-
-    # --- writing ---
+        return self._stored().drop(self.folder)
 
     def upsert(self, updates: DataFrame, keep: Sequence[str] = (), order: str | None = None) -> list[int]:
         """See `operators.ledger.upsert`. Gives back the buckets that were rewritten."""
@@ -82,42 +140,53 @@ class CurrentTable:
             raise ValueError(f"buckets go by {self.by}, which do not lie within the slice's {list(keys)}")
         return self._merge(updates, lambda old, new: ledger.replace_slice(old, new, keys))
 
-    def _merge(self, updates: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
-        self._finish()
-        updates = cut_lineage(updates)
-        counts = {r[0]: r[1] for r in updates.groupBy(self.bucket().alias("b")).count().collect()}  # one row per bucket
-        if not counts:
-            return []
-        touched = sorted(counts)
-        if self._there(self._root):
-            old = self.rows_of(touched)
-            for r in self.spark.read.parquet(self._root).filter(F.col("bucket").isin(touched)).groupBy("bucket").count().collect():
-                counts[r[0]] += r[1]
-        else:
-            old = self.spark.createDataFrame([], updates.schema)
-        files = F.array(*[F.lit(1 + counts.get(b, 0) // ROWS_PER_FILE) for b in range(self.buckets)])
-        rows = merged(old, updates).withColumn("bucket", self.bucket())
-        # a bucket leaves in as many parts as its rows ask for, dealt by the hash of the whole key
-        part = F.pmod(F.xxhash64(*self.keys), F.get(files, F.col("bucket")))
-        rows.repartition("bucket", part).write.partitionBy("bucket").parquet(self._staging, mode="overwrite")
-        self._finish()
-        return touched
+    def greatest(self, updates: DataFrame, order: str) -> list[int]:
+        """Per key the row with the greatest `order`, of those there and those brought; of equal ones the one brought."""
+        def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+            both = old.withColumn("_brought", F.lit(0)).unionByName(new.withColumn("_brought", F.lit(1)))
+            values = [c for c in new.columns if c not in self.keys]
+            top = both.groupBy(*self.keys).agg(F.max_by(F.struct(*values), F.struct(order, "_brought")).alias("_row"))
+            return top.select(*self.keys, "_row.*").select(*new.columns)
 
-    def _finish(self) -> None:
-        """Let written buckets take the place of the table's; nothing happens where none were written in full.
+        return self._merge(updates, merged)
+
+
+class History(FolderTable):
+    """Facts of all dates, in a folder per date, beside a small table of each site's newest date.
+
+    The newest rows are found from the small table: the dates in it say which folders to read at all, so a history of years
+    costs no more than its newest days.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = ("project_id",), date: str = "date", buckets: int = 16) -> None:
+        super().__init__(spark, f"{path.rstrip('/')}/rows", [*keys, date])
+        self.sites, self.folder = list(keys), date
+        self._newest = CurrentTable(spark, f"{path.rstrip('/')}/newest", keys, buckets=buckets)
 
-        A bucket leaves the staging folder only by the renaming that puts it in its place, so this can be begun again at any point.
+    def land(self, rows: DataFrame) -> list:
+        """Put rows in place of those of the same site and date; a window landed twice changes nothing. Gives back the dates.
+
+        A row without a date belongs to no window and is left out.
         """
-        if not self._there(f"{self._staging}/_SUCCESS"):
-            return
-        staging, system = self._place(self._staging)
-        root, _ = self._place(self._root)
-        system.mkdirs(root)
-        for status in system.listStatus(staging):
-            name = status.getPath().getName()
-            if name.startswith("bucket="):
-                target, _ = self._place(f"{self._root}/{name}")
-                system.delete(target, True)
-                if not system.rename(status.getPath(), target):
-                    raise OSError(f"{status.getPath()} cannot be moved to {self._root}")
-        system.delete(staging, True)
+        rows = cut_lineage(rows.filter(F.col(self.folder).isNotNull()))
+        dates = self._merge(rows, lambda old, new: ledger.replace_slice(old, new, [*self.sites, self.folder]))
+        self._newest.greatest(rows.groupBy(*self.sites).agg(F.max(self.folder).alias(self.folder)), self.folder)
+        return dates
+
+    def read(self) -> DataFrame:
+        self._finish()
+        return self._stored()
+
+    def newest(self) -> DataFrame | None:
+        """The newest date of every site."""
+        return self._newest.read()
+
+    def current(self) -> DataFrame:
+        """All rows of each site's newest date, in one scan of the folders that are some site's newest."""
+        newest = self.newest()
+        dates = [r[0] for r in newest.select(self.folder).distinct().collect()]  # at most as many as there are folders
+        rows = self.read().filter(F.col(self.folder).isin(dates))
+        keys = [*self.sites, self.folder]
+        if newest.limit(SITES_SENT + 1).count() <= SITES_SENT:
+            return rows.join(F.broadcast(newest), keys, "left_semi")
+        return lookup_join(rows, newest, keys, how="left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,3 +103,13 @@ def latest_rows(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
     kept = answered.filter(F.col(date) == F.col("_hot._newest")).select(*df.columns)
     cold = newest.select(*keys, F.col("_newest").alias(date))
     return kept.unionByName(rest.join(cold, [*keys, date], "left_semi").select(*df.columns))
+
+
+@dataclass(frozen=True)
+class Newest:
+    """Rows that are known to be the newest of their keys, so that no operator looks for these again."""
+
+    rows: DataFrame
+
+    def current(self) -> DataFrame:
+        return self.rows

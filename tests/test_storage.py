@@ -7,7 +7,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from crawlscope.sinks.current import CurrentTable
+from crawlscope.operators import search as Q
+from crawlscope.sinks.current import CurrentTable, History
+from crawlscope.skew import latest_rows
 from crawlscope.sources import payloads as P
 
 RECORD = "struct<url:string,title:string,n:int,big:string>"
@@ -83,10 +85,10 @@ def test_only_named_payloads_are_read(spark, tmp_path, monkeypatch):
 # --- current tables ------------------------------------------------------------------------------------
 
 
-def files(path):
+def files(path, folder="bucket"):
     found = {}
     for f in Path(path).rglob("*.parquet"):
-        found.setdefault(next(p for p in f.parts if p.startswith("bucket=")), set()).add(f.name)
+        found.setdefault(next(p for p in f.parts if p.startswith(f"{folder}=")), set()).add(f.name)
     return found
 
 
@@ -128,7 +130,7 @@ def test_a_broken_swap_is_finished(spark, tmp_path):
     schema = "k int, v int"
     table.upsert(spark.createDataFrame([(i, 0) for i in range(40)], schema))
     # as if the driver had died after writing: a whole copy lies beside the table, one bucket is moved already
-    new = spark.createDataFrame([(i, 1) for i in range(40)], schema).withColumn("bucket", table.bucket())
+    new = spark.createDataFrame([(i, 1) for i in range(40)], schema).withColumn("bucket", table._folder_of())
     new.write.partitionBy("bucket").parquet(str(tmp_path / "t-staging"))
     moved = tmp_path / "t/buckets=4/bucket=2"
     for f in moved.iterdir():
@@ -138,6 +140,35 @@ def test_a_broken_swap_is_finished(spark, tmp_path):
     assert sorted(map(tuple, table.read().collect())) == [(i, 1) for i in range(40)]
     assert not (tmp_path / "t-staging").exists()
     # one that was not written in full counts for nothing
-    spark.createDataFrame([(1, 9)], schema).withColumn("bucket", table.bucket()).write.partitionBy("bucket").parquet(str(tmp_path / "t-staging"))
+    spark.createDataFrame([(1, 9)], schema).withColumn("bucket", table._folder_of()).write.partitionBy("bucket").parquet(str(tmp_path / "t-staging"))
     (tmp_path / "t-staging/_SUCCESS").unlink()
     assert {r.v for r in table.read().collect()} == {1}
+
+
+# --- histories -----------------------------------------------------------------------------------------
+
+
+def test_history_reads_only_the_newest_folders(spark, tmp_path):
+    rng = random.Random(2)
+    schema = "project_id int, date date, query string, page string, clicks long, impressions long, position double"
+    rows = [(s, d, f"q{i}", f"p{i % 3}", rng.randint(0, 3), 9, rng.random() * 30) for s in (1, 2, 3, None) for d in range(1, 9 - (s or 0)) for i in range(6)]
+    facts = spark.createDataFrame([(s, f"2024-01-0{d}", *r) for s, d, *r in rows], schema.replace("date date", "date string")).withColumn("date", F.to_date("date"))
+    kept = History(spark, str(tmp_path / "h"))
+    assert len(kept.land(facts)) == 8
+    before = files(tmp_path / "h/rows", "date")
+    fresh = facts.filter("project_id = 2 AND date = '2024-01-06'").withColumn("clicks", F.lit(50).cast("long")).limit(2)
+    late = facts.filter("project_id = 3 AND date = '2024-01-02'")
+    assert len(kept.land(fresh.unionByName(late))) == 2
+    after = files(tmp_path / "h/rows", "date")
+    assert {d for d in before if before[d] != after[d]} == {"date=2024-01-02", "date=2024-01-06"}
+    newest = {(r.project_id, str(r.date)) for r in kept.newest().collect()}
+    assert newest == {(1, "2024-01-07"), (2, "2024-01-06"), (3, "2024-01-05"), (None, "2024-01-08")}
+    whole = facts.filter("NOT (project_id <=> 2 AND date = '2024-01-06')").unionByName(fresh)
+    # a site without a name has no newest date that could be met
+    assert sorted(map(tuple, kept.current().collect()), key=str) == sorted(map(tuple, latest_rows(whole, ["project_id"], "date").select(*kept.current().columns).collect()), key=str)
+    assert sorted(map(tuple, Q.ctr_curve(kept).collect())) == sorted(map(tuple, Q.ctr_curve(whole).collect()))
+    plan = Q.ctr_curve(kept)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "clicks" in line]
+    assert len(scans) == 1 and "date#" in scans[0].split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert all(f"2024-01-0{d}" in scans[0] for d in (5, 6, 7, 8)) and "2024-01-01" not in scans[0]  # the folders of the newest dates
+    assert kept.land(facts.limit(0)) == []
