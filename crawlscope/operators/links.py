@@ -6,16 +6,21 @@ nofollow_internal, nofollow_external_count. `homes` is project_id, url.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from crawlscope import constants as C
 from crawlscope.functions.urls import canonical_url, canonical_urls
-from crawlscope.session import cut_lineage
+from crawlscope.session import cut_lineage, written
 from crawlscope.skew import lookup_join
 
 SITE = ["project_id"]
-_HOPS_PER_CHECKPOINT = 4
+# After so many levels of clicks their tables are written as one.
+_LEVELS_PER_COPY = 8
+# Fewer kept edges than these are not worth dropping settled ones.
+_FEW_EDGES = 5_000_000
 
 
 # --- redirects ---------------------------------------------------------------------------------------
@@ -103,22 +108,31 @@ def redirect_alias_filter(pages: DataFrame, edges: DataFrame) -> DataFrame:
 # --- internal links ----------------------------------------------------------------------------------
 
 
+def link_records(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """What the link graph needs of a page: its canonical url as `node` and those it links to, each once and not itself; and `keep`."""
+    node = canonical_url(F.col("url"))
+    # A page's own repetitions and self links go before its links become rows.
+    targets = F.array_except(canonical_urls(F.col("internal_links")), F.array(F.lit(""), node))
+    return pages.select(*SITE, "url", "status_code", "is_indexable", node.alias("node"), targets.alias("targets"), *[F.col(c) for c in keep])
+
+
+def _records(pages: DataFrame) -> DataFrame:
+    return pages if "targets" in pages.columns else link_records(pages)
+
+
 def _nodes(pages: DataFrame) -> DataFrame:
-    return pages.select(*SITE, canonical_url(F.col("url")).alias("node")).distinct()
+    return (pages if "node" in pages.columns else pages.select(*SITE, canonical_url(F.col("url")).alias("node"))).select(*SITE, "node").distinct()
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """Distinct links source -> target between crawled pages, without self links.
+    """Distinct links source -> target between crawled pages, without self links. `pages` may be `link_records`.
 
     Targets are where a navigation bar piles up (every page links home); their lookup is a semi join whose
     heavy partitions split while it runs, and everything counted per target is summed before it is shuffled.
     """
-    sources = pages.select(*SITE, canonical_url(F.col("url")).alias("source"), "internal_links")
-    # A page's own repetitions and self links go before its links become rows.
-    targets = F.array_distinct(canonical_urls(F.col("internal_links")))
-    kept = F.filter(targets, lambda t: (t != "") & (t != F.col("source")))
-    edges = sources.select(*SITE, "source", F.explode(kept).alias("target")).distinct()
-    return lookup_join(edges, _nodes(pages).withColumnRenamed("node", "target"), [*SITE, "target"], how="left_semi")
+    records = _records(pages)
+    edges = records.select(*SITE, F.col("node").alias("source"), F.explode("targets").alias("target")).distinct()
+    return lookup_join(edges, _nodes(records).withColumnRenamed("node", "target"), [*SITE, "target"], how="left_semi")
 
 
 def inbound_counts(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -132,48 +146,58 @@ def _home_nodes(homes: DataFrame) -> DataFrame:
     return homes.select(*SITE, canonical_url(F.col("url")).alias("node")).distinct()
 
 
-def orphans(pages: DataFrame, homes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+def orphans(pages: DataFrame, homes: DataFrame, edges: DataFrame | None = None, inbound: DataFrame | None = None) -> DataFrame:
     """Indexable pages answered with 200 that no crawled page links to; the home page needs no links."""
-    candidates = pages.filter((F.col("status_code") == 200) & F.coalesce("is_indexable", F.lit(True))).select(
-        *SITE, "url", canonical_url(F.col("url")).alias("node")
-    )
-    lonely = inbound_counts(pages, edges).filter("inbound = 0").select(*SITE, "node")
+    candidates = _records(pages).filter((F.col("status_code") == 200) & F.coalesce("is_indexable", F.lit(True))).select(*SITE, "url", "node")
+    lonely = (inbound_counts(pages, edges) if inbound is None else inbound).filter("inbound = 0").select(*SITE, "node")
     return candidates.join(lonely, [*SITE, "node"], "left_semi").join(
         _home_nodes(homes), [*SITE, "node"], "left_anti"
     ).select(*SITE, "url")
 
 
-def click_depth(edges: DataFrame, homes: DataFrame, written: bool = False) -> DataFrame:
+def click_depth(edges: DataFrame, homes: DataFrame) -> DataFrame:
     """project_id, node and the fewest clicks from home, level by level; unreachable pages have no row.
 
-    Every level reads the edges again, so they are written once first, unless the caller has done so.
+    The edges are dealt once by (site, source) and kept so; a level's pages come to them, never the other way round. A page is
+    in the frontier once, so all levels together send each edge's target once. When half of the kept edges have had their
+    turn they are dropped. What is kept in the executors can be computed again from the written edges.
     """
-    edges = edges if written else cut_lineage(edges)
-    out = edges.select(*SITE, F.col("source").alias("node"), "target")
-    frontier = reached = _home_nodes(homes).withColumn("click_depth", F.lit(0))
-    level = 0
+    keys = [*SITE, "node"]
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = edges.select(*SITE, F.col("source").alias("node"), "target").repartition(parts, *keys).persist()
+    left, gone = out.count(), 0
+    frontier = written(_home_nodes(homes).withColumn("click_depth", F.lit(0)))
+    reached, level = frontier, 0
     while True:
         level += 1
-        following = (
-            frontier.join(out, [*SITE, "node"]).select(*SITE, F.col("target").alias("node")).distinct()
-            .join(reached.select(*SITE, "node"), [*SITE, "node"], "left_anti")
-            .withColumn("click_depth", F.lit(level))
-        )
-        frontier = cut_lineage(following)
+        # the number of edges followed tells when settled ones are worth dropping
+        followed = frontier.select(*keys).join(out, keys)
+        counted = Observation()
+        step = followed.observe(counted, F.count(F.lit(1)).alias("n")).select(*SITE, F.col("target").alias("node")).distinct()
+        frontier = written(step.join(reached.select(*keys), keys, "left_anti").withColumn("click_depth", F.lit(level)))
         if frontier.isEmpty():
+            out.unpersist()
             return reached
         reached = reached.unionByName(frontier)
-        if level % _HOPS_PER_CHECKPOINT == 0:
-            reached = cut_lineage(reached)
-
-
-def link_table(pages: DataFrame, homes: DataFrame) -> DataFrame:
-    """Per page answered with 200: links in, clicks from home, and whether it is weak or deep."""
-    edges = cut_lineage(link_edges(pages))
-    inbound, depth = inbound_counts(pages, edges), click_depth(edges, homes, written=True)
+        if level % _LEVELS_PER_COPY == 0:
+            reached = written(reached)
+        gone += counted.get["n"]
+        if 2 * gone > left > _FEW_EDGES:
+            rest = out.join(reached.select(*keys), keys, "left_anti").unionByName(out.join(frontier.select(*keys), keys, "left_semi"))
+            kept = rest.repartition(parts, *keys).persist()
+            left, gone = kept.count(), 0
+            out.unpersist()
+            out = kept
+
+
+def link_table(pages: DataFrame, homes: DataFrame, edges: DataFrame | None = None, inbound: DataFrame | None = None) -> DataFrame:
+    """Per page answered with 200: links in, clicks from home, and whether it is weak or deep. `pages` may be written `link_records`."""
+    records = pages if "targets" in pages.columns else written(link_records(pages))
+    edges = written(link_edges(records)) if edges is None else edges
+    inbound, depth = inbound_counts(records, edges) if inbound is None else inbound, click_depth(edges, homes)
     home = _home_nodes(homes).withColumn("_home", F.lit(True))
     keys = [*SITE, "node"]
-    rows = pages.filter(F.col("status_code") == 200).select(*SITE, "url", canonical_url(F.col("url")).alias("node"))
+    rows = records.filter(F.col("status_code") == 200).select(*SITE, "url", "node")
     joined = rows.join(inbound, keys, "left").join(depth, keys, "left").join(home, keys, "left")
     return joined.select(
         *SITE, "url", "inbound", "click_depth",

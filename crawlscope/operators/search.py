@@ -14,7 +14,7 @@ from crawlscope import constants as C
 from crawlscope.functions import text as T
 from crawlscope.functions.urls import canonical_url
 from crawlscope.operators.issues import issue
-from crawlscope.session import cut_lineage
+from crawlscope.session import written
 from crawlscope.sinks.current import History
 from crawlscope.skew import Newest, counted_sample, first_k, latest_rows, lookup_join, sample_text
 
@@ -229,16 +229,21 @@ def zero_impression_pages(pages: DataFrame, queries: Rows, canonical: bool = Fal
     return silent.select(*SITE, finding.alias("i")).select(*SITE, "i.*")
 
 
-def cannibal_pages(queries: Rows, redirects: DataFrame | None = None) -> DataFrame:
-    """One row per query and final page, for queries on which two pages or more compete."""
+def _pages_of_queries(queries: Rows, redirects: DataFrame | None) -> DataFrame:
+    """One row per query and final page, written: what competes is counted and listed from it."""
     rows = current(queries).filter(F.coalesce("page", F.lit("")) != "").withColumn("_source", canonical_url(F.col("page")))
     if redirects is not None:
         finals = redirects.select(*SITE, F.col("source").alias("_source"), F.col("final").alias("_final"))
         rows = lookup_join(rows, finals, [*SITE, "_source"])
         rows = rows.withColumn("_source", F.coalesce("_final", "_source"))
-    per_page = rows.groupBy(*SITE, "query", F.col("_source").alias("final_page")).agg(
+    return written(rows.groupBy(*SITE, "query", F.col("_source").alias("final_page")).agg(
         F.min(F.struct("position", "page")).alias("_best"), F.sum("impressions").alias("impressions")
-    )
+    ))
+
+
+def cannibal_pages(queries: Rows, redirects: DataFrame | None = None) -> DataFrame:
+    """One row per query and final page, for queries on which two pages or more compete."""
+    per_page = _pages_of_queries(queries, redirects)
     counted = per_page.groupBy(*SITE, "query").agg(F.count(F.lit(1)).alias("pages"), F.count(F.lit(1)).alias("_n"))
     rivals = counted.filter(F.col("pages") >= 2)
     return lookup_join(per_page, rivals, [*SITE, "query"], weight="_n", how="inner").select(
@@ -247,14 +252,17 @@ def cannibal_pages(queries: Rows, redirects: DataFrame | None = None) -> DataFra
 
 
 def cannibalization(queries: Rows, redirects: DataFrame | None = None, listed: int = 20) -> DataFrame:
-    """A finding per query on which pages compete; `listed` of them by name, all counted."""
-    rows = cut_lineage(cannibal_pages(queries, redirects))  # read for the counts and for the names
+    """A finding per query on which pages compete; `listed` of them by name, all counted (`cannibal_pages` has all of them).
+
+    The names come from a top-k of each query's pages in two steps, so neither a query's pages nor their names are gathered.
+    """
+    rows = _pages_of_queries(queries, redirects)
     keys = [*SITE, "query"]
     grouped = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pages"), F.sum("impressions").alias("impressions"),
-        F.count_if(F.col("position") <= 20).alias("_top20"), F.min(F.struct("position", "page")).alias("_best"),
-    )
-    named = sample_text(rows, keys, F.col("final_page"), [F.col("final_page")], listed, "page_list")
+        F.count_if(F.col("_best.position") <= 20).alias("_top20"), F.min("_best").alias("_best"),
+    ).filter("pages >= 2")
+    named = sample_text(rows.select(*keys, "final_page"), keys, F.col("final_page"), [F.col("final_page")], listed, "page_list")
     severity = F.when(F.col("_top20") >= 2, "critical").otherwise("high")
     title = F.concat(
         F.lit("'"), F.col("query"), F.lit("': "), F.col("pages").cast("string"), F.lit(" pages compete ("),

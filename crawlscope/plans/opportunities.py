@@ -10,14 +10,14 @@ from crawlscope.operators import scores as S
 from crawlscope.operators import search as Q
 from crawlscope.operators.issues import ISSUE_COLUMNS
 from crawlscope.operators.summaries import union
-from crawlscope.session import cut_lineage
+from crawlscope.session import written
 from crawlscope.skew import Newest
 
 
 def opportunity_findings(queries: Q.Rows, daily: DataFrame, pages: DataFrame, redirects: DataFrame | None) -> DataFrame:
     """The newest rows are looked for once, and written without the columns that no finding reads."""
     needed = ["project_id", "query", "page", "clicks", "impressions", "position"]
-    queries = Newest(cut_lineage(Q.current(queries).select(*needed)))
+    queries = Newest(written(Q.current(queries).select(*needed)))
     parts = [
         Q.cannibalization(queries, redirects), Q.top10_zero_ctr(queries), Q.zero_impression_pages(pages, queries),
         Q.decay_issues(daily), Q.never_clicked_issues(queries),

@@ -11,7 +11,7 @@ from crawlscope.operators import scores as S
 from crawlscope.operators import search as Q
 from crawlscope.operators import serp as R
 from crawlscope.operators import speed as W
-from crawlscope.session import cut_lineage
+from crawlscope.session import written
 from crawlscope.skew import Newest
 from crawlscope.sources.landing import verdict_summary
 
@@ -21,7 +21,7 @@ def report_tables(
     snapshots: DataFrame, keywords: DataFrame, listings: DataFrame, inspections: DataFrame, vitals: DataFrame, sitemap: DataFrame,
 ) -> dict[str, DataFrame]:
     """What several tables read, the newest rows of queries and listings, is looked for once and written."""
-    queries, listed = Newest(cut_lineage(Q.current(queries))), cut_lineage(R.current(listings))
+    queries, listed = Newest(written(Q.current(queries))), written(R.current(listings))
     return {
         "scorecards": Q.scorecards(sites, daily, queries, ledger, scores, snapshots),
         "action_plan": E.action_plan(ledger),

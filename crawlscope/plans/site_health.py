@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -12,7 +12,7 @@ from crawlscope.operators import page_rules as P
 from crawlscope.operators import pages as G
 from crawlscope.operators import summaries as Y
 from crawlscope.operators.issues import ISSUE_COLUMNS
-from crawlscope.session import cut_lineage
+from crawlscope.session import written
 
 
 @dataclass
@@ -27,23 +27,31 @@ class Sources:
     robots: DataFrame | None = None
 
 
+# What is kept of a crawled page beside its place in the link graph, and of a stored page; no text of a body is among it.
+CRAWL_FEATURES = ["redirected_to", "nofollow_internal", "schema_nodes", "content_encoding", "cache_control"]
+PAGE_FEATURES = ["project_id", "url", "status_code", "is_indexable", "redirected_to", *G.FIELDS, "word_count"]
+
+
 def tables(s: Sources, agent: str) -> dict[str, DataFrame]:
-    """The tables of the analysis, written once each: the crawl is read by most, and findings read them twice."""
-    s = replace(s, crawl=cut_lineage(s.crawl), pages=cut_lineage(s.pages))
-    redirects = L.redirect_map_merge(L.redirect_edges(s.pages), L.redirect_edges(s.crawl))
-    redirects = cut_lineage(redirects)
-    base = cut_lineage(V.coverage_base(s.crawl, s.sitemap, s.inspections))
+    """The tables of the analysis. Crawl and pages are read once, into features of which every table reads its own columns;
+    written besides is only what takes a shuffle and is read more than once."""
+    crawl = written(L.link_records(s.crawl, CRAWL_FEATURES))
+    pages = written(s.pages.select(*PAGE_FEATURES))
+    redirects = written(L.redirect_map_merge(L.redirect_edges(pages), L.redirect_edges(crawl)))
+    own = written(G.own_pages(pages, redirects))
+    base = written(V.coverage_base(crawl, s.sitemap, s.inspections))
+    edges = written(L.link_edges(crawl))
+    inbound = written(L.inbound_counts(crawl, edges))
     found = {
-        "orphans": L.orphans(s.crawl, s.homes), "broken": V.broken_pages(s.crawl), "redirects": V.redirect_links(s.crawl),
-        "coverage_counts": V.coverage_counts(base), "coverage_diff": V.coverage_diff(base),
-        "links": L.link_table(s.crawl, s.homes), "nofollow": L.nofollow_pages(s.crawl),
-        "duplicates": G.duplicate_field(s.pages, redirects), "thin": G.thin_content(s.pages, redirects),
-        "schema_groups": P.schema_groups(s.crawl), "cache_findings": G.cache_header_findings(s.crawl),
-        "cache_summary": G.cache_header_summary(s.crawl),
+        "orphans": written(L.orphans(crawl, s.homes, edges, inbound)), "broken": V.broken_pages(crawl), "redirects": V.redirect_links(crawl),
+        "coverage_counts": V.coverage_counts(base), "coverage_diff": written(V.coverage_diff(base)),
+        "links": written(L.link_table(crawl, s.homes, edges, inbound)), "nofollow": L.nofollow_pages(crawl),
+        "duplicates": written(G.duplicate_field(own)), "thin": G.thin_content(own),
+        "schema_groups": P.schema_groups(crawl), "cache_findings": G.cache_header_findings(crawl), "cache_summary": G.cache_header_summary(crawl),
     }
     if s.robots is not None and s.sitemap is not None:
-        found["robots_conflicts"] = V.robots_sitemap_conflicts(s.sitemap, s.robots, agent)
-    return {name: cut_lineage(table) for name, table in found.items()}
+        found["robots_conflicts"] = written(V.robots_sitemap_conflicts(s.sitemap, s.robots, agent))
+    return found
 
 
 def findings(t: dict[str, DataFrame]) -> DataFrame:

@@ -67,3 +67,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and continue from the written copy."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and continue from the files, of which later steps read single columns."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
