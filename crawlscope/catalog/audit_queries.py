@@ -62,6 +62,40 @@ def links(spark, sf):
     return features(spark, sf).select("page_id", F.explode("internal_links").alias("href"))
 
 
+# Pages written as markup from the stored crawl, so every feature is read back as the page states it.
+_NEXT = "'/p/' || CAST(idx + 1 AS STRING)"
+
+
+def marked_pages(spark, sf):
+    """Crawled pages as raw HTML: only what the crawl knows is declared; every fourth page keeps a link from authority."""
+    def said(text: str, column: str):
+        return F.when(F.col(column).isNotNull(), F.format_string(text, F.col(column))).otherwise("")
+
+    third, fourth, half = [F.pmod("idx", F.lit(n)) == 0 for n in (3, 4, 2)]
+    html = F.concat(
+        F.lit("<!doctype html><html lang='es-CO'><head>"), said("<title> %s\n</title>", "title"), said("<meta name='description' content='%s'>", "meta_description"),
+        said("<meta property='og:title' content='%s'>", "og_title"), said("<meta property='og:description' content='%s'>", "og_description"),
+        said("<meta property='og:image' content='%s'>", "og_image"), said("<link rel='canonical' href='%s'>", "canonical"),
+        F.when(~F.col("is_indexable"), "<meta name='robots' content='NoIndex, follow'>").otherwise(""), F.lit("</head><body>"),
+        F.when(F.col("h1") != "", F.concat(F.lit("<h1>"), F.replace(F.col("h1"), F.lit(" | "), F.lit("</h1><h1>")), F.lit("</h1>"))).otherwise(""),
+        F.format_string("<a href='/p/%d#top'%s>next</a>", F.col("idx") + 1, F.when(fourth, " rel='nofollow'").otherwise("")),
+        F.when(third, "<a rel='noopener NOFOLLOW' href='https://elsewhere.example/'>there</a>").otherwise("<a href='https://elsewhere.example/'>there</a>"),
+        F.when(half, "<a rel='nofollow ugc' href='//other.example/x'>x</a>").otherwise("<a href='mailto:a@b.example'>x</a>"), F.lit("</body></html>"))
+    return load(spark, sf, "crawl_flat").select("project_id", "idx", "url", html.alias("html"))
+
+
+@query("extract_page_features_markup", f"""
+    SELECT project_id, idx, trim(title) AS title, trim(meta_description) AS meta_description, canonical, og_title, og_description, nullif(og_image, '') AS og_image, is_indexable, 'es' AS lang_declared,
+           CASE WHEN h1 = '' THEN 0 ELSE len(string_split(h1, ' | ')) END AS headings, regexp_extract(url, '^https?://[^/]+') || {_NEXT} AS links,
+           CASE WHEN idx % 4 = 0 THEN regexp_extract(url, '^https?://[^/]+') || {_NEXT} ELSE '' END AS nofollow_internal,
+           CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN idx % 2 = 0 THEN 1 ELSE 0 END AS nofollow_external_count FROM {{crawl_flat}} c""")
+def page_features_markup(spark, sf):
+    return M.extract_page_features(marked_pages(spark, sf)).select(
+        "project_id", "idx", "title", "meta_description", "canonical", F.col("og.title").alias("og_title"), F.col("og.description").alias("og_description"),
+        F.col("og.image").alias("og_image"), "is_indexable", "lang_declared", F.size("h1_tags").alias("headings"), F.array_join("internal_links", " ").alias("links"),
+        F.array_join("nofollow_internal", " ").alias("nofollow_internal"), "nofollow_external_count")
+
+
 @query("eeat_signals_html", rf"""
     SELECT page_id, regexp_matches(flat, '(?i)(^|{_EDGE})(por|escrito por|autor|redactado por)\s*:?\s*[\p{{L}}\p{{N}}_]+') AS has_author,
            regexp_matches(flat, '(^|{_EDGE})\d{{4}}-\d{{2}}-\d{{2}}($|{_EDGE})') AS has_date,

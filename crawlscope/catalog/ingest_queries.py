@@ -312,9 +312,8 @@ def result_pages(spark, sf):
     return payload(pages, F.col("keyword"), F.col("date").cast("string").alias("date"), F.col("page"), F.col("organic"))
 
 
-def rival_sites(spark, sf):
-    rivals = load(spark, sf, "registered_rivals").groupBy("project_id").agg(F.collect_set(domain_of(F.concat(F.lit("//"), "domain"))).alias("competitors"))
-    return sites(spark, sf).join(rivals, "project_id", "left")
+def rivals(spark, sf):
+    return load(spark, sf, "registered_rivals").select("project_id", domain_of(F.concat(F.lit("//"), "domain")).alias("domain"))
 
 
 @query("serp_rank_ingest", f"""
@@ -326,7 +325,7 @@ def rival_sites(spark, sf):
     FROM (SELECT DISTINCT project_id, keyword, date FROM {{result_rows}} r) k LEFT JOIN own o ON o.project_id = k.project_id AND o.keyword = k.keyword AND o.date = k.date
     LEFT JOIN rivals v ON v.project_id = k.project_id AND v.keyword = k.keyword AND v.date = k.date""")
 def serp_rank(spark, sf):
-    found = I.serp_rank_ingest(result_pages(spark, sf), rival_sites(spark, sf))
+    found = I.serp_rank_ingest(result_pages(spark, sf), sites(spark, sf), rivals(spark, sf))
     positions = F.array_sort(F.transform(F.map_entries("competitor_positions"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
     return found.select("project_id", "keyword", F.col("date").cast("string").alias("date"), F.col("our_position").cast("long").alias("our_position"), "our_url",
                         F.array_join(positions, " ").alias("competitor_positions"))

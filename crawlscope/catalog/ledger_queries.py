@@ -480,9 +480,34 @@ _TABLES = {"scorecards": "scorecards", "action_plan": "action_plan", "top_keywor
             JOIN (SELECT project_id, count(DISTINCT keyword) AS total FROM {M.NOW} l GROUP BY 1) t ON t.project_id = d.project_id WHERE n >= CASE WHEN total <= 3 THEN 1 ELSE 2 END GROUP BY 2"""]))
 def report_rows(spark, sf):
     """Rows and sites of every report table."""
-    tables = report.report_tables(
+    counted = [t.groupBy("project_id").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "project_id", "rows") for name, t in _report(spark, sf).items()]
+    return reduce(lambda a, b: a.unionByName(b), counted)
+
+
+def _report(spark, sf):
+    return report.report_tables(
         N.sites(spark, sf), load(spark, sf, "daily_rows"), Q.rows(spark, sf), crawl(spark, sf), ledger(spark, sf), Q.scores(spark, sf), snapshots(spark, sf),
         load(spark, sf, "keyword_rows"), M.listings(spark, sf), load(spark, sf, "inspections"), load(spark, sf, "vital_rows"), load(spark, sf, "sitemap_urls"),
     )
-    counted = [t.groupBy("project_id").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "project_id", "rows") for name, t in tables.items()]
-    return reduce(lambda a, b: a.unionByName(b), counted)
+
+
+# Columns that make up a row's text.
+_SHOWN = {
+    "scorecards": ["clicks_28d", "impressions_28d", "keywords_ranking", "issues_open", "issues_critical", "seo_score", "technical_score", "seo_score_delta"],
+    "action_plan": ["severity", "category", "title", "effort", "impact", "priority_rank"], "top_keywords": ["query", "page", "impressions", "rank"],
+    "near_top10": ["query", "page", "impressions"], "ctr_curve": ["bucket", "keywords", "impressions", "clicks"], "ctr_summary": ["total_clicks", "total_impressions", "reliable", "note"],
+    "score_deltas": ["kind", "current", "previous", "delta"], "rank_standing": ["keyword", "our_position"], "coverage": ["crawled", "sitemap", "indexed", "inspected"],
+}
+
+
+@query("report_table_rows", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, project_id, concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns)}) AS content FROM ({ORACLES[_TABLES[name]]}) q"
+    for name, columns in _SHOWN.items()))
+def report_table_rows(spark, sf):
+    """The report's rows themselves, not their number."""
+    tables = _report(spark, sf)
+    shown = [
+        tables[name].select(F.lit(name).alias("table_name"), "project_id", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]).alias("content"))
+        for name, columns in _SHOWN.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), shown)

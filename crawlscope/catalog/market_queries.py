@@ -8,13 +8,14 @@ from crawlscope import constants as C
 from crawlscope.catalog.audit_queries import HTML, INSIGHTS, features
 from crawlscope.catalog.fixtures import crawl, linked_crawl, load
 from crawlscope.catalog.graph_queries import flat, sites
-from crawlscope.catalog.registry import query
+from crawlscope.catalog.registry import ORACLES, query
 from crawlscope.catalog.search_queries import CLOSURE, closure
 from crawlscope.catalog.text_queries import sql_canonical, sql_in, sql_list, sql_words
 from crawlscope.operators import backlinks as K
 from crawlscope.operators import competitors as R
 from crawlscope.operators import coverage as V
 from crawlscope.operators import serp as P
+from crawlscope.operators.page_rules import technical_score
 
 
 def listings(spark, sf):
@@ -50,6 +51,13 @@ def domain_keywords(spark, sf):
 
 
 NOW = """(SELECT l.* FROM {listing_rows} l JOIN (SELECT project_id, max(date) AS newest FROM {listing_rows} m GROUP BY 1) n ON n.project_id = l.project_id AND l.date = n.newest)"""
+
+
+@query("discover_competitors_newest", "SELECT * FROM " + DISCOVERED.replace("{listing_rows} l", NOW + " l") + " d")
+def discover_newest(spark, sf):
+    return P.discover_competitors(P.current(listings(spark, sf)), sites(spark, sf), registered(spark, sf))
+
+
 _OURS = f"(is_ours OR domain = {OWN_DOMAIN})"
 _BEATEN = f"""(SELECT *, min(position) FILTER (WHERE {_OURS}) OVER (PARTITION BY project_id, keyword) AS our_position,
     first_value(CASE WHEN {_OURS} THEN url END) OVER (PARTITION BY project_id, keyword ORDER BY CASE WHEN {_OURS} THEN position END NULLS LAST) AS our_url FROM {NOW} n)"""
@@ -186,8 +194,9 @@ def gap(spark, sf):
 
 
 @query("competitive_matrix", f"""
-    SELECT s.project_id, 'www.site' || CAST(s.project_id AS STRING) || '.example' AS domain, TRUE AS is_own_site, n AS pages_crawled, 70 AS technical_score, NULL AS geo_score, NULL AS scanned_at, NULL AS note
+    SELECT s.project_id, 'www.site' || CAST(s.project_id AS STRING) || '.example' AS domain, TRUE AS is_own_site, n AS pages_crawled, technical_score, NULL AS geo_score, NULL AS scanned_at, NULL AS note
     FROM {{sites}} s JOIN (SELECT project_id, count(*) AS n FROM {{crawl_flat}} c GROUP BY 1) c ON c.project_id = s.project_id
+    LEFT JOIN ({ORACLES["technical_score"]}) t ON t.project_id = s.project_id
     UNION ALL
     SELECT r.project_id, r.domain, FALSE, n, lowest, highest, CAST(seen AS STRING), CASE WHEN n IS NULL THEN 'never scanned' END
     FROM {{registered_rivals}} r LEFT JOIN (
@@ -195,29 +204,31 @@ def gap(spark, sf):
         SELECT project_id, CASE WHEN length(domain) > 13 THEN 'www.' ELSE 'other.' END || domain AS domain, CAST(date AS TIMESTAMP) AS seen, count(*) AS n, min(position) AS lowest, max(position) AS highest FROM {{listing_rows}} l
         GROUP BY 1, 2, 3) g GROUP BY 1, 2) x ON x.project_id = r.project_id AND x.domain = r.domain""")
 def matrix(spark, sf):
-    rivals = registered(spark, sf).groupBy("project_id").agg(F.collect_list("domain").alias("competitors"))
-    named = sites(spark, sf).join(rivals, "project_id", "left")
-    own = crawl(spark, sf).groupBy("project_id").agg(F.count(F.lit(1)).alias("pages_crawled")).withColumns(
-        {"technical_score": F.lit(70), "geo_score": F.lit(None).cast("int")}
-    )
+    pages = crawl(spark, sf)
+    own = pages.groupBy("project_id").agg(F.count(F.lit(1)).alias("pages_crawled")).join(technical_score(pages), "project_id", "left")
+    own = own.withColumn("geo_score", F.lit(None).cast("int"))
     # short names were scanned under another host, so some rivals count as never scanned
     host = F.concat(F.when(F.length("domain") > 13, F.lit("www.")).otherwise(F.lit("other.")), "domain")
     scans = listings(spark, sf).groupBy(
         "project_id", host.alias("domain"), F.col("date").cast("timestamp").alias("scanned_at")
     ).agg(F.count(F.lit(1)).alias("pages_crawled"), F.min("position").alias("technical_score"), F.max("position").alias("geo_score"))
-    return R.competitive_matrix(named, own, scans).withColumn("scanned_at", F.col("scanned_at").cast("string"))
+    return R.competitive_matrix(sites(spark, sf), registered(spark, sf), own, scans).withColumn("scanned_at", F.col("scanned_at").cast("string"))
+
+
+def _share(flag: str) -> str:
+    return f"CAST(round_even(100.0::DOUBLE * count(*) FILTER (WHERE {flag}) / count(*), 0) AS INT) AS {flag}_pct"
 
 
 @query("competitor_comparison", f"""
     SELECT t.*, o.* EXCLUDE (project_id) FROM (
       SELECT project_id, competitor, count(*) AS pages, round_even(avg(words) FILTER (WHERE words > 0), 1) AS avg_word_count, round_even(avg(length(title)) FILTER (WHERE title <> ''), 1) AS avg_title_length,
-             CAST(NULL AS DOUBLE) AS avg_meta_length, CAST(round_even(100.0::DOUBLE * count(*) FILTER (WHERE lang = 'en') / count(*), 0) AS INT) AS has_author_pct, 0 AS has_date_pct, 100 AS has_contact_pct
-      FROM (SELECT r.*, len(regexp_extract_all(body, '\\S+')) AS words FROM {_RIVALS} r JOIN (SELECT page_id, body FROM {HTML} h) b ON b.page_id = r.page_id) r GROUP BY 1, 2) t
+             CAST(NULL AS DOUBLE) AS avg_meta_length, {_share('has_author')}, {_share('has_date')}, {_share('has_contact')}
+      FROM (SELECT r.*, len(regexp_extract_all(body, '\\S+')) AS words, has_author, has_date, has_contact FROM {_RIVALS} r JOIN (SELECT page_id, body FROM {HTML} h) b ON b.page_id = r.page_id
+            JOIN ({ORACLES["eeat_signals_html"]}) e ON e.page_id = r.page_id) r GROUP BY 1, 2) t
     LEFT JOIN (SELECT project_id, pages AS own_pages, avg_word_count AS own_avg_word_count, avg_title_length AS own_avg_title_length, avg_meta_length AS own_avg_meta_length,
       has_author_pct AS own_has_author_pct, has_date_pct AS own_has_date_pct, has_contact_pct AS own_has_contact_pct FROM ({INSIGHTS}) i) o ON o.project_id = t.project_id""")
 def comparison(spark, sf):
-    rivals = rival_pages(spark, sf).withColumns({"has_author": F.col("lang_declared") == "en", "has_date": F.lit(False), "has_contact": F.lit(True)})
-    return R.competitor_comparison(crawl(spark, sf), rivals)
+    return R.competitor_comparison(crawl(spark, sf), rival_pages(spark, sf))
 
 
 @query("schema_gap", """

@@ -39,10 +39,10 @@ def keyword_gap(queries: DataFrame, topics: DataFrame, overlap: float = C.GAP_OV
     return shared.filter(ratio <= overlap).withColumn("overlap_ratio", F.bround(ratio, 2))
 
 
-def competitive_matrix(sites: DataFrame, own: DataFrame, scans: DataFrame) -> DataFrame:
+def competitive_matrix(sites: DataFrame, registered: DataFrame, own: DataFrame, scans: DataFrame) -> DataFrame:
     """The own row of every site and one per registered competitor, with NULLs where it was never scanned.
 
-    `sites` is project_id, url, competitors; `own` and `scans` carry pages_crawled, technical_score and
+    `registered` is project_id and domain, a row per competitor; `own` and `scans` carry pages_crawled, technical_score and
     geo_score, the latter per domain with scanned_at.
     """
     numbers = ["pages_crawled", "technical_score", "geo_score"]
@@ -51,9 +51,8 @@ def competitive_matrix(sites: DataFrame, own: DataFrame, scans: DataFrame) -> Da
         F.lit(True).alias("is_own_site"), F.coalesce("pages_crawled", F.lit(0)).alias("pages_crawled"),
         *numbers[1:], F.lit(None).cast("timestamp").alias("scanned_at"), F.lit(None).cast("string").alias("note"),
     )
-    registered = sites.select(*SITE, F.explode("competitors").alias("domain"))
     newest = scans.groupBy(*SITE, "domain").agg(F.max_by(F.struct(*numbers, "scanned_at"), "scanned_at").alias("s"))
-    theirs = registered.join(newest, [*SITE, "domain"], "left").select(
+    theirs = registered.select(*SITE, "domain").join(newest, [*SITE, "domain"], "left").select(
         *SITE, "domain", F.lit(False).alias("is_own_site"), *[F.col(f"s.{n}").alias(n) for n in numbers],
         F.col("s.scanned_at").alias("scanned_at"), F.when(F.col("s").isNull(), "never scanned").alias("note"),
     )
@@ -84,11 +83,12 @@ def _parts(length: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda at: F.substring(F.col("text"), at, F.lit(length))))
 
 
-def containments(longs: DataFrame, shorts: DataFrame) -> DataFrame:
-    """project_id, long, short for distinct texts (project_id, text) of which the first contains the second.
+def _containing(longs: DataFrame, shorts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of distinct texts (project_id, text): the longs that contain some short, and the shorts that lie in some long.
 
     A long text gives its pieces of PIECE characters, as many as its length. A short one of at least that length is looked
-    up by its rarest piece and then compared whole; a shorter one meets the substrings of its own length.
+    up by its rarest piece and then compared whole; a shorter one meets the substrings of its own length. Both are semi
+    joins, which end at a row's first match: a row comes out once or not at all, and no pair is ever made.
     """
     part = [*SITE, "part"]
     hashed = lambda df: df.withColumn("_h", F.xxhash64(*part))  # noqa: E731  lets run-time splitting cut a frequent piece
@@ -96,25 +96,32 @@ def containments(longs: DataFrame, shorts: DataFrame) -> DataFrame:
     counts = pieces.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
     own = shorts.select(*SITE, F.col("text").alias("short"), F.explode(_parts(PIECE)).alias("part"))
     anchors = hashed(own).join(hashed(counts), [*part, "_h"]).groupBy(*SITE, "short").agg(F.min_by("part", F.struct("n", "part")).alias("part"))
-    by_piece = hashed(pieces).join(hashed(anchors), [*part, "_h"]).filter(F.contains("long", "short"))
     less = F.concat(F.array(F.lit("")), *[_parts(k) for k in range(1, PIECE)])
     little = longs.select(*SITE, F.col("text").alias("long"), F.explode(less).alias("part"))
-    known = shorts.filter(F.length("text") < PIECE).select(*SITE, F.col("text").alias("part"), F.col("text").alias("short"))
-    by_itself = hashed(little).join(hashed(known), [*part, "_h"])
-    return by_piece.select(*SITE, "long", "short").unionByName(by_itself.select(*SITE, "long", "short"))
+    known = shorts.filter(F.length("text") < PIECE).select(*SITE, F.col("text").alias("short"), F.col("text").alias("part"))
+
+    def met(these: DataFrame, those: DataFrame) -> DataFrame:
+        """Rows of `these` that meet one of `those`."""
+        a, b = hashed(these).alias("a"), hashed(those).alias("b")
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*part, "_h")]
+        return a.join(b, [*same, F.contains("long", "short")], "left_semi")
+
+    return tuple(
+        met(these, those).unionByName(met(few, others)).select(*SITE, F.col(name).alias("text"))
+        for name, these, those, few, others in (("long", pieces, anchors, little, known), ("short", anchors, pieces, known, little))
+    )
 
 
 def already_has_real_data(questions: DataFrame, queries: DataFrame) -> DataFrame:
     """Questions with a flag: does an own query of any date contain it, or lie within it, accents aside.
 
-    Containment is looked up, not tried pair by pair, with rows in proportion to the texts' lengths.
+    Containment is looked up, not tried pair by pair, with rows in proportion to the texts' lengths, and only whether there is
+    any is kept.
     """
     plain = lambda c: strip_accents(F.lower(c))
     asked = questions.select(*SITE, plain("question").alias("text")).distinct()
     known = queries.select(*SITE, plain("query").alias("text")).distinct()
-    inside_question = containments(asked, known).select(*SITE, F.col("long").alias("text"))
-    inside_query = containments(known, asked).select(*SITE, F.col("short").alias("text"))
-    hit = inside_question.unionByName(inside_query).distinct().withColumn("_hit", F.lit(True))
+    hit = _containing(asked, known)[0].unionByName(_containing(known, asked)[1]).distinct().withColumn("_hit", F.lit(True))
     keyed = questions.withColumn("text", plain("question"))
     return lookup_join(keyed, hit, [*SITE, "text"]).withColumn(
         "has_real_data", F.col("_hit").isNotNull()

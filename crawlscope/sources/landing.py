@@ -196,39 +196,33 @@ def _listing_rows(landing: DataFrame) -> DataFrame:
     )
 
 
-def serp_rank_ingest(landing: DataFrame, sites: DataFrame) -> DataFrame:
+def serp_rank_ingest(landing: DataFrame, sites: DataFrame, rivals: DataFrame | None = None) -> DataFrame:
     """Per keyword and day our first position and url over all result pages, and a map of competitors'.
 
-    A payload is one result page. `sites` is project_id, url and competitors (list of domains). Hits on the
-    site's own targets are picked inside the payload; one shuffle then brings the pages of a listing together.
+    A payload is one result page; `sites` is project_id and url, `rivals` project_id and domain, as listings name it. Hits are
+    rows that meet the site's targets by (site, domain), so no site's list of rivals travels with its pages; of a domain the first
+    hit of a listing is left before the map, of at most a listing's domains, is built.
     """
-    rivals = F.coalesce("competitors", F.array().cast("array<string>"))
-    targets = sites.select(*SITE, domain_of(F.col("url"), keep_port=True).alias("_own"), rivals.alias("_rivals"))
-    pages = lookup_join(_listing_rows(landing), targets, SITE, how="inner")
+    targets = sites.select(*SITE, domain_of(F.col("url"), keep_port=True).alias("domain"), F.lit(True).alias("_own"))
+    if rivals is not None:
+        targets = targets.unionByName(rivals.select(*SITE, "domain", F.lit(False).alias("_own")))
+    targets = targets.groupBy(*SITE, "domain").agg(F.bool_or("_own").alias("_own"))
     keys = [*SITE, "keyword", "date"]
-
-    def hit(entry: Column, at: Column) -> Column:
-        return F.struct(
-            F.col("page").alias("page"), at.alias("at"), domain_of(F.coalesce(entry["link"], F.lit("")), keep_port=True).alias("domain"),
-            ((F.col("page") - 1) * 10 + F.coalesce(entry["position"], F.lit(0))).alias("position"), entry["link"].alias("url"),
-        )
-
-    hits = F.transform(F.coalesce("organic", F.array().cast(_ORGANIC)), hit)
-    wanted = F.filter(hits, lambda h: (h["domain"] == F.col("_own")) | F.array_contains(F.col("_rivals"), h["domain"]))
-    listed = pages.withColumn("_hits", wanted).groupBy(*keys, "_own").agg(
-        F.array_sort(F.flatten(F.collect_list("_hits"))).alias("_hits"),
-        *[F.max(F.when(F.col("page") == 1, F.col(f))).alias(f) for f in _FEATURES],
-    )
-
-    def first(domain: Column) -> Column:
-        return F.get(F.filter("_hits", lambda h: h["domain"] == domain), F.lit(0))
-
-    others = F.filter(F.array_sort(F.array_distinct(F.col("_hits.domain"))), lambda d: d != F.col("_own"))
-    positions = F.map_from_arrays(others, F.transform(others, lambda d: first(d)["position"]))
-    return listed.withColumn("_first", first(F.col("_own"))).select(
-        *keys, F.col("_first.position").alias("our_position"), F.col("_first.url").alias("our_url"),
-        positions.alias("competitor_positions"), *_FEATURES,
-    )
+    pages = lookup_join(_listing_rows(landing), sites.select(*SITE).distinct(), SITE, how="left_semi")
+    listed = pages.groupBy(*keys).agg(*[F.max(F.when(F.col("page") == 1, F.col(f))).alias(f) for f in _FEATURES])
+    entries = pages.select(*keys, "page", F.posexplode("organic").alias("at", "e"))
+    hits = lookup_join(
+        entries.withColumn("domain", domain_of(F.coalesce("e.link", F.lit("")), keep_port=True)), targets, [*SITE, "domain"], how="inner")
+    position = (F.col("page") - 1) * 10 + F.coalesce("e.position", F.lit(0))
+    first = hits.groupBy(*keys, "domain", "_own").agg(
+        F.min(F.struct("page", "at", position.alias("position"), F.col("e.link").alias("url"))).alias("h"))
+    theirs = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("_own"), F.struct("domain", "h.position")))))
+    found = first.groupBy(*keys).agg(
+        F.max(F.when(F.col("_own"), F.col("h.position"))).alias("our_position"), F.max(F.when(F.col("_own"), F.col("h.url"))).alias("our_url"),
+        theirs.alias("competitor_positions"))
+    nobody = F.create_map().cast("map<string,int>")
+    return listed.join(found, keys, "left").select(
+        *keys, "our_position", "our_url", F.coalesce("competitor_positions", nobody).alias("competitor_positions"), *_FEATURES)
 
 
 def serp_top10_ingest(landing: DataFrame, sites: DataFrame) -> DataFrame:

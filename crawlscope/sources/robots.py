@@ -1,4 +1,4 @@
-"""robots.txt as data: parsed once per site, then judged per url inside the row."""
+"""robots.txt as data: parsed once per site into rules, by which agents and urls are judged."""
 
 from __future__ import annotations
 
@@ -71,8 +71,31 @@ def allowed(groups: Column, agent: Column, path: Column) -> Column:
 
 
 def blocked_urls(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """The urls their own site forbids to `agent`. Rules travel to the urls, so no site is gathered."""
+    """The distinct urls that their own site forbids to `agent`.
+
+    Rules are rows. A url looks its path's beginnings up among its site's rules, at the lengths that rules have at all; the first
+    rule that fits decides. Rules that fit every path are a number and a flag per site, however many rules it has.
+    """
     from crawlscope.skew import lookup_join
 
-    ruled = lookup_join(urls, parse_robots(robots), ["project_id"], how="inner")
-    return ruled.filter(~allowed(F.col("robots"), F.lit(agent), url_path(F.col("url")))).drop("robots")
+    name = agent.split("/")[0].lower()
+    named = robots_rules(robots).filter((F.col("agent") == "*") | F.contains(F.lit(name), F.col("agent")))
+    # the first group that names the agent; sites with rules for others only have none here
+    groups = parse_robots(robots).select("project_id", F.posexplode("robots").alias("group_no", "g")).filter(
+        F.exists("g.agents", lambda a: (a == "*") | F.contains(F.lit(name), a)))
+    first = groups.groupBy("project_id").agg(F.min("group_no").alias("group_no"))
+    rules = named.join(first, ["project_id", "group_no"], "left_semi").select("project_id", "rule_no", "allow", "path").distinct()
+    always = F.col("path").isin("", "*")
+    everywhere = rules.filter(always).groupBy("project_id").agg(F.min(F.struct("rule_no", "allow")).alias("_any"))
+    by_path = rules.filter(~always).groupBy("project_id", "path").agg(F.min(F.struct("rule_no", "allow")).alias("_rule"))
+    lengths = sorted(r[0] for r in by_path.select(F.length("path")).distinct().collect())  # bounded by the length of a path
+    ruled = lookup_join(urls.distinct().withColumn("_path", url_path(F.col("url"))), everywhere, ["project_id"])
+    if lengths:
+        fit = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_path"))
+        cut = ruled.select("project_id", "url", "_path", F.explode(fit).alias("_n"))
+        begun = cut.select("project_id", "url", F.substring(F.col("_path"), F.lit(1), F.col("_n")).alias("path"))
+        met = lookup_join(begun, by_path, ["project_id", "path"], how="inner").groupBy("project_id", "url").agg(F.min("_rule").alias("_met"))
+        ruled = lookup_join(ruled, met, ["project_id", "url"])
+    else:
+        ruled = ruled.withColumn("_met", F.lit(None).cast("struct<rule_no:int,allow:boolean>"))
+    return ruled.filter(~F.coalesce(F.least("_met", "_any")["allow"], F.lit(True))).select(*urls.columns)

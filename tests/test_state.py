@@ -159,6 +159,22 @@ def test_questions_against_queries_by_brute_force(spark):
     assert [r.has_real_data for r in got if r.project_id == 2] == [False]
 
 
+def test_containment_gives_each_text_once(spark):
+    """A thousand questions that hold all of a thousand queries: a million pairs, of which none is made."""
+    phrase = "cambio de pantalla rota y bateria hinchada bogota hoy"
+    words = sorted({phrase[i:j] for i in range(len(phrase)) for j in range(i + 6, len(phrase) + 1)})[:1000]
+    asked = spark.createDataFrame([(1, f"q{i} {phrase}") for i in range(1000)], "project_id long, text string")
+    known = spark.createDataFrame([(1, w) for w in [*words, "hoy"]], "project_id long, text string")
+    holding, held = R._containing(asked, known)
+    assert {r.text for r in holding.distinct().collect()} == {r.text for r in asked.collect()} and {r.text for r in held.distinct().collect()} == {*words, "hoy"}
+    assert held.count() <= known.count()
+    for rows in (holding, held):
+        joins = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "contains(" in line.lower()]
+        assert joins and all("LeftSemi" in line for line in joins)
+    got = R.already_has_real_data(asked.withColumnRenamed("text", "question"), known.withColumnRenamed("text", "query"))
+    assert got.count() == 1000 and got.filter("NOT has_real_data").count() == 0
+
+
 def test_cannibalization_edges(spark):
     rows = [
         (1, "q1", "https://www.a.com/x/", 1, 10, 4.0), (1, "q1", "http://a.com/x", 0, 5, 3.0), (1, "q2", "https://a.com/x", 0, 5, 3.0), (1, "q2", "https://a.com/y", 0, 7, 25.0),
@@ -178,6 +194,28 @@ def test_robots(spark):
     assert {r.url for r in got.collect()} == {"https://a.com/p/x", "https://a.com/%C3%B1andu"}
 
 
+def test_robots_rules_of_many_sites(spark):
+    """Against the parser itself: groups, empty rules, rules for all, equal beginnings, sites without rules."""
+    from urllib.robotparser import RobotFileParser
+
+    texts = {
+        1: "User-agent: other\nDisallow: /\n\nUser-agent: bot\nAllow: /a/b\nDisallow: /a\n\nUser-agent: *\nDisallow: /\n", 2: "User-agent: *\nDisallow:\nDisallow: /a\n",
+        3: "User-agent: *\nAllow: /a\nDisallow: *\n", 4: "User-agent: *\nDisallow: /\nAllow: /a\n", 5: "", 6: "User-agent: other\nDisallow: /\n", 7: None,
+        8: "User-agent: *\n" + "".join(f"Disallow: /x{i}/\n" for i in range(300)) + "Allow: /x299/ok\n",
+    }
+    urls = [f"https://s.com{p}" for p in ("", "/", "/a", "/a/b", "/a/bc?d=1", "/ab", "/x7/", "/x299/ok", "/z", "?q=1")]
+    want = set()
+    for site, text in texts.items():
+        parser = RobotFileParser()
+        parser.parse((text or "").splitlines())
+        parser.modified()
+        want |= {(site, u) for u in urls if not parser.can_fetch("Bot/1", u)}
+    rows = spark.createDataFrame([(s, u) for s in [*texts, 9] for u in urls], "project_id long, url string")
+    got = blocked_urls(rows, spark.createDataFrame(list(texts.items()), "project_id long, robots_txt string"), "Bot/1")
+    assert {tuple(r) for r in got.collect()} == want
+    assert got.columns == ["project_id", "url"]
+
+
 def test_sources_on_disk(spark, tmp_path):
     folder = tmp_path / "maps" / "project_id=7"
     folder.mkdir(parents=True)
