@@ -338,13 +338,15 @@ def members(spark, sf):
     return G.duplicate_members(crawl(spark, sf), edges(spark, sf))
 
 
-@query("duplicate_titles_html", f"""SELECT CASE WHEN starts_with(project_id, 'm.') THEN 'm' ELSE 'other' END AS project_id, {sql_norm('title')} AS value, count(*) AS pages FROM {HTML} h
-    GROUP BY 1, 2 HAVING count(*) > 1 AND value IS NOT NULL""")
+@query("duplicate_titles_html", f"""SELECT CASE WHEN starts_with(project_id, 'm.') THEN 'm' ELSE 'other' END AS project_id, field, value, count(*) AS pages FROM (
+      SELECT project_id, 'title' AS field, {sql_norm('title')} AS value FROM {HTML} h UNION ALL SELECT project_id, 'h1', {sql_norm('h1')} FROM {HTML} h) t
+    GROUP BY 1, 2, 3 HAVING count(*) > 1 AND value IS NOT NULL""")
 def duplicate_titles_html(spark, sf):
-    pages = features(spark, sf).withColumns(
-        {"project_id": F.when(F.startswith("project_id", F.lit("m.")), "m").otherwise("other"), "status_code": F.lit(200), "h1": F.lit(None).cast("string")}
-    )
-    return G.duplicate_field(pages).filter("field = 'title'").select("project_id", "value", "pages")
+    pages = features(spark, sf).withColumns({
+        "project_id": F.when(F.startswith("project_id", F.lit("m.")), "m").otherwise("other"), "status_code": F.lit(200),
+        "h1": F.array_join("h1_tags", " | "),
+    })
+    return G.duplicate_field(pages).select("project_id", "field", "value", "pages")
 
 
 THIN = f"SELECT project_id, url, word_count FROM {OWN} o WHERE word_count < 200"

@@ -7,6 +7,8 @@ it is reduced to the few columns that matter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from crawlscope.functions.urls import domain_of
 from crawlscope.skew import first_k, lookup_join
 
 SITE = ["project_id"]
+# Places in the order of arrival within which questions are ranked together.
+RANKED_TOGETHER = 4096
 SNAPSHOT_SCHEMA = (
     "snapshot_id long, project_id long, collector string, status string, finished_at timestamp, "
     "error_message string, raw_data string"
@@ -300,7 +304,16 @@ def question_ideas(suggestions: DataFrame, per_seed: int | None = None) -> DataF
     order = [F.col("position"), F.col("suggestion")]
     if per_seed is not None:
         return first_k(asked, keys, order, per_seed, "rank").drop("position")
-    return asked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).drop("position")
+    # a seed's questions are ranked by stretches of arrival, after the counts of the stretches before: no seed is sorted whole
+    dealt = asked.withColumn("_part", F.floor(F.col("position") / RANKED_TOGETHER))
+    parts = [*keys, "_part"]
+    before = Window.partitionBy(*keys).orderBy(F.col("_part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n")).select(
+        *[F.col(c).alias(f"{c}_") for c in parts], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*parts).orderBy(*order)
+    numbered = dealt.withColumn("_rank", F.row_number().over(inner))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in parts])
+    return numbered.join(first, same).select(*keys, "suggestion", (F.col("_before") + F.col("_rank")).cast("int").alias("rank"))
 
 
 # --- links and answers -------------------------------------------------------------------------------
