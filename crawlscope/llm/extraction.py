@@ -24,6 +24,9 @@ MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead comment comments disqus reply replies share sharing social "
     "related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar skip copyright legal form".split())
 MINOR = 0.5
+# Of these, the names of reader comments, notices and adverts reject whatever their element holds, unless a word says how the page is set up.
+NEVER = frozenset("ad ads advert adverts advertisement cookie cookies consent gdpr notice popup modal comment comments disqus reply replies newsletter".split())
+STATES = frozenset("open closed on off enabled disabled allowed count link free".split())
 # Elements that no name marks, and first parts of names that tell of the page's layout.
 WHOLE, LAYOUT = frozenset(("html", "body", *MAIN)), frozenset(("has", "no", "with", "without"))
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -61,22 +64,26 @@ def _boilerplate(name: str, attrs: str) -> bool:
     return False
 
 
-def _marked(name: str, attrs: str) -> bool:
-    """Whether a class or id names what is not the article; whether it is so depends on the text that the element holds."""
+def _marked(name: str, attrs: str) -> int:
+    """1 if a class or id names what is not the article where it holds little text, 2 if it names what never is, else 0."""
+    found = 0
     if name in WHOLE or "=" not in attrs:
-        return False
+        return found
     for key, a, b, c in _ATTR.findall(attrs):
         if key.lower() in ("class", "id"):
             for word in (a or b or c).lower().split():
                 split = _PART.split(word)
+                if word in NEVER or (split[0] not in LAYOUT and NEVER.intersection(split) and not STATES.intersection(split)):
+                    return 2
                 if word in MARKS or (split[0] not in LAYOUT and any(part in MARKS for part in split)):
-                    return True
-    return False
+                    found = 1
+    return found
 
 
-def text_nodes(page: str) -> tuple[list[tuple[str, str, int, tuple[int, ...], bool]], dict[int, str], set[int]]:
-    """(text, tag path, block, open elements, in a link) per text node outside boilerplate, the names of elements, and those marked."""
-    nodes, names, marked = [], {}, set()
+def text_nodes(page: str) -> tuple[list[tuple[str, str, int, tuple[int, ...], bool]], dict[int, str], set[int], set[int]]:
+    """(text, tag path, block, open elements, in a link) per text node outside boilerplate, the names of elements, and those marked:
+    where they hold little text, and always. What holds the page's main heading or `<main>` is a wrapper and never always marked."""
+    nodes, names, marked, never = [], {}, set(), set()
     stack: list[tuple[str, int, str, bool]] = []  # name, element, path, boilerplate
     block = element = at = 0
 
@@ -97,7 +104,7 @@ def text_nodes(page: str) -> tuple[list[tuple[str, str, int, tuple[int, ...], bo
         token = _TOKEN.search(page, pos)
         if token is None:
             say(at, len(page))
-            return nodes, names, marked
+            return nodes, names, marked, never
         say(at, token.start())
         at = pos = max(token.end(), token.start() + 1)
         name = (token["name"] or "").lower()
@@ -141,8 +148,12 @@ def text_nodes(page: str) -> tuple[list[tuple[str, str, int, tuple[int, ...], bo
         element += 1
         names[element] = name
         bad = (stack[-1][3] if stack else False) or _boilerplate(name, token["attrs"])
-        if not bad and _marked(name, token["attrs"]):
-            marked.add(element)
+        if name in ("h1", "main"):
+            wrapped = never.intersection(s[1] for s in stack)
+            never -= wrapped
+            marked |= wrapped
+        if not bad and (kind := _marked(name, token["attrs"])):
+            (never if kind == 2 else marked).add(element)
         stack.append((name, element, f"{stack[-1][2] if stack else ''}/{name}", bad))
 
 
@@ -168,10 +179,15 @@ def main_text(page: str | None) -> str:
     Text length and punctuation are summed per root-to-leaf tag path and divided by the path's nodes; each node takes its
     path's two ratios, which are smoothed along the page and fused by multiplication. Paths above a share of the spread are
     content. The deepest element that holds most of their text is the article: it is kept, but for boilerplate
-    elements, marked ones with a minor share of the text, and what lies outside the content paths, unless it shares a block with them or is a heading, list item, cell or
+    elements, comments, notices and adverts by name, otherwise marked ones with a minor share of the text, and what lies outside the content paths, unless it shares a block with them or is a heading, list item, cell or
     the like, and no block of links. Where the page names an article, only that is looked at, by the same thresholds.
     """
-    nodes, names, marked = text_nodes(page or "")
+    nodes, names, marked, never = text_nodes(page or "")
+    kept = [n for n in nodes if not never.intersection(n[3])]
+    if any(n[0].strip() for n in kept):
+        nodes = kept
+    else:  # a page that is named so as a whole
+        marked |= never
     nodes = _unmarked(nodes, marked)
     # an article or main only narrows the nodes, and only where some of its text is left
     named = False

@@ -289,6 +289,20 @@ def test_names_of_the_layout_do_not_empty_a_page():
         assert extraction.main_text(page.replace(inner, inner + "<div class='site-ad'>Buy, now.</div>")) == f"{text} {text}"
 
 
+def test_comments_and_notices_go_whatever_their_length():
+    text = "A paragraph of the story, with commas, stops. And so on, until it ends."
+    story = f"<h1>Heading</h1><p>{text}</p><p>{text}</p>"
+    long = "".join(f"<p>I agree with this, fully. Reader {i} has more to say, and says it at length, here.</p>" for i in range(40))
+    want = f"Heading {text} {text}"
+    for page in (f"<body><article>{story}<section id='comments'>{long}</section></article></body>", f"<body><article>{story}</article><div class='comments'>{long}</div></body>",
+                 f"<body><div class='cookie-consent'>{long}</div><article>{story}</article></body>", f"<body><div>{story}</div><ol class='comment-list'><li><article>{long}</article></ol></body>",
+                 f"<body><div class='post comments-open'>{story}</div><div id='user-comments'>{long}</div></body>", f"<body><div class='ad'>{long}</div><main>{story}</main></body>",
+                 f"<body><div id='notice'><div>{story}</div></div><div class='gdpr-notice'>{long}</div></body>"):
+        assert extraction.main_text(page) == want
+    # pages named so as a whole stay
+    assert extraction.main_text(f"<div class='notice'><p>{text}</p><p>{text}</p></div>") == f"{text} {text}"
+
+
 # --- mixing, shards, packing ---------------------------------------------------------------------------
 
 
