@@ -26,7 +26,7 @@ CONTEXT = LONGEST + 16
 # Words of the pieces by which windows of the least length are looked for; each window's least piece is its anchor.
 ANCHOR = 16
 # Chunk digests that a task remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 1 << 18
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 # one random value per byte, by a rule; zero for the byte that separates texts
 _GEAR = (np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.uint16)
