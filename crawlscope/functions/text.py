@@ -106,7 +106,8 @@ def flesch_huerta(text: Column) -> Column:
     syllables = F.regexp_count(body, F.lit(C.READING_VOWELS)) + vowelless
     sentences = F.regexp_count(body, F.lit(r"(?U)[^.!?¡¿\s][^.!?¡¿]*"))
     n_words, n_sentences = F.greatest(F.lit(1), words), F.greatest(F.lit(1), sentences)
-    return F.bround(F.lit(206.84) - 60 * (syllables / n_words) - F.lit(1.02) * (n_words / n_sentences), 1)
+    ease = F.lit(206.84) - 60 * (syllables / n_words) - F.lit(1.02) * (n_words / n_sentences)
+    return F.signum(ease) * F.abs(F.bround(ease, 1))  # bround alone turns -0.04 into 0.0, where it is -0.0
 
 
 def readability_class(score: Column) -> Column:

@@ -79,6 +79,13 @@ def test_reading_ease_by_hand(spark):
     assert values(spark, ["Hola casa. ¿Perro ph?", "", None], T.flesch_huerta) == [round(206.84 - 60 * (7 / 4) - 1.02 * (4 / 2), 1), 205.8, 205.8]
 
 
+def test_reading_ease_just_below_zero_keeps_its_sign(spark):
+    # 27 words, 90 syllables, 4 sentences: -0.045, which titles of findings quote.
+    words = ["abababab"] * 9 + ["ababab"] * 18
+    text = ". ".join(" ".join(words[i:i + 7]) for i in range(0, 27, 7))
+    assert values(spark, [text], lambda c: T.flesch_huerta(c).cast("string")) == ["-0.0"]
+
+
 def test_language_mismatch(spark):
     assert values(spark, ["the best of our shop", "la casa de the is", "the"], lambda c: T.language_mismatch(c, F.lit("es"))) == [True, False, False]
     assert values(spark, ["the best of our shop"], lambda c: T.language_mismatch(c, F.lit("en"))) == [False]
