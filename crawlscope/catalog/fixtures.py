@@ -250,7 +250,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a projection of the given tables."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(render(PROJECTIONS[name], {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
+    # Parts are a few megabytes whatever their number, so one or two tasks would build and judge all pages.
+    spread = render(PROJECTIONS["shop_pages"], tables).replace("SELECT", "SELECT /*+ REPARTITION(p_partkey) */", 1)
+    return spark.sql(render(f"SELECT * FROM {{{name}}}", tables | {"shop_pages": f"({spread})"}))
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
