@@ -129,7 +129,7 @@ _ENTITY = """(SELECT p_partkey, p_size, p_name, p_brand, p_retailprice FROM {par
 def jsonld(spark, sf):
     from crawlscope.functions import jsonld as J
 
-    part = load(spark, sf, "part")
+    part = load(spark, sf, "part").repartition("p_partkey")  # few megabytes, but much to read once written as markup
     product = F.concat(F.lit('{"@type":"Product","name":"'), "p_name", F.lit('","offers":[{"@type":"Offer","price":'), F.col("p_size").cast("string"), F.lit("}]}"))
     business = F.concat(
         F.lit('{"@context":"x","@graph":[{"@type":["LocalBusiness","Store"],"name":"'), "p_name", F.lit('","telephone":"'), "p_brand",

@@ -17,7 +17,7 @@ def test_pages_are_built_by_more_tasks_than_their_file_has_splits(spark):
     assert load(spark, SF_DIR, "shop_pages").count() == load(spark, SF_DIR, "part").count()
 
 
-@pytest.mark.parametrize("name", ["extract_page_features_markup"])
+@pytest.mark.parametrize("name", ["jsonld", "extract_page_features_markup"])
 def test_markup_is_read_after_its_rows_are_dealt(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF_DIR))
     assert plan.index("MapInPandas") < plan.index("REPARTITION_BY_COL")  # upper lines come later
