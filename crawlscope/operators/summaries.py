@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crawlscope import constants as C
 from crawlscope.operators.issues import explode_issues, issue, when_issue
+from crawlscope.session import written
 from crawlscope.skew import counted_sample
 
 SITE = ["project_id"]
@@ -132,6 +133,8 @@ def backlink_issues(backlinks: DataFrame, toxic: DataFrame) -> DataFrame:
 
 
 def reclaim_issues(reclaim: DataFrame) -> DataFrame:
+    """Both findings count and sample the rows, so these are found once and written."""
+    reclaim = written(reclaim)
     order = [F.col("source_domain"), F.col("target_url"), F.col("source_url")]
     arrow = F.concat(F.col("source_domain"), F.lit(" → "), F.col("target_url"))
     return union(
