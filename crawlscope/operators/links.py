@@ -102,7 +102,7 @@ def redirect_alias_filter(pages: DataFrame, edges: DataFrame) -> DataFrame:
     """Pages that are not themselves the source of a redirect."""
     keyed = pages.withColumn("_source", canonical_url(F.col("url")))
     aliases = edges.select(*SITE, F.col("source").alias("_source"))
-    return keyed.join(aliases, [*SITE, "_source"], "left_anti").drop("_source")
+    return keyed.join(aliases.hint("merge"), [*SITE, "_source"], "left_anti").drop("_source")  # as many as pages, so not broadcast
 
 
 # --- internal links ----------------------------------------------------------------------------------

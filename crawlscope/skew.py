@@ -38,7 +38,8 @@ def lookup_join(
         sides = facts.withColumn("_key_hash", key_hash), dim.withColumn("_key_hash", key_hash)
         return sides[0].join(sides[1], [*keys, "_key_hash"], how).select(*wanted)
     answered, rest = _by_hot_keys(facts, dim, keys, values, weight, hot_keys)
-    cold = rest.join(dim.select(*keys, *values), keys, how).select(*wanted)
+    # estimates from the size of a small file would broadcast even millions of rows
+    cold = rest.join(dim.select(*keys, *values).hint("merge"), keys, how).select(*wanted)
     if how == "left_anti":
         return cold
     return answered.select(*[F.col(c) for c in facts.columns], *[F.col(f"_hot.{c}").alias(c) for c in values if how in ("left", "inner")]).unionByName(cold)

@@ -21,3 +21,8 @@ def test_pages_are_built_by_more_tasks_than_their_file_has_splits(spark):
 def test_markup_is_read_after_its_rows_are_dealt(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF_DIR))
     assert plan.index("MapInPandas") < plan.index("REPARTITION_BY_COL")  # upper lines come later
+
+
+def test_only_the_heaviest_groups_of_copies_are_broadcast(spark):
+    plan = plan_of(entry.queries()["duplicate_members"](spark, SF_DIR))
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" in plan
