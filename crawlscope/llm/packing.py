@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -31,7 +32,18 @@ _TOGETHER = re.compile(r"\s \s|^ |[\x1c-\x1f\x85᠎​﻿]|<\|endoftext\|>")
 # How a byte-level file spells bytes that do not print, and where it cuts words.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_WORDS: dict[str, dict[str, list[int]]] = {}
+class _Words(dict[str, bytes]):
+    """word -> its ids as little-endian unsigned 32-bit numbers; unknown words are encoded when they are asked for."""
+
+    def __init__(self, quick: Callable[[str], list[int]]):
+        self.quick = quick
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = struct.pack(f"<{len(found := self.quick(word))}I", *found)
+        return ids
+
+
+_WORDS: dict[str, _Words] = {}
 
 
 def _word_encoder(path: str) -> Callable[[str], list[int]] | None:
@@ -61,20 +73,14 @@ def byte_bpe_encoder(path: str) -> Callable[[str], np.ndarray]:
 
     tokenizer = Tokenizer.from_file(path)
     quick = _word_encoder(path)
-    known = _WORDS.setdefault(path, {})
+    known = _WORDS.setdefault(path, _Words(quick)) if quick else {}
 
     def encode(text: str) -> np.ndarray:
         if quick is None or "\0" in text or _TOGETHER.search(text):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(known) > REMEMBERED:
             known.clear()
-        out: list[int] = []
-        for word in text.replace(" ", "\0 ").split("\0"):
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = quick(word)
-            out += ids
-        return np.array(out, np.uint32)
+        return np.frombuffer(b"".join(map(known.__getitem__, text.replace(" ", "\0 ").split("\0"))), "<u4")
 
     return encode
 
