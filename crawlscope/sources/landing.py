@@ -249,14 +249,17 @@ def local_pack_ingest(landing: DataFrame, sites: DataFrame) -> DataFrame:
     )
     own = sites.select(*SITE, domain_of(F.col("url"), keep_port=True).alias("_own"))
     keys = [*SITE, "keyword", "date"]
-    rows = lookup_join(pages, own, SITE, how="inner").select(*keys, "_own", "page", F.posexplode_outer("places").alias("_at", "r"))
-    ours = domain_of(F.coalesce("r.website", F.lit("")), keep_port=True) == F.col("_own")
+    # A page's places stay one row: a minimum of texts sorts its rows, so only each page's first hit goes into it.
+    placed = F.transform("places", lambda place, at: F.struct(at.alias("at"), place.alias("r")))
+    first = F.get(F.filter(placed, lambda x: domain_of(F.coalesce(x["r"]["website"], F.lit("")), keep_port=True) == F.col("_own")), F.lit(0))
+    rows = lookup_join(pages, own, SITE, how="inner").select(*keys, "page", first.alias("_first"))
+    place = F.col("_first.r")
     hit = F.struct(
-        F.col("page").alias("page"), F.col("_at").alias("at"),
-        ((F.col("page") - 1) * 10 + F.coalesce("r.position", F.lit(0))).alias("position"),
-        F.col("r.title").alias("title"), F.col("r.rating").alias("rating"), F.col("r.ratingCount").alias("reviews"),
+        F.col("page").alias("page"), F.col("_first.at").alias("at"),
+        ((F.col("page") - 1) * 10 + F.coalesce(place["position"], F.lit(0))).alias("position"),
+        place["title"].alias("title"), place["rating"].alias("rating"), place["ratingCount"].alias("reviews"),
     )
-    return rows.groupBy(*keys).agg(F.min(F.when(ours, hit)).alias("h")).select(
+    return rows.groupBy(*keys).agg(F.min(F.when(F.col("_first").isNotNull(), hit)).alias("h")).select(
         *keys, F.col("h.position").alias("our_position"), F.col("h.title").alias("our_listing_title"),
         F.col("h.rating").alias("our_rating"), F.col("h.reviews").alias("our_reviews_count"),
     )

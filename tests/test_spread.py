@@ -26,3 +26,7 @@ def test_markup_is_read_after_its_rows_are_dealt(spark, name):
 def test_only_the_heaviest_groups_of_copies_are_broadcast(spark):
     plan = plan_of(entry.queries()["duplicate_members"](spark, SF_DIR))
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" in plan
+
+
+def test_places_of_a_pack_are_not_sorted_as_rows(spark):
+    assert "posexplode" not in plan_of(entry.queries()["local_pack_ingest"](spark, SF_DIR))
