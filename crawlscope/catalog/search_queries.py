@@ -11,7 +11,7 @@ from crawlscope.operators import competitors as R
 from crawlscope.operators import links as L
 from crawlscope.operators import scores as S
 from crawlscope.operators import search as Q
-from crawlscope.session import scratch
+from crawlscope.session import scratch, written
 from crawlscope.sinks.current import History
 
 CURRENT = """(SELECT s.* FROM {search_rows} s
@@ -19,7 +19,8 @@ CURRENT = """(SELECT s.* FROM {search_rows} s
 
 
 def rows(spark, sf):
-    return load(spark, sf, "search_rows")
+    """Search rows as they lie on disk: looking for the newest ones reads them three times, and building them joins and sums."""
+    return written(load(spark, sf, "search_rows"))
 
 
 @query("latest_rows", f"SELECT project_id, CAST(date AS STRING) AS date, query, page, clicks, impressions, position FROM {CURRENT} c")
@@ -363,4 +364,4 @@ def seo_score(spark, sf):
       WHERE o.project_id = q.project_id AND (contains(strip_accents(lower(question)), own) OR contains(own, strip_accents(lower(question))))) AS has_real_data
     FROM {question_rows} q""")
 def real_data(spark, sf):
-    return R.already_has_real_data(load(spark, sf, "question_rows"), rows(spark, sf))
+    return R.already_has_real_data(load(spark, sf, "question_rows"), load(spark, sf, "search_rows"))

@@ -218,9 +218,9 @@ def keywords_view(queries: Rows, keywords: DataFrame) -> DataFrame:
 def zero_impression_pages(pages: DataFrame, queries: Rows, canonical: bool = False) -> DataFrame:
     """A low-weight finding per indexable page that no current query shows. Urls must match exactly by default."""
     key = canonical_url if canonical else (lambda c: c)
-    shown = current(queries).filter(F.coalesce("page", F.lit("")) != "").groupBy(
-        *SITE, key(F.col("page")).alias("_key")
-    ).agg(F.sum("impressions").alias("_shown"))
+    per_page = current(queries).filter(F.coalesce("page", F.lit("")) != "").groupBy(*SITE, "page").agg(F.sum("impressions").alias("_n"))
+    # a page's queries are summed before its url is read
+    shown = per_page.groupBy(*SITE, key(F.col("page")).alias("_key")).agg(F.sum("_n").alias("_shown"))
     indexable = pages.filter(F.coalesce("is_indexable", F.lit(True))).select(*SITE, "url", key(F.col("url")).alias("_key"))
     silent = indexable.join(shown, [*SITE, "_key"], "left").filter(F.coalesce("_shown", F.lit(0)) == 0)
     title = F.concat("url", F.lit(": no impressions in the loaded window"))
