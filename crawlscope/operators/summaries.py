@@ -53,7 +53,7 @@ def coverage_issues(orphans: DataFrame, broken: DataFrame, redirects: DataFrame,
 
 
 def robots_issues(conflicts: DataFrame) -> DataFrame:
-    url = F.col("url")
+    url, conflicts = F.col("url"), written(conflicts)  # count and sample read them
     return _finding(conflicts, url, [url], "high", "coverage", "sitemap urls blocked by robots.txt", "5min", 4,
                     suggested="Drop them from the sitemap or unblock them")
 

@@ -76,6 +76,7 @@ def blocked_urls(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     Rules are rows. A url looks its path's beginnings up among its site's rules, at the lengths that rules have at all; the first
     rule that fits decides. Rules that fit every path are a number and a flag per site, however many rules it has.
     """
+    from crawlscope.session import written
     from crawlscope.skew import lookup_join
 
     name = agent.split("/")[0].lower()
@@ -91,6 +92,7 @@ def blocked_urls(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     lengths = sorted(r[0] for r in by_path.select(F.length("path")).distinct().collect())  # bounded by the length of a path
     ruled = lookup_join(urls.distinct().withColumn("_path", url_path(F.col("url"))), everywhere, ["project_id"])
     if lengths:
+        ruled = written(ruled)  # a url's path is encoded once, and its beginnings come back to it
         fit = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_path"))
         cut = ruled.select("project_id", "url", "_path", F.explode(fit).alias("_n"))
         begun = cut.select("project_id", "url", F.substring(F.col("_path"), F.lit(1), F.col("_n")).alias("path"))
