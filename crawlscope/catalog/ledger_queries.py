@@ -412,7 +412,8 @@ _BY_PRESENCE = "appearances DESC, avg_position, domain"
     _summary(f"SELECT * FROM {M.DISCOVERED} d WHERE is_platform", _DOMAIN, _BY_PRESENCE, "'medium'", "serp", "platforms hold top results", "1h", "2"),
     _summary(f"SELECT * FROM {M.STANDING} s WHERE our_position IS NULL", "keyword", "keyword", "'high'", "serp", "checked keywords without us in the top results", "1d", "4")]))
 def serp_issues(spark, sf):
-    return Y.serp_issues(M.discover(spark, sf), M.standing(spark, sf))
+    listed, own = M.listings(spark, sf), N.sites(spark, sf)
+    return Y.serp_issues(R.discover_competitors(listed, own, M.registered(spark, sf)), R.keyword_standing(R.current(listed), own))
 
 
 @query("decay_issues", Q.DECAY + """ SELECT project_id, 'high' AS severity, 'decay' AS category,

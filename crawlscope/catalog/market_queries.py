@@ -16,10 +16,12 @@ from crawlscope.operators import competitors as R
 from crawlscope.operators import coverage as V
 from crawlscope.operators import serp as P
 from crawlscope.operators.page_rules import technical_score
+from crawlscope.session import written
 
 
 def listings(spark, sf):
-    return load(spark, sf, "listing_rows")
+    """Listings as they lie on disk: their operators read them several times, and building them joins and ranks."""
+    return written(load(spark, sf, "listing_rows"))
 
 
 def registered(spark, sf):
@@ -47,7 +49,7 @@ def discover(spark, sf):
 
 @query("domain_keywords", f"SELECT project_id, domain, keyword, min(position) AS best_position FROM {{listing_rows}} l WHERE domain <> {OWN_DOMAIN} GROUP BY 1, 2, 3")
 def domain_keywords(spark, sf):
-    return P.domain_keywords(listings(spark, sf), sites(spark, sf))
+    return P.domain_keywords(load(spark, sf, "listing_rows"), sites(spark, sf))
 
 
 NOW = """(SELECT l.* FROM {listing_rows} l JOIN (SELECT project_id, max(date) AS newest FROM {listing_rows} m GROUP BY 1) n ON n.project_id = l.project_id AND l.date = n.newest)"""
@@ -209,7 +211,7 @@ def matrix(spark, sf):
     own = own.withColumn("geo_score", F.lit(None).cast("int"))
     # short names were scanned under another host, so some rivals count as never scanned
     host = F.concat(F.when(F.length("domain") > 13, F.lit("www.")).otherwise(F.lit("other.")), "domain")
-    scans = listings(spark, sf).groupBy(
+    scans = load(spark, sf, "listing_rows").groupBy(
         "project_id", host.alias("domain"), F.col("date").cast("timestamp").alias("scanned_at")
     ).agg(F.count(F.lit(1)).alias("pages_crawled"), F.min("position").alias("technical_score"), F.max("position").alias("geo_score"))
     return R.competitive_matrix(sites(spark, sf), registered(spark, sf), own, scans).withColumn("scanned_at", F.col("scanned_at").cast("string"))

@@ -188,6 +188,7 @@ def geo_issues(scored: DataFrame, matrix: DataFrame) -> DataFrame:
 
 def serp_issues(discovered: DataFrame, standing: DataFrame) -> DataFrame:
     """`discovered` is `serp.discover_competitors`, `standing` is `serp.keyword_standing`."""
+    discovered, standing = written(discovered), written(standing)
     order = [F.col("appearances").desc(), F.col("avg_position"), F.col("domain")]
     named = F.concat(F.col("domain"), F.lit(" ("), F.col("appearances").cast("string"), F.lit(")"))
     rivals = discovered.filter(~F.col("is_registered") & ~F.col("is_platform"))
