@@ -23,7 +23,7 @@ from crawlscope.operators import summaries as Y
 from crawlscope.operators.backlinks import toxic_backlinks
 from crawlscope.operators.local import local_score, nap_phones
 from crawlscope.plans import opportunities, page_audit, report, site_health
-from crawlscope.session import scratch
+from crawlscope.session import scratch, written
 from crawlscope.sinks import files
 from crawlscope.sinks.current import CurrentTable
 
@@ -49,10 +49,15 @@ def found(spark, sf):
     return P.technical_issues(crawl(spark, sf)).withColumn("page_id", F.coalesce(number, F.lit(0).cast("long")))
 
 
-def ledger(spark, sf):
+def found_once(spark, sf):
+    """`found`, judged once and written, where ledger and findings, or several tables, read it."""
+    return written(found(spark, sf))
+
+
+def ledger(spark, sf, fresh=None):
     then, none = F.lit("2024-01-01").cast("timestamp"), F.lit(None).cast("string")
     category = F.col("category")
-    fresh = found(spark, sf)
+    fresh = found_once(spark, sf) if fresh is None else fresh
     paged = fresh.filter(category != "canonical").select(
         "project_id", "page_id", F.lit(1).cast("long").alias("snapshot_id"), "severity", "category",
         F.concat("title", F.when(category == "h1", " (old)").otherwise("")).alias("title"), "current_text", "suggested_text",
@@ -80,7 +85,8 @@ ADDED = f"""(SELECT project_id, page_id, CAST(9 AS BIGINT) AS snapshot_id, sever
 
 @query("record_issues", f"SELECT {_COLS}, {_STAMPED} FROM {ADDED} a")
 def record(spark, sf):
-    return timed(E.record_issues(ledger(spark, sf), found(spark, sf), 9, now())).drop("page_url")
+    fresh = found_once(spark, sf)
+    return timed(E.record_issues(ledger(spark, sf, fresh), fresh, 9, now())).drop("page_url")
 
 
 def _reconciled(scope: str, categories) -> str:
@@ -101,17 +107,20 @@ def crawled_ids(spark, sf):
 
 @query("reconcile_page_issues", f"SELECT {_COLS}, {_STAMPED} FROM {_reconciled(_SEEN, C.PAGE_CATEGORIES)} r")
 def reconcile_pages(spark, sf):
-    return timed(E.reconcile_issues(ledger(spark, sf), found(spark, sf), C.PAGE_CATEGORIES, now(), True, crawled_ids(spark, sf)))
+    fresh = found_once(spark, sf)
+    return timed(E.reconcile_issues(ledger(spark, sf, fresh), fresh, C.PAGE_CATEGORIES, now(), True, crawled_ids(spark, sf)))
 
 
 @query("reconcile_site_issues", f"SELECT {_COLS}, {_STAMPED} FROM {_reconciled('l.page_id IS NULL', C.OPPORTUNITY_CATEGORIES)} r")
 def reconcile_site(spark, sf):
-    return timed(E.reconcile_issues(ledger(spark, sf), found(spark, sf), C.OPPORTUNITY_CATEGORIES, now(), False))
+    fresh = found_once(spark, sf)
+    return timed(E.reconcile_issues(ledger(spark, sf, fresh), fresh, C.OPPORTUNITY_CATEGORIES, now(), False))
 
 
 @query("page_audit_run", f"SELECT project_id, category, status, count(*) AS rows FROM (SELECT project_id, category, status FROM {_reconciled(_SEEN, C.PAGE_CATEGORIES)} r UNION ALL SELECT project_id, category, status FROM {ADDED} a) u GROUP BY 1, 2, 3")
 def audit_run(spark, sf):
-    after = page_audit.book(ledger(spark, sf), found(spark, sf), C.PAGE_CATEGORIES, 9, now(), True, crawled_ids(spark, sf))
+    fresh = found_once(spark, sf)
+    after = page_audit.book(ledger(spark, sf, fresh), fresh, C.PAGE_CATEGORIES, 9, now(), True, crawled_ids(spark, sf))
     return after.groupBy("project_id", "category", "status").agg(F.count(F.lit(1)).alias("rows"))
 
 

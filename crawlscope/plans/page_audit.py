@@ -9,6 +9,7 @@ from crawlscope import constants as C
 from crawlscope.functions.text import flesch_huerta
 from crawlscope.operators import ledger as E
 from crawlscope.operators import page_rules as P
+from crawlscope.session import written
 
 
 def page_findings(crawl: DataFrame) -> DataFrame:
@@ -40,7 +41,8 @@ def book(ledger: DataFrame, found: DataFrame, categories, snapshot_id: int, now:
 
 def run(crawl: DataFrame, ledger: DataFrame, snapshot_id: int, now: Column) -> dict[str, DataFrame]:
     """`crawl` carries page_id. Returns the findings, the page rows to upsert and the new ledger."""
-    keyed = page_findings(crawl).join(crawl.select("project_id", F.col("url").alias("page_url"), "page_id"), ["project_id", "page_url"], "left")
+    # judged once: the ledger reads the findings twice
+    keyed = written(page_findings(crawl).join(crawl.select("project_id", F.col("url").alias("page_url"), "page_id"), ["project_id", "page_url"], "left"))
     return {
         "found": keyed,
         "pages": stored_pages(crawl, now),
