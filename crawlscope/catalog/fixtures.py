@@ -270,15 +270,34 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`link_rows` as two lists per page, `internal_links` and `nofollow_internal`.
+
+    Sold items are dealt once by page, made distinct and listed as numbers; only the lists are put into urls.
+    """
+    keys = ["project_id", "idx"]
+    sold = load(spark, sf_dir, "lineitem").selectExpr(
+        "l_partkey % 5 AS project_id", f"{_div('l_partkey', 5)} AS idx", f"{_div('l_suppkey', 5)} AS hub",
+        "l_returnflag = 'R' AND l_linenumber = 1 AS nofollow",
+    ).repartition(*keys).distinct()
+    # an even number for a followed link, an odd one for a link with nofollow
+    items = sold.groupBy(*keys).agg(F.collect_list(F.col("hub") * 2 + F.when(F.col("nofollow"), 1).otherwise(0)).alias("_sold"))
+    menu = load(spark, sf_dir, "shop_pages").filter("idx > 0 AND p_size NOT IN (41, 42)").selectExpr(
+        "project_id", f"{_div('idx', 3)} AS idx",
+        f"CASE WHEN idx % 2 = 0 THEN {_page('project_id', 'idx')} || '#top' ELSE replace({_page('project_id', 'idx')}, 'www.', '') || '/?from=menu' END AS href",
+    ).groupBy(*keys).agg(F.collect_list("href").alias("_menu"))
+    hubs = f"x -> {_page('project_id', _div('x', 2))}"
+    return items.join(menu, keys, "full").selectExpr(
+        *keys, f"concat(coalesce(_menu, CAST(array() AS ARRAY<STRING>)), coalesce(transform(_sold, {hubs}), CAST(array() AS ARRAY<STRING>))) AS internal_links",
+        f"coalesce(transform(filter(_sold, x -> x % 2 <> 0), {hubs}), CAST(array() AS ARRAY<STRING>)) AS nofollow_internal",
+    )
+
+
 def linked_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawl with its links: a page lists a few dozen of them."""
-    rows = load(spark, sf_dir, "link_rows").withColumnRenamed("src_idx", "idx")
-    links = rows.groupBy("project_id", "idx").agg(
-        F.collect_list("href").alias("internal_links"),
-        F.array_compact(F.collect_list(F.when(F.col("nofollow"), F.col("href")))).alias("nofollow_internal"),
-    )
     empty = F.array().cast("array<string>")
-    return crawl(spark, sf_dir).join(links, ["project_id", "idx"], "left").withColumns(
+    # lists of numbers look small enough to broadcast, and then one task would put them all into urls
+    return crawl(spark, sf_dir).join(page_links(spark, sf_dir).hint("merge"), ["project_id", "idx"], "left").withColumns(
         {
             "internal_links": F.coalesce("internal_links", empty), "nofollow_internal": F.coalesce("nofollow_internal", empty),
             "nofollow_external_count": F.size("h1_tags"),

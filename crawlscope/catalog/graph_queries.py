@@ -10,7 +10,6 @@ from crawlscope.catalog.search_queries import CLOSURE
 from crawlscope.catalog.text_queries import sql_canonical
 from crawlscope.operators import coverage as V
 from crawlscope.operators import links as L
-from crawlscope.session import written
 from crawlscope.sources import robots as B
 
 AGENT = "SiteCheck/1.0"
@@ -112,7 +111,7 @@ def orphans(spark, sf):
 
 @query("click_depth", f"SELECT * FROM {DEPTH} d")
 def click_depth(spark, sf):
-    return L.click_depth(L.link_edges(written(L.link_records(linked_crawl(spark, sf)))), sites(spark, sf))
+    return L.click_depth(L.out_links(linked_crawl(spark, sf)), sites(spark, sf))
 
 
 LINK_TABLE = f"""SELECT c.project_id, c.url, inbound, click_depth, h.node IS NULL AND inbound <= 1 AS weak, coalesce(click_depth >= 4, FALSE) AS deep

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from crawlscope import constants as C
 from crawlscope.functions.urls import canonical_url, canonical_urls
 from crawlscope.session import cut_lineage, written
-from crawlscope.skew import lookup_join
+from crawlscope.skew import HOT_KEYS, lookup_join
 
 SITE = ["project_id"]
 # After so many levels of clicks their tables are written as one.
 _LEVELS_PER_COPY = 8
-# Fewer kept edges than these are not worth dropping settled ones.
-_FEW_EDGES = 5_000_000
+# Fewer kept rows than these are not worth dropping settled ones.
+_FEW_ROWS = 1_000_000
 
 
 # --- redirects ---------------------------------------------------------------------------------------
@@ -117,64 +117,87 @@ def link_records(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def _records(pages: DataFrame) -> DataFrame:
-    return pages if "targets" in pages.columns else link_records(pages)
+    return pages if "targets" in pages.columns else written(link_records(pages))
 
 
 def _nodes(pages: DataFrame) -> DataFrame:
     return (pages if "node" in pages.columns else pages.select(*SITE, canonical_url(F.col("url")).alias("node"))).select(*SITE, "node").distinct()
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """Distinct links source -> target between crawled pages, without self links. `pages` may be `link_records`.
+def out_links(pages: DataFrame) -> DataFrame:
+    """project_id, node and `targets`, where each link of a node stands once. `pages` may be `link_records`.
+
+    A node of one page keeps that page's list, so its links are neither rows nor shuffled. A node of several pages, one
+    url in many spellings, may have a list without bound: its links are made distinct as rows, each a list of one.
+    """
+    keys, records = [*SITE, "node"], _records(pages).select(*SITE, "node", "targets")
+    several = written(records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys))
+    side = several.hint("broadcast" if several.count() <= HOT_KEYS else "merge")
+    shared = records.join(side, keys, "left_semi").select(*keys, F.explode_outer("targets").alias("target")).distinct()
+    lists = shared.select(*keys, F.array_compact(F.array("target")).alias("targets"))
+    return records.join(side, keys, "left_anti").unionByName(lists)
+
+
+def link_edges(pages: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Distinct links source -> target between crawled pages, without self links. `pages` may be `link_records`, `links` their `out_links`.
 
     Targets are where a navigation bar piles up (every page links home); their lookup is a semi join whose
-    heavy partitions split while it runs, and everything counted per target is summed before it is shuffled.
+    heavy partitions split while it runs.
     """
     records = _records(pages)
-    edges = records.select(*SITE, F.col("node").alias("source"), F.explode("targets").alias("target")).distinct()
+    links = out_links(records) if links is None else links
+    edges = links.select(*SITE, F.col("node").alias("source"), F.explode("targets").alias("target"))
     return lookup_join(edges, _nodes(records).withColumnRenamed("node", "target"), [*SITE, "target"], how="left_semi")
 
 
-def inbound_counts(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """Links into every crawled page, 0 for pages nobody links to. Counted before they are joined."""
-    edges = link_edges(pages) if edges is None else edges
-    counted = edges.groupBy(*SITE, F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("inbound"))
-    return _nodes(pages).join(counted, [*SITE, "node"], "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
+def inbound_counts(pages: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Links into every crawled page, 0 for pages nobody links to. Counted where the lists lie, before they meet the crawled pages."""
+    records = _records(pages)
+    links = out_links(records) if links is None else links
+    counted = links.select(*SITE, F.explode("targets").alias("node")).groupBy(*SITE, "node").agg(F.count(F.lit(1)).alias("inbound"))
+    return _nodes(records).join(counted, [*SITE, "node"], "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
 
 
 def _home_nodes(homes: DataFrame) -> DataFrame:
     return homes.select(*SITE, canonical_url(F.col("url")).alias("node")).distinct()
 
 
-def orphans(pages: DataFrame, homes: DataFrame, edges: DataFrame | None = None, inbound: DataFrame | None = None) -> DataFrame:
+def orphans(pages: DataFrame, homes: DataFrame, links: DataFrame | None = None, inbound: DataFrame | None = None) -> DataFrame:
     """Indexable pages answered with 200 that no crawled page links to; the home page needs no links."""
-    candidates = _records(pages).filter((F.col("status_code") == 200) & F.coalesce("is_indexable", F.lit(True))).select(*SITE, "url", "node")
-    lonely = (inbound_counts(pages, edges) if inbound is None else inbound).filter("inbound = 0").select(*SITE, "node")
+    records = _records(pages)
+    candidates = records.filter((F.col("status_code") == 200) & F.coalesce("is_indexable", F.lit(True))).select(*SITE, "url", "node")
+    lonely = (inbound_counts(records, links) if inbound is None else inbound).filter("inbound = 0").select(*SITE, "node")
     return candidates.join(lonely, [*SITE, "node"], "left_semi").join(
         _home_nodes(homes), [*SITE, "node"], "left_anti"
     ).select(*SITE, "url")
 
 
-def click_depth(edges: DataFrame, homes: DataFrame) -> DataFrame:
-    """project_id, node and the fewest clicks from home, level by level; unreachable pages have no row.
+def click_depth(links: DataFrame, homes: DataFrame) -> DataFrame:
+    """project_id, node and the fewest clicks from home, level by level; unreachable pages have no row. `links` are `out_links`.
 
-    The edges are dealt once by (site, source) and kept so; a level's pages come to them, never the other way round. A page is
-    in the frontier once, so all levels together send each edge's target once. When half of the kept edges have had their
-    turn they are dropped. What is kept in the executors can be computed again from the written edges.
+    The lists are dealt once by (site, node), sorted and kept so; a level's pages come to them, never the other way round. A page
+    is in the frontier once, so its list is taken apart once, and a level's targets are made distinct before they are looked up.
+    Rows are dropped when half of those kept have had their turn. What is kept in the executors can be computed again from the
+    written records. No level is broadcast: a small file may hold millions of pages.
     """
     keys = [*SITE, "node"]
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = edges.select(*SITE, F.col("source").alias("node"), "target").repartition(parts, *keys).persist()
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, *keys).sortWithinPartitions(*keys).persist()
+
+    out = kept(links.select(*keys, "targets"))
     left, gone = out.count(), 0
     frontier = written(_home_nodes(homes).withColumn("click_depth", F.lit(0)))
     reached, level = frontier, 0
     while True:
         level += 1
-        # the number of edges followed tells when settled ones are worth dropping
-        followed = frontier.select(*keys).join(out, keys)
+        # the number of rows followed tells when settled ones are worth dropping
+        followed = out.join(frontier.select(*keys).hint("merge"), keys)
         counted = Observation()
-        step = followed.observe(counted, F.count(F.lit(1)).alias("n")).select(*SITE, F.col("target").alias("node")).distinct()
-        frontier = written(step.join(reached.select(*keys), keys, "left_anti").withColumn("click_depth", F.lit(level)))
+        step = followed.observe(counted, F.count(F.lit(1)).alias("n")).select(*SITE, F.explode("targets").alias("node")).distinct()
+        fresh = step.join(reached.select(*keys).hint("merge"), keys, "left_anti").join(out.select(*keys).hint("merge"), keys, "left_semi")
+        frontier = written(fresh.withColumn("click_depth", F.lit(level)))
         if frontier.isEmpty():
             out.unpersist()
             return reached
@@ -182,19 +205,19 @@ def click_depth(edges: DataFrame, homes: DataFrame) -> DataFrame:
         if level % _LEVELS_PER_COPY == 0:
             reached = written(reached)
         gone += counted.get["n"]
-        if 2 * gone > left > _FEW_EDGES:
-            rest = out.join(reached.select(*keys), keys, "left_anti").unionByName(out.join(frontier.select(*keys), keys, "left_semi"))
-            kept = rest.repartition(parts, *keys).persist()
-            left, gone = kept.count(), 0
+        if 2 * gone > left > _FEW_ROWS:
+            done = reached.select(*keys).join(frontier.select(*keys).hint("merge"), keys, "left_anti")
+            rest = kept(out.join(done.hint("merge"), keys, "left_anti"))
+            left, gone = rest.count(), 0
             out.unpersist()
-            out = kept
+            out = rest
 
 
-def link_table(pages: DataFrame, homes: DataFrame, edges: DataFrame | None = None, inbound: DataFrame | None = None) -> DataFrame:
+def link_table(pages: DataFrame, homes: DataFrame, links: DataFrame | None = None, inbound: DataFrame | None = None) -> DataFrame:
     """Per page answered with 200: links in, clicks from home, and whether it is weak or deep. `pages` may be written `link_records`."""
-    records = pages if "targets" in pages.columns else written(link_records(pages))
-    edges = written(link_edges(records)) if edges is None else edges
-    inbound, depth = inbound_counts(records, edges) if inbound is None else inbound, click_depth(edges, homes)
+    records = _records(pages)
+    links = out_links(records) if links is None else links
+    inbound, depth = inbound_counts(records, links) if inbound is None else inbound, click_depth(links, homes)
     home = _home_nodes(homes).withColumn("_home", F.lit(True))
     keys = [*SITE, "node"]
     rows = records.filter(F.col("status_code") == 200).select(*SITE, "url", "node")

@@ -40,12 +40,12 @@ def tables(s: Sources, agent: str) -> dict[str, DataFrame]:
     redirects = written(L.redirect_map_merge(L.redirect_edges(pages), L.redirect_edges(crawl)))
     own = written(G.own_pages(pages, redirects))
     base = written(V.coverage_base(crawl, s.sitemap, s.inspections))
-    edges = written(L.link_edges(crawl))
-    inbound = written(L.inbound_counts(crawl, edges))
+    links = L.out_links(crawl)
+    inbound = written(L.inbound_counts(crawl, links))
     found = {
-        "orphans": written(L.orphans(crawl, s.homes, edges, inbound)), "broken": V.broken_pages(crawl), "redirects": V.redirect_links(crawl),
+        "orphans": written(L.orphans(crawl, s.homes, links, inbound)), "broken": V.broken_pages(crawl), "redirects": V.redirect_links(crawl),
         "coverage_counts": V.coverage_counts(base), "coverage_diff": written(V.coverage_diff(base)),
-        "links": written(L.link_table(crawl, s.homes, edges, inbound)), "nofollow": L.nofollow_pages(crawl),
+        "links": written(L.link_table(crawl, s.homes, links, inbound)), "nofollow": L.nofollow_pages(crawl),
         "duplicates": written(G.duplicate_field(own)), "thin": G.thin_content(own),
         "schema_groups": P.schema_groups(crawl), "cache_findings": G.cache_header_findings(crawl), "cache_summary": G.cache_header_summary(crawl),
     }

@@ -74,3 +74,24 @@ def test_missing_source_is_not_an_empty_one(spark):
     assert (2, "crawled_not_in_sitemap", "b.com/1") in {(r.project_id, r.difference, r.url) for r in V.coverage_diff(base, told).collect()}
     counts = {r.project_id: (r.sitemap, r.indexed) for r in V.coverage_counts(base).collect()}
     assert counts == {1: (1, None), 2: (None, None)}
+
+
+def test_links_of_one_page_under_several_urls_count_once(spark):
+    rows = [
+        (1, "https://s.com/", ["https://s.com/a", "https://s.com/a/", "https://s.com/b"]), (1, "http://www.s.com/", ["https://s.com/a", "https://s.com/c", "https://s.com/"]),
+        (1, "https://s.com/a", ["https://s.com/b", "https://s.com/d"]), (1, "https://s.com/b", []), (1, "https://s.com/d", None), (1, "http://s.com/d", []),
+    ]
+    pages = spark.createDataFrame([(*r[:2], 200, True, r[2]) for r in rows], "project_id long, url string, status_code int, is_indexable boolean, internal_links array<string>")
+    homes = spark.createDataFrame([(1, "https://s.com")], "project_id long, url string")
+    links = L.out_links(pages)
+    assert {(r.node, t) for r in links.collect() for t in r.targets or []} == {("s.com/", "s.com/a"), ("s.com/", "s.com/b"), ("s.com/", "s.com/c"), ("s.com/a", "s.com/b"), ("s.com/a", "s.com/d")}
+    assert {(r.source, r.target) for r in L.link_edges(pages).collect()} == {("s.com/", "s.com/a"), ("s.com/", "s.com/b"), ("s.com/a", "s.com/b"), ("s.com/a", "s.com/d")}
+    assert {r.node: r.inbound for r in L.inbound_counts(pages).collect()} == {"s.com/": 0, "s.com/a": 1, "s.com/b": 2, "s.com/d": 1}
+    assert {r.node: r.click_depth for r in L.click_depth(links, homes).collect()} == {"s.com/": 0, "s.com/a": 1, "s.com/b": 1, "s.com/d": 2}
+
+
+def test_links_are_counted_before_they_are_dealt(spark):
+    pages = spark.createDataFrame([(1, f"https://s.com/{i}", 200, True, ["https://s.com/0"]) for i in range(50)], "project_id long, url string, status_code int, is_indexable boolean, internal_links array<string>")
+    plan = L.inbound_counts(pages)._jdf.queryExecution().executedPlan().toString()
+    generated = plan.index("Generate explode")
+    assert "partial_count" in plan[plan.rindex("Exchange", 0, generated):generated]  # upper lines come later
