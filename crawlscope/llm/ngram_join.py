@@ -11,15 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import ascii_words, components, stored
+from crawlscope.llm.common import components, stored
 
 # Buckets of the frequency tables that all orders share, of shingles and of words: they have this size whatever the input.
 BUCKETS, WORD_BUCKETS = 1 << 23, 1 << 18
 SLICE = 1 << 14
 # Levels by which orders put rare tokens first: the last ones are for shingles that stand out in their table beyond chance.
 LEVELS, COMMON = 64, 40
-# Words whose hash a task remembers before it starts afresh; a cache, nothing is left out.
-REMEMBERED = 300_000
 ORDERS = 3
 # Rows of a bucket that are compared by places at once to see which have a partner; in longer ones all count as having one.
 AT_ONCE = 512
@@ -29,40 +27,75 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.array([0x632BE59BD9B4E019, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, width: int, hashes: WordHashes, words_too: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+# Per byte a number of its own, the same for A-Z and a-z, and whether it is ASCII white space.
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _K)
+_BYTE[65:91] = _BYTE[97:123]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE[_SPACE] = 0
+_BASE = 0x5851F42D4C957F2B
+# Powers of the base and of its inverse, as many as the longest text of a task has bytes.
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words: lower-cased in A-Z, cut at ASCII white space.
+
+    A word's bytes are the digits of a number modulo 2^64: sums up to each byte give all words of the text at once.
+    """
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    n = len(raw)
+    if n > len(_POWERS[0]):
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            factors = np.full(2 * n, base, np.uint64)
+            factors[0] = 1
+            _POWERS[i] = np.multiply.accumulate(factors)
+    space = np.ones(n + 2, bool)
+    np.take(_SPACE, raw, out=space[1:-1], mode="clip")
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edges[::2], edges[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.take(_BYTE, raw, out=sums[1:], mode="clip")
+    sums[1:] *= _POWERS[0][:n]
+    np.add.accumulate(sums[1:], out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * _POWERS[1][start] + (end - start).astype(np.uint64) * _K)
+
+
+def shingle_set(text: str | None, width: int, words_too: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit hashes of a text's `width`-word shingles; of the whole sequence if it is shorter; none without words.
 
     With `words_too`, also the hashes of each shingle's words, one row per shingle.
     """
-    words = ascii_words(text)
-    n = len(words)
+    w = word_hashes(text)
+    n = len(w)
     if not n:
         none = np.zeros(0, np.uint64)
         return (none, none.reshape(0, 1)) if words_too else none
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     span = min(width, n)
     value = np.full(n - span + 1, span, np.uint64)
     for i in range(span):
         value = value * _K + w[i : n - span + 1 + i]
     value = _mixed(value)
     if not words_too:
-        return np.unique(value)
-    tokens, first = np.unique(value, return_index=True)
-    return tokens, w[first[:, None] + np.arange(span)]
+        return _distinct(np.sort(value))
+    order = np.argsort(value)  # which of equal shingles comes first is of no account: their words are the same
+    value = value[order]
+    new = np.append(True, value[1:] != value[:-1])
+    return value[new], w[order[new][:, None] + np.arange(span)]
+
+
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])]
+
+
+def add_places(counts: np.ndarray, places: np.ndarray) -> None:
+    """Count every place once more, repeated ones as often as they stand there; a one of the counts' own type spares a slow loop."""
+    np.add.at(counts, places, counts.dtype.type(1))
 
 
 def _class(tokens: np.ndarray) -> int:
@@ -133,15 +166,15 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, counts = WordHashes(), np.zeros(BUCKETS + WORD_BUCKETS, np.uint32)
+        counts = np.zeros(BUCKETS + WORD_BUCKETS, np.uint32)
         for frame in frames:
             sizes, classes = [], []
             for text in frame["text"]:
-                tokens, words = shingle_set(text, width, hashes, True)
+                tokens, words = shingle_set(text, width, True)
                 sizes.append(len(tokens))
                 classes.append(_class(tokens) if len(tokens) else None)
-                np.add.at(counts, (tokens & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-                np.add.at(counts, (words[:, 0] & np.uint64(WORD_BUCKETS - 1)).astype(np.int64) + BUCKETS, 1)
+                add_places(counts, (tokens & np.uint64(BUCKETS - 1)).astype(np.int64))
+                add_places(counts, (words[:, 0] & np.uint64(WORD_BUCKETS - 1)).astype(np.int64) + BUCKETS)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n": np.array(sizes, np.int64), "class": pd.array(classes, "Int64"), "slice": None, "cell": None, "counts": None})
         for i in range(len(counts) // SLICE):
             part = np.minimum(counts[i * SLICE : (i + 1) * SLICE], 65535).astype(np.uint16)
@@ -285,11 +318,11 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     shipped = docs.sparkSession.sparkContext.broadcast(_level_tables(surveyed.filter("slice IS NOT NULL").select("slice", "cell", "counts")))
 
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, tables, seen = WordHashes(), shipped.value, set()
+        tables, seen = shipped.value, set()
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                tokens, words = shingle_set(text, width, hashes, True)
+                tokens, words = shingle_set(text, width, True)
                 if len(tokens) and (name := _class(tokens)) not in seen:
                     seen.add(name)  # copies in one task leave it once; 8 bytes a text
                     rows.append((prefix(tokens, levels_of(tokens, words, tables), 0, ratio), len(tokens), name))
@@ -310,11 +343,11 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, tables = WordHashes(), shipped.value
+        tables = shipped.value
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                tokens, words = shingle_set(text, width, hashes, True)
+                tokens, words = shingle_set(text, width, True)
                 if len(tokens):
                     levels = levels_of(tokens, words, tables)
                     rows.append((_class(tokens), tokens.view(np.int64), *[prefix(tokens, levels, k, ratio).view(np.int64) for k in range(1, ORDERS)]))
